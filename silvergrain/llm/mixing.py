@@ -47,8 +47,8 @@ def poisson_cdf(mean: Column) -> Column:
     )
 
 
-def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, source: str = "source", size: str = "n_chars") -> DataFrame:
-    """Per source: its size, its rows, and ``rate``, the mean number of copies of its documents."""
+def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, source: str = "source", size: str = "n_chars") -> tuple[DataFrame, int]:
+    """Per source its size, its rows, and ``rate``, the mean number of copies of its documents; and how many sources there are."""
     per = docs.groupBy(F.col(source).alias("source")).agg(F.coalesce(F.sum(F.coalesce(F.col(size), F.lit(0))), F.lit(0)).cast("double").alias("size"), F.count(F.lit(1)).cast("double").alias("rows"))
     per = per.withColumn("size", F.when(F.col("size") > 0, F.col("size")).otherwise(F.col("rows")))
     if weights is None:
@@ -56,19 +56,18 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, source: s
     else:
         table = F.create_map(*(x for k, w in weights.items() for x in (F.lit(k), F.lit(float(w))))) if weights else F.create_map().cast("map<string,double>")
         per = per.withColumn("weight", F.coalesce(F.element_at(table, F.col("source")), F.lit(0.0)))
-    sums = per.agg(F.sum("weight").alias("all_weight"), F.sum("size").alias("all_size"))  # one row
-    per = per.crossJoin(F.broadcast(sums))
-    rate = F.when(F.col("weight") > 0, F.col("weight") / F.col("all_weight") * F.col("all_size") / F.col("size")).otherwise(F.lit(0.0))
-    return per.select("source", "size", "rows", "weight", rate.alias("rate"))
+    all_weight, all_size, n_sources = per.agg(F.sum("weight"), F.sum("size"), F.count(F.lit(1))).head()
+    share = F.col("weight") / F.lit(all_weight or 1.0)
+    rate = F.when(F.col("weight") > 0, share * F.lit(all_size or 0.0) / F.col("size")).otherwise(F.lit(0.0))
+    return per.select("source", "size", "rows", "weight", rate.alias("rate")), n_sources
 
 
 def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, seed: int = 0, key: str = "doc_id", source: str = "source", size: str = "n_chars", copy_name: str = "copy", order_name: str = "mix_order") -> DataFrame:
     """``docs`` exploded by their counts, with the copy number (from 1) and the shuffle key."""
-    plan = rates(docs, weights, source, size)
+    plan, n_sources = rates(docs, weights, source, size)
     plan = plan.where(F.col("rate") > 0).select(F.col("source").alias("__sg_source"), F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int").alias("__sg_parts"), "rate")
     plan = plan.withColumn("__sg_cdf", poisson_cdf(F.col("rate") / F.col("__sg_parts"))).drop("rate")
     same = F.col(source).eqNullSafe(F.col("__sg_source"))
-    n_sources = docs.select(F.approx_count_distinct(source)).head()[0]
     if n_sources <= BROADCAST_SOURCES:
         joined = docs.join(F.broadcast(plan), same)
     else:  # a hot source's rows go to as many tasks as there are salts

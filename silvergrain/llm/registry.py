@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality, sharding
+from . import chat, mixing, pieces, quality, records, sharding, warc
+
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file; a parameter of the operators, never copied here."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 MIX_SEED = 20240
@@ -22,11 +29,25 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"), decoded_name="decoded")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.format_chats(chat.reply_links(table(spark, sf_dir, "conversations")), CHAT_SCHEMAS)
     return rows.select("conv_id", "turn", "role", "anchor_turn", "level", "call_turn", "linked", "n_calls", "valid", "json")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
@@ -35,8 +56,13 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents"), seed=MIX_SEED)
 
 
+def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = records.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+    return read.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_chat_format, op7_shard_placement, op8_source_mix)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_chat_format, op6_warc, op7_shard_placement, op8_source_mix, op10_token_records)}
 
 
 OP3_SQL = """
@@ -59,6 +85,17 @@ OP3_SQL = OP3_SQL.replace("""m AS (
   SELECT *, lead(conv_id) OVER () AS unused FROM conversations
 ), """, "")
 
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), k AS (
+  SELECT payload_digest, payload_bytes, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY ALL
+)
+SELECT page_id, p.payload_bytes, p.payload_digest, CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < keeper THEN keeper END AS refers_to
+FROM p LEFT JOIN k USING (payload_digest, payload_bytes)
+"""
+
 OP8_SQL = f"""
 WITH RECURSIVE per AS (
   SELECT source, CASE WHEN sum(coalesce(n_chars, 0)) > 0 THEN sum(coalesce(n_chars, 0))::DOUBLE ELSE count(*)::DOUBLE END AS size FROM documents GROUP BY source
@@ -80,4 +117,4 @@ SELECT *, CAST('0x' || substr(md5('{MIX_SEED}|' || coalesce(doc_id::VARCHAR, '')
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op8_source_mix": OP8_SQL}
+    return {"op6_warc": OP6_SQL, "op3_chat_format": OP3_SQL, "op8_source_mix": OP8_SQL}
