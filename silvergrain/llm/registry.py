@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html, mixing, pieces, quality, records, sharding, warc
+from . import chat, html, jaccard, mixing, pieces, quality, records, sharding, warc
 
 def vocabulary(name: str) -> str:
     """The path of a public tokenizer's file; a parameter of the operators, never copied here."""
@@ -48,6 +48,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -66,7 +70,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_chat_format, op4_html_text, op6_warc, op7_shard_placement, op8_source_mix, op10_token_records)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_chat_format, op4_html_text, op5_jaccard_join, op6_warc, op7_shard_placement, op8_source_mix, op10_token_records)}
 
 
 OP3_SQL = """
