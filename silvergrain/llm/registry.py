@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html, jaccard, mixing, pieces, quality, records, sharding, warc
+from . import chat, html, jaccard, mixing, neardup, pieces, quality, records, sharding, warc
 
 def vocabulary(name: str) -> str:
     """The path of a public tokenizer's file; a parameter of the operators, never copied here."""
@@ -64,13 +64,17 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents"), seed=MIX_SEED)
 
 
+def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = records.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_chat_format, op4_html_text, op5_jaccard_join, op6_warc, op7_shard_placement, op8_source_mix, op10_token_records)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_chat_format, op4_html_text, op5_jaccard_join, op6_warc, op7_shard_placement, op8_source_mix, op9_embedding_neardup, op10_token_records)}
 
 
 OP3_SQL = """
