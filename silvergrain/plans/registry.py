@@ -7,7 +7,8 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("journal_plans",)
+MODULES = ("journal_plans", "text_plans", "filter_plans", "vector_plans")
+FLAGSHIP = "bm25_topk"
 
 
 def _modules():
