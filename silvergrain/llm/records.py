@@ -26,6 +26,7 @@ import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -123,8 +124,13 @@ def unframed(data: bytes, sizes: Sequence[int]) -> list[bytes]:
 
 #: Unicode's white space, as the tokenizer's pattern sees it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Chunks over whose ends no pre-token reaches: white space but its last character, a word with the space before it, or one character of white space.
-CHUNKS = re.compile(f"[{WHITE}]+(?![^{WHITE}])| ?[^{WHITE}]+|[{WHITE}]")
+#: Letters of Latin scripts, all letters to the tokenizer's pattern too, and what surely ends a run of them.
+LETTERS, STOP = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"\x21-\x40\x5b-\x60\x7b-\x7e"
+#: Chunks over whose ends no pre-token reaches: white space but its last character, a run of
+#: letters with the space before it, anything else between white space, one character of white space.
+CHUNKS = re.compile(f"[{WHITE}]+(?![^{WHITE}])| ?[{LETTERS}]++(?=[{STOP}{WHITE}]|\\Z)| ?[^{WHITE}]+|[{WHITE}]")
+#: Chunks that are one pre-token, also when run together.
+SPACED_WORD = re.compile(f" [{LETTERS}]+")
 
 _tokenizers: dict[str, ByteTokenizer] = {}
 
@@ -149,17 +155,34 @@ class ByteTokenizer:
         self.known: dict[str, bytes] = {}
 
     def _library(self, texts: Sequence[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return self._cut([x for e in ids for x in e], np.cumsum([len(e) for e in ids]))
+
+    def _cut(self, ids: list[int], ends: np.ndarray) -> list[bytes]:
+        data, at = np.array(ids, self.kind).tobytes(), (ends * self.width).tolist()
+        return [data[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)] if at else []
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode new chunks; words with their space go to the library in one string, which numbers its pre-tokens."""
+        words = [c for c in chunks if SPACED_WORD.fullmatch(c)]
+        for start in range(0, len(words), 20_000):
+            part = words[start : start + 20_000]
+            coded = self.library.encode("".join(part), add_special_tokens=False)
+            of = np.array(coded.word_ids, np.int64)
+            if of[-1] == len(part) - 1:
+                self.known.update(zip(part, self._cut(coded.ids, np.cumsum(np.bincount(of, minlength=len(part)))), strict=True))
+        rest = [c for c in chunks if c not in self.known]
+        for start in range(0, len(rest), 50_000):
+            part = rest[start : start + 50_000]
+            self.known.update(zip(part, self._library(part), strict=True))
 
     def encode_batch(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text, ``width`` bytes each."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known = dict(islice(self.known.items(), REMEMBERED // 3))  # the first seen are the frequent ones
         whole = [t is not None and (not self.cut or any(a in t for a in self.added)) for t in texts]
         chunks = [CHUNKS.findall(t) if t and not w else [] for t, w in zip(texts, whole, strict=True)]
-        new = list(set().union(*chunks) - self.known.keys())
-        for start in range(0, len(new), 50_000):
-            self.known.update(zip(new[start : start + 50_000], self._library(new[start : start + 50_000]), strict=True))
+        self._learn(list(set().union(*chunks) - self.known.keys()))
         get = self.known.__getitem__
         out = [b"".join(map(get, c)) for c in chunks]
         at = [i for i, w in enumerate(whole) if w]
