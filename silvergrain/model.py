@@ -48,10 +48,16 @@ class Tuning:
     cutoff_low: float = 0.55
     lambda_floor: float = 0.3
     neighbours: int = 12
-    dwell_weight: float = 1.0
-    events_weight: float = 0.6
-    strokes_weight: float = 0.8
-    half_life_days: float = 30.0
+    dwell_weight: float = 0.0001
+    events_weight: float = 1.0
+    strokes_weight: float = 0.5
+    half_life_days: float = 14.0
+    dwell_look_rate: float = 1.0
+    dwell_grid_rate: float = 0.15
+    dwell_cap_ms: int = 60000
+    vad_enter: float = 0.5
+    vad_exit: float = 0.35
+    vad_hang: int = 15
     session_gap_seconds: int = 1800
     burst_size: int = 4
     link_gap_seconds: int = 10
