@@ -10,10 +10,13 @@ from ..functions import text
 from .temporal import micros
 
 # File types of an archive, and names that a scan leaves out.
-RAW_TYPES = "arw cr2 cr3 crw dng erf nef nrw orf pef raf raw rw2 srw".split()
-PLAIN_TYPES = "jpg jpeg png tif tiff heic heif webp avif".split()
-EXCLUDED_FOLDERS = ".git .svn .trash .trashes .spotlight-v100 .fseventsd $recycle.bin @eadir node_modules".split()
-EXCLUDED_FILES = "thumbs.db desktop.ini .ds_store".split()
+RAW_TYPES = "dng cr2 cr3 crw nef nrw arw raf orf ori rw2 pef srw x3f 3fr fff iiq mos mrw kdc dcr sr2 srf erf".split()
+PLAIN_TYPES = "jpg jpeg png tif tiff webp heic heif".split()
+EXCLUDED_FOLDERS = ["@eadir", "__macosx", "$recycle.bin", "system volume information", "lost+found", "node_modules", "cache", "proxies", "thumbnails"]
+EXCLUDED_FOLDER_ENDINGS = [".lrdata", ".cocatalogdb"]
+EXCLUDED_FOLDER_BEGINNINGS = [".", "lightroom catalog"]
+EXCLUDED_FILE_ENDINGS = [".sidecar.json", ".tmp.drivedownload", ".tmp.driveupload"]
+EXCLUDED_FILE_BEGINNINGS = [".", "~$"]
 
 
 def file_class(path: Column) -> Column:
@@ -22,12 +25,20 @@ def file_class(path: Column) -> Column:
     return F.when(ext.isin(*RAW_TYPES), "raw").when(ext.isin(*PLAIN_TYPES), "image")
 
 
+def _any(tests: list[Column]) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return out
+
+
 def excluded(path: Column) -> Column:
-    """Whether the path lies in a folder, or is a file, that a scan leaves out (hidden files too)."""
+    """Whether the path lies in a folder, or is a file, that a scan leaves out (hidden ones too)."""
     parts = F.split(F.lower(path), "/")
     folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     name = F.element_at(parts, -1)
-    return F.exists(folders, lambda p: p.isin(*EXCLUDED_FOLDERS)) | name.isin(*EXCLUDED_FILES) | name.startswith("._")
+    left_out = F.exists(folders, lambda p: p.isin(*EXCLUDED_FOLDERS) | _any([p.endswith(e) for e in EXCLUDED_FOLDER_ENDINGS]) | _any([p.startswith(e) for e in EXCLUDED_FOLDER_BEGINNINGS]))
+    return left_out | _any([name.endswith(e) for e in EXCLUDED_FILE_ENDINGS]) | _any([name.startswith(e) for e in EXCLUDED_FILE_BEGINNINGS])
 
 
 def reconcile(stored: DataFrame, walked: DataFrame) -> DataFrame:

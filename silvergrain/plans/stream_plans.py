@@ -32,8 +32,8 @@ def stream_dwell(spark, sf_dir):
 
 
 def stream_moves(spark, sf_dir):
-    rows = lambda kind: _stream(spark, sf_dir).where(F.col("event_type") == kind).select((F.col("event_id") % 300).alias("image"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("path"), "ts")
-    return R.run_available(R.moves(rows("error"), rows("view"), "image", within=40000, late="12 hours"), "moves")
+    rows = lambda kind: _stream(spark, sf_dir).where(F.col("event_type") == kind).select((F.col("event_id") % 4).alias("image"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("path"), "ts")
+    return R.run_available(R.moves(rows("error"), rows("view"), "image", within=3600, late="2 hours"), "moves")
 
 
 def stream_debounce(spark, sf_dir):
@@ -94,6 +94,8 @@ QUERIES = [stream_sessions, stream_dwell, stream_moves, stream_debounce, stream_
 
 _REACH = "answered AS (SELECT id, image FROM journal WHERE image IS NOT NULL UNION ALL SELECT r.id, j.image FROM roots r JOIN journal j ON j.id = r.root WHERE j.image IS NOT NULL), reached AS (SELECT * FROM answered UNION ALL SELECT j.id, a.image FROM journal j JOIN answered a ON a.id = j.target_event WHERE j.kind = 'retraction')"
 SQL = {
+    "stream_moves": "SELECT a.event_id % 4 AS image, 'f' || a.event_id AS old_path, 'f' || b.event_id AS new_path FROM events a JOIN events b ON a.event_id % 4 = b.event_id % 4 AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 3600::BIGINT * 1000000 WHERE a.event_type = 'error' AND b.event_type = 'view'",
+    "stream_finals": "SELECT event_id AS utterance FROM events WHERE event_type = 'view'",
     "sidecar_round_trip": with_journal("SELECT id, kind, text, rating, scrubbed FROM journal WHERE id IN (SELECT id FROM reached)", _REACH),
     "sidecar_manifest": with_journal("SELECT image, count(*)::INTEGER AS events FROM reached GROUP BY image", _REACH),
     "rebuilt_stats": with_journal("SELECT image, event_count, has_text, has_strokes, stroke_count FROM stats"),

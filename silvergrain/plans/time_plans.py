@@ -130,8 +130,8 @@ def scan_reconcile(spark, sf_dir):
 
 
 def move_correlation(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select((F.col("event_id") % 300).alias("image"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("rel_path"), "ts", "event_type")
-    return C.correlate_moves(e.where("event_type = 'error'"), e.where("event_type = 'view'"), window=40000)
+    e = table(spark, sf_dir, "events").select((F.col("event_id") % 4).alias("image"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("rel_path"), "ts", "event_type")
+    return C.correlate_moves(e.where("event_type = 'error'"), e.where("event_type = 'view'"), window=3600)
 
 
 def folder_tree(spark, sf_dir):
@@ -172,7 +172,7 @@ def grid_sort_capture(spark, sf_dir):
 
 
 def file_classes(spark, sf_dir):
-    p = tables(spark, sf_dir)["paths"].select("image", F.when(F.col("image") % 5 == 0, F.regexp_replace("rel_path", "jpg", "ARW")).when(F.col("image") % 5 == 1, F.concat(F.lit(".git/"), F.col("rel_path"))).when(F.col("image") % 5 == 2, "a/Thumbs.db").otherwise(F.col("rel_path")).alias("p"))
+    p = tables(spark, sf_dir)["paths"].select("image", F.when(F.col("image") % 5 == 0, F.regexp_replace("rel_path", "jpg", "ARW")).when(F.col("image") % 5 == 1, F.concat(F.lit(".git/"), F.col("rel_path"))).when(F.col("image") % 5 == 2, "a/~$x.gif").otherwise(F.col("rel_path")).alias("p"))
     return p.select("image", C.file_class(F.col("p")).alias("kind"), C.excluded(F.col("p")).alias("excluded"))
 
 
@@ -211,7 +211,7 @@ SQL = {
     "scan_reconcile": """SELECT 'p/' || k AS rel_path, CASE WHEN k % 10 = 1 THEN CASE WHEN k % 6 = 0 THEN 'absent' ELSE 'stale' END WHEN k % 10 = 0 THEN CASE WHEN k + 1 IN (SELECT o_orderkey FROM orders) AND (k + 1) % 6 <> 0 THEN 'moved' ELSE 'new' END
       WHEN k % 6 <> 0 AND k % 4 <> 0 THEN 'unchanged' WHEN k % 8 <> 0 THEN CASE WHEN k % 6 = 0 THEN 'relinked' ELSE 'updated' END ELSE 'superseded' END AS change,
       CASE WHEN k % 10 <> 1 THEN 'h' || CASE WHEN k % 10 = 0 THEN k + 1 WHEN k % 8 = 0 THEN -k ELSE k END END AS hash, CASE WHEN k % 10 <> 0 THEN 'h' || k END AS old_hash FROM (SELECT o_orderkey AS k FROM orders)""",
-    "move_correlation": "SELECT a.event_id % 300 AS image, 'f' || a.event_id AS old_path, 'f' || b.event_id AS new_path FROM events a JOIN events b ON a.event_id % 300 = b.event_id % 300 AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 40000::BIGINT * 1000000 WHERE a.event_type = 'error' AND b.event_type = 'view'",
+    "move_correlation": "SELECT a.event_id % 4 AS image, 'f' || a.event_id AS old_path, 'f' || b.event_id AS new_path FROM events a JOIN events b ON a.event_id % 4 = b.event_id % 4 AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 3600::BIGINT * 1000000 WHERE a.event_type = 'error' AND b.event_type = 'view'",
     "folder_tree": f"{FIXTURE_SQL} SELECT DISTINCT root, array_to_string(string_split(rel_path, '/')[1:n], '/') AS folder FROM paths, (VALUES (1), (2), (3)) v(n) WHERE active AND n < len(string_split(rel_path, '/'))",
     "folder_keys": f"{_PATHS} SELECT image, arg_min(root, (rel_path, root)) || '/' || regexp_replace(min(rel_path), '/[^/]*$', '') AS folder FROM allp WHERE active GROUP BY image",
     "stage_rollup": "SELECT stage, done, total, rate, greatest(total - done, 0) AS remaining, CASE WHEN total - done <= 0 THEN 'done' WHEN rate > 0 THEN 'working' ELSE 'pending' END AS state, CASE WHEN total - done > 0 AND rate > 0 THEN round((total - done) / rate, 4) END AS eta FROM (SELECT l_returnflag AS stage, sum(l_quantity) AS done, sum(l_quantity + CASE WHEN l_returnflag = 'N' THEN 0 ELSE l_linenumber END) AS total, max(CASE WHEN l_returnflag = 'A' THEN l_discount ELSE 0 END) AS rate FROM lineitem GROUP BY 1)",

@@ -17,8 +17,8 @@ def list_files(spark: SparkSession, root: str, content: bool = False) -> DataFra
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace("path", r"^[a-z]+:/*", "/")
-    prefix = root.split(":", 1)[-1].rstrip("/").replace("//", "/") + "/"
-    rows = raw.withColumn("rel_path", F.expr("substring_index(path, '/', -1)") if not prefix else F.substring(rel, len(prefix) + 1, 1 << 30))
+    prefix = "/" + root.split(":", 1)[-1].strip("/") + "/"
+    rows = raw.withColumn("rel_path", F.substring(rel, len(prefix) + 1, 1 << 30))
     out = rows.select("rel_path", F.col("length").alias("size"), micros("modificationTime").alias("mtime"), file_class(F.col("rel_path")).alias("kind"), *([F.sha2("content", 256).alias("hash")] if content else []))
     return out.where(F.col("kind").isNotNull() & ~excluded(F.col("rel_path")))
 
@@ -44,6 +44,6 @@ def foreign_edits(xmp: Column) -> Column:
         element = F.regexp_extract(xmp, rf"<[\w-]+:{name}\s*>\s*([^<]*?)\s*</", 1)
         return F.when(attribute != "", attribute).when(element != "", element)
 
-    rating = value("Rating").try_cast("int") if hasattr(Column, "try_cast") else F.expr("null")
+    rating = value("Rating").try_cast("int")
     crop = F.lower(value("HasCrop")) == "true"
     return F.when(rating.isNotNull() | crop.isNotNull(), F.struct(F.when(rating.between(0, 5), rating).alias("rating"), F.coalesce(crop, F.lit(False)).alias("cropped")))
