@@ -15,7 +15,7 @@ again one merge at a time.
 Edge cases: a null text is encoded as an empty one, to no ids; characters without a piece
 become byte pieces, or the unknown piece if the model has none; bytes that form no
 character decode to U+FFFD; repeated rows are encoded alike; an empty table stays empty;
-other columns pass through ``encode_documents``.
+other columns pass through ``encode_documents``, and those that bear an output's name give way.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +95,7 @@ class PieceModel:
     def encode_batch(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known = dict(islice(self.known.items(), REMEMBERED // 3))  # the first seen are the frequent ones
         split = [self.split(t or "") for t in texts]
         new = list(set().union(*split) - self.known.keys())
         for start in range(0, len(new), 50_000):
@@ -227,6 +228,7 @@ def _lists(encoded: list[bytes]) -> pa.ListArray:
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids_name: str = "ids", decoded_name: str | None = None) -> DataFrame:
     """``docs`` with the ids of each text and, if named, the text decoded from those ids."""
     bound_batches(docs.sparkSession)
+    docs = docs.drop(ids_name, *([decoded_name] if decoded_name else []))
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField(ids_name, T.ArrayType(T.IntegerType(), False))])
     if decoded_name:
@@ -245,6 +247,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids_name: s
 def decode_documents(encoded: DataFrame, path: str, ids_name: str = "ids", decoded_name: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids; null ids give an empty text."""
     bound_batches(encoded.sparkSession)
+    encoded = encoded.drop(decoded_name)
     at = encoded.columns.index(ids_name)
     schema = T.StructType([*encoded.schema.fields, T.StructField(decoded_name, T.StringType())])
 
