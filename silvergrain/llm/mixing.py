@@ -13,7 +13,8 @@ same distribution; so rates have no upper limit.
 Edge cases: rows without a source form a source of their own; a source missing in ``weights``
 gets the weight 0 and goes, unless no weights are given, which means equal weights; a source
 whose sizes sum to 0 (empty or null texts) is sized by its rows; rows with equal ids and
-sources get equal counts; an empty table stays empty; other columns pass through.
+sources get equal counts; an empty table stays empty; other columns
+pass through, and those that bear an output's name give way.
 """
 
 from __future__ import annotations

@@ -7,8 +7,8 @@ of the slot its key hashes to: one hash and one lookup. Slots are spread evenly,
 or removing a shard moves few slots besides those it gains or loses.
 
 Edge cases: a null key hashes like the string of no characters and so has a shard; equal
-keys share a shard; an empty table stays empty; other columns pass through, and a clash
-with the names ``slot`` and ``shard`` can be avoided by ``slot_name`` and ``shard_name``.
+keys share a shard; an empty table stays empty; other columns pass through; one
+that bears an output's name gives way, which ``slot_name`` and ``shard_name`` can avoid.
 """
 
 from __future__ import annotations
@@ -71,4 +71,4 @@ def place(rows: DataFrame, key: str, shards: Sequence[str], size: int = TABLE_SI
     table = table_frame(rows.sparkSession, fill_table(shards, size, weights), shards)
     table = table.select(F.col("slot").alias("__sg_slot"), F.col("shard").alias(shard_name))
     slot = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(size))
-    return rows.withColumn(slot_name, slot).join(F.broadcast(table), F.col(slot_name) == F.col("__sg_slot"), "left").drop("__sg_slot")
+    return rows.drop(shard_name).withColumn(slot_name, slot).join(F.broadcast(table), F.col(slot_name) == F.col("__sg_slot"), "left").drop("__sg_slot")
