@@ -37,7 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that all sources have equal shares of the characters, shuffled."""
-    return mixing.replicate(docs, seed=MIX_SEED).select(docs.columns)
+    return mixing.replicate(docs, seed=MIX_SEED, copy_name="__sg_copy", order_name="__sg_order").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
