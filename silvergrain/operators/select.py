@@ -8,8 +8,10 @@ the centroids, a few vectors, go round by the driver.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -33,52 +35,81 @@ def trade_off(tolerance: float, floor: float = TUNING.lambda_floor) -> float:
     return 1 - t * (1 - f)
 
 
+def _next(heap: list, key: Callable) -> object | None:
+    """The node of the least key. Keys only grow, so a stale one goes back in with its present value."""
+    while heap:
+        old, node = heapq.heappop(heap)
+        now = key(node)
+        if now is None:
+            continue
+        if now == old:
+            return node
+        heapq.heappush(heap, (now, node))
+    return None
+
+
+def _heap(nodes: list, key: Callable) -> list:
+    out = [(k, n) for n in nodes if (k := key(n)) is not None]
+    heapq.heapify(out)
+    return out
+
+
 def _facility(nodes: list, near: dict, quality: dict, limit: float, _: float) -> list:
     """Take what covers most of what is not covered yet, until everything is."""
-    cover, chosen = dict.fromkeys(nodes, 0.0), []
-    while any(cover[n] < limit for n in nodes):
-        def gain(c: object) -> float:
-            own = 1.0 - cover[c] if cover[c] < limit else 0.0
-            return own + sum(s - cover[n] for n, s in near[c].items() if s >= limit and s > cover[n])
-
-        left = [n for n in nodes if n not in set(chosen)]
-        if not left:
-            break
-        pick = min(left, key=lambda c: (-gain(c), -quality.get(c, 0.0), c))
-        chosen.append(pick)
+    cover, chosen, open_ = dict.fromkeys(nodes, 0.0), set(), set(nodes)
+
+    def key(c: object) -> tuple | None:
+        if c in chosen:
+            return None
+        own = 1.0 - cover[c] if cover[c] < limit else 0.0
+        return -(own + sum(s - cover[n] for n, s in near[c].items() if s >= limit and s > cover[n])), -quality.get(c, 0.0), c
+
+    heap = _heap(nodes, key)
+    while open_ and (pick := _next(heap, key)) is not None:
+        chosen.add(pick)
         cover[pick] = 1.0
+        open_.discard(pick)
         for n, s in near[pick].items():
             if s >= limit:
                 cover[n] = max(cover[n], s)
-    return chosen
+                open_.discard(n)
+    return list(chosen)
 
 
 def _marginal(nodes: list, near: dict, quality: dict, limit: float, weight: float) -> list:
     """Take the best trade of quality against likeness to what is shown; what is too like goes."""
-    closest, left, shown = dict.fromkeys(nodes, 0.0), set(nodes), []
-    pick = min(nodes, key=lambda n: (-quality.get(n, 0.0), n))
+    closest, shown = dict.fromkeys(nodes, 0.0), set()
+
+    def key(n: object) -> tuple | None:
+        if n in shown or closest[n] >= limit:
+            return None
+        q = quality.get(n, 0.0)
+        return -(weight * q - (1 - weight) * closest[n]), -q, n
+
+    pick, heap = min(nodes, key=lambda n: (-quality.get(n, 0.0), n)), _heap(nodes, key)
     while pick is not None:
-        left.discard(pick)
-        shown.append(pick)
+        shown.add(pick)
         for n, s in near[pick].items():
             closest[n] = max(closest[n], s)
-        left = {n for n in left if closest[n] < limit}
-        pick = min(left, key=lambda n: (-(weight * quality.get(n, 0.0) - (1 - weight) * closest[n]), -quality.get(n, 0.0), n), default=None)
-    return shown
+        pick = _next(heap, key)
+    return list(shown)
 
 
 def _centers(nodes: list, near: dict, quality: dict, limit: float, _: float) -> list:
     """Take the farthest from all chosen ones, until none is far."""
-    closest, chosen = dict.fromkeys(nodes, 0.0), []
-    pick = min(nodes, key=lambda n: (-quality.get(n, 0.0), n))
+    closest, chosen = dict.fromkeys(nodes, 0.0), set()
+
+    def key(n: object) -> tuple | None:
+        return None if n in chosen or closest[n] >= limit else (-(1 - closest[n]), -quality.get(n, 0.0), n)
+
+    pick, heap = min(nodes, key=lambda n: (-quality.get(n, 0.0), n)), _heap(nodes, key)
     while pick is not None:
-        chosen.append(pick)
+        chosen.add(pick)
         closest[pick] = 1.0
         for n, s in near[pick].items():
             closest[n] = max(closest[n], s)
-        done = set(chosen)
-        pick = min((n for n in nodes if n not in done and closest[n] < limit), key=lambda n: (-(1 - closest[n]), -quality.get(n, 0.0), n), default=None)
-    return chosen
+        pick = _next(heap, key)
+    return list(chosen)
 
 
 METHODS = {"facility": _facility, "mmr": _marginal, "k_center": _centers}
