@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -70,6 +70,41 @@ def postings(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFr
     return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
 
 
+def build_index(docs: DataFrame, folder: str, key: str = "doc_id", body: str = "text") -> None:
+    """Write the inverted index: postings in ranges of terms, sorted by term, and one row of statistics.
+
+    Parquet's row-group statistics then let a search read only the row groups of its terms.
+    Terms that very many documents hold fill several files, split by key.
+    """
+    post = docs.select(F.col(key).alias("doc_id"), F.coalesce(text.tokens(F.col(body)), F.array().cast("array<string>")).alias("t"))
+    post.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("tokens")).write.mode("overwrite").parquet(f"{folder}/corpus")
+    exploded = post.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    exploded.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{folder}/postings")
+
+
+def search_index(spark: SparkSession, folder: str, query: str, limit: int = TUNING.text_limit) -> DataFrame:
+    """(doc_id, score) as ``search`` gives, from an index: reads the postings of the query's terms and nothing else."""
+    exact, last = parse_query(query)
+    terms = [(t, False) for e in exact for t in _fold(e)]
+    ending = _fold(last) if last else []
+    terms += [(t, False) for t in ending[:-1]] + [(t, True) for t in ending[-1:]]
+    post = spark.read.schema("doc_id long, term string, tf long, len int").parquet(f"{folder}/postings")
+    if not terms:
+        return post.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+    matches = [F.col("term").startswith(t) if prefix else F.col("term") == t for t, prefix in terms]
+    wanted = matches[0]
+    for m in matches[1:]:
+        wanted = wanted | m
+    found = post.where(wanted).groupBy("doc_id").agg(F.first("len").alias("len"), *(F.sum(F.when(m, F.col("tf")).otherwise(0)).alias(f"f{i}") for i, m in enumerate(matches)))
+    n, tokens = spark.read.schema("n long, tokens long").parquet(f"{folder}/corpus").head()
+    held = found.agg(*(F.count_if(F.col(f"f{i}") > 0) for i in range(len(terms)))).head()
+    every, score = F.lit(True), F.lit(0.0)
+    for i, df in enumerate(held):
+        every = every & (F.col(f"f{i}") > 0)
+        score = score + _idf(F.lit(float(n)), F.lit(float(df))) * _saturated(F.col(f"f{i}"), F.col("len"), F.lit(tokens / max(n, 1)))
+    return found.where(every).select("doc_id", F.round(-score, DIGITS).alias("score")).orderBy("score", "doc_id").limit(limit)
+
+
 def search_batch(docs: DataFrame, queries: DataFrame, key: str = "doc_id", body: str = "text", query_key: str = "item_id", query: str = "text", limit: int = 10) -> DataFrame:
     """(query_key, key, score, rank) of many queries at once; all terms exact and required.
 

@@ -211,3 +211,13 @@ def test_grams(spark):
 def test_plans_push_filters_and_columns(spark, data):
     plan = spark._jvm.PythonSQLUtils.explainString(filters.browse(spark.read.parquet(f"{data}/orders.parquet").selectExpr("o_orderkey AS image", "o_orderdate AS capture_ts"), [filters.Captured(dt.datetime(1996, 1, 1))], {})._jdf.queryExecution(), "formatted")
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in plan and "TakeOrderedAndProject" in plan and "o_totalprice" not in plan
+
+
+def test_an_index_gives_what_a_scan_gives_and_reads_only_its_terms(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(("fog", "barn", "fogbank", "Éclair")[k % 4] for k in range(i % 7 + 1))) for i in range(60)] + [(99, None)], "doc_id long, text string")
+    search.build_index(docs, str(tmp_path))
+    for q in ("fog", "barn fo", "eclair barn", "none", ""):
+        got, want = search.search_index(spark, str(tmp_path), q), search.search(docs, q)
+        assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
+    plan = spark._jvm.PythonSQLUtils.explainString(search.search_index(spark, str(tmp_path), "barn fo")._jdf.queryExecution(), "formatted")
+    assert "PushedFilters: [Or(EqualTo(term,barn),StringStartsWith(term,fo))]" in plan
