@@ -97,6 +97,50 @@ OP3_SQL = OP3_SQL.replace("""m AS (
   SELECT *, lead(conv_id) OVER () AS unused FROM conversations
 ), """, "")
 
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d
+), win AS (
+  SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, k) AS times FROM (SELECT doc_id, p, array_to_string(w[p:p + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM w WHERE len(w) >= 5))
+), covered AS (
+  SELECT doc_id, count(DISTINCT p + i) AS n_repeat_words FROM win, range(0, 5) r(i) WHERE times > 1 GROUP BY doc_id
+), line_sums AS (
+  SELECT doc_id, sum((n - 1) * b) AS again, sum(n * b) AS whole FROM (SELECT doc_id, l, count(*) AS n, any_value(strlen(l)) AS b FROM (SELECT doc_id, unnest(lines) AS l FROM w) GROUP BY doc_id, l) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n_repeat_words, 0) AS n_repeat_words, coalesce(again, 0) AS again, coalesce(whole, 0) AS whole,
+    len(list_filter(list_zip(w[1:-2], w[2:]), lambda x: x[1] = x[2])) AS stutter,
+    length(t) - length(regexp_replace(t, '[\x21-\x40\x5b-\x60\x7b-\x7e]', '', 'g')) AS other, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS upper
+  FROM w LEFT JOIN covered c USING (doc_id) LEFT JOIN line_sums USING (doc_id)
+), b AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR (n_dup_lines > 0 AND 10 * again > 3 * whole) OR 10 * stutter > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 10 * other > 6 * word_chars OR 2 * upper > word_chars) AS kept
+FROM b
+"""
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM w WHERE len(w) >= 5)
+  UNION ALL SELECT doc_id, len(w) || ' ' || array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), reach(node, seen) AS (
+  SELECT a, a FROM e UNION SELECT b, b FROM e
+  UNION SELECT r.node, CASE WHEN e.a = r.seen THEN e.b ELSE e.a END FROM reach r JOIN e ON e.a = r.seen OR e.b = r.seen
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce((SELECT min(seen) FROM reach WHERE node = w.doc_id), w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id)
+"""
+
 OP6_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
@@ -129,4 +173,4 @@ SELECT *, CAST('0x' || substr(md5('{MIX_SEED}|' || coalesce(doc_id::VARCHAR, '')
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6_SQL, "op3_chat_format": OP3_SQL, "op8_source_mix": OP8_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op5_jaccard_join": OP5_SQL, "op6_warc": OP6_SQL, "op3_chat_format": OP3_SQL, "op8_source_mix": OP8_SQL}
