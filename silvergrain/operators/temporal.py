@@ -38,21 +38,26 @@ def bursts(rows: DataFrame, folder: str, ts: str, item: str, gap: int = TUNING.s
     return found.where(F.col("n") >= least).select(folder, "start", "n", "members")
 
 
-def as_of(facts: DataFrame, states: DataFrame, by: str, ts: str, key: str, state_ts: str, value: str) -> DataFrame:
+def as_of(facts: DataFrame, states: DataFrame, by: str, ts: str, key: str, state_ts: str, value: str, bucket_seconds: int = 86_400) -> DataFrame:
     """``facts`` with the newest state not after each, or the oldest state and ``predated`` where all are later.
 
-    Both sides are sorted together once per key; no pairs are formed. Facts of a key without
-    any state have a null state.
+    Both sides are sorted together within buckets of time, so a key with very many rows is
+    spread over tasks; the last state of each bucket, one row a bucket, is carried forward. No
+    pairs are formed. Facts of a key without any state have a null state.
     """
     kept = [c for c in facts.columns if c not in (by, ts)]
-    left = facts.select(by, F.col(ts).alias("__t"), F.lit(1).alias("__side"), F.struct(*kept).alias("__fact"), F.lit(None).cast(states.schema[value].dataType).alias("__v"), F.lit(None).cast("long").alias("__k"))
-    right = states.select(by, F.col(state_ts).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(left.schema["__fact"].dataType).alias("__fact"), F.col(value).alias("__v"), F.col(key).cast("long").alias("__k"))
-    order = W.partitionBy(by).orderBy("__t", "__side", "__k")
-    state = F.when(F.col("__side") == 0, F.struct(F.col("__v").alias("v"), F.col("__t").alias("t")))
-    seen = left.unionByName(right).withColumns({"__last": F.last(state, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)), "__first": F.first(state, ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))})
-    facts_only = seen.where("__side = 1")
-    chosen = F.coalesce("__last", "__first")
-    return facts_only.select(by, F.col("__t").alias(ts), "__fact.*", chosen["v"].alias(value), (F.col("__last").isNull() & F.col("__first").isNotNull()).alias("predated"))
+    bucket = lambda c: F.floor(micros(c) / (bucket_seconds * 1_000_000)).alias("__b")
+    left = facts.select(by, bucket(ts), F.col(ts).alias("__t"), F.lit(1).alias("__side"), F.struct(*kept).alias("__fact"), F.lit(None).cast("long").alias("__k"), F.lit(None).cast(states.schema[value].dataType).alias("__v"))
+    right = states.select(by, bucket(state_ts), F.col(state_ts).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(left.schema["__fact"].dataType).alias("__fact"), F.col(key).cast("long").alias("__k"), F.col(value).alias("__v"))
+    both = left.unionByName(right)
+    state = F.when(F.col("__side") == 0, F.struct("__t", "__k", "__v"))
+    inside = both.withColumn("__in", F.last(state, ignorenulls=True).over(W.partitionBy(by, "__b").orderBy("__t", "__side", "__k").rowsBetween(W.unboundedPreceding, 0))).where("__side = 1")
+    buckets = both.groupBy(by, "__b").agg(F.max(state).alias("__last"))
+    carried = buckets.select(by, "__b", F.last("__last", ignorenulls=True).over(W.partitionBy(by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)).alias("__before"))
+    oldest = right.groupBy(by).agg(F.min(F.struct("__t", "__k", "__v")).alias("__first"))
+    joined = inside.join(carried, [by, "__b"], "left").join(oldest, by, "left")
+    found = F.coalesce("__in", "__before")
+    return joined.select(by, F.col("__t").alias(ts), "__fact.*", F.coalesce(found, F.col("__first"))["__v"].alias(value), (found.isNull() & F.col("__first").isNotNull()).alias("predated"))
 
 
 def link_intervals(spans: DataFrame, candidates: DataFrame, by: str, gap: int = TUNING.link_gap_seconds, gate: str | None = None) -> DataFrame:
