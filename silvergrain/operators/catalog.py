@@ -156,6 +156,11 @@ def retry_state(attempts: Column, lifetime: Column) -> Column:
     return F.when((attempts >= 3) | (lifetime >= 10), F.lit(None)).when(attempts <= 1, 60).otherwise(600)
 
 
+def write_backoff(attempts: Column) -> Column:
+    """Seconds to wait after so many failed writes; the last step repeats."""
+    return F.when(attempts <= 1, 1).when(attempts == 2, 5).when(attempts == 3, 30).otherwise(300)
+
+
 def folder_tree(paths: DataFrame) -> DataFrame:
     """(root, folder): every ancestor folder of an active path."""
     parts = F.split(text.parent_folder(F.col("rel_path")), "/")

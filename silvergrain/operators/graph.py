@@ -119,21 +119,52 @@ def density_grid(points: DataFrame, cell: float, weight: str = "w") -> DataFrame
     return points.groupBy(F.floor(F.col("x") / cell).alias("gx"), F.floor(F.col("y") / cell).alias("gy")).agg(F.sum(weight).alias("w"))
 
 
-# ---------------------------------------------------------------- strokes: arrays of (x, y)
+# ---------------------------------------------------------------- strokes: arrays of (x, y), fractions of width and height
 
+# Steps of a coordinate, how far it may overshoot, what is too small and brief to keep.
+GRID, OVERSHOOT = 10_000, 2_500
+LEAST_LENGTH, LEAST_MS = 0.003, 100
 
-def stroke_length(points: Column) -> Column:
-    """Path length of an array of points."""
-    steps = F.zip_with(F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), lambda p, q: F.hypot(q["x"] - p["x"], q["y"] - p["y"]))
-    return F.aggregate(steps, F.lit(0.0), lambda s, d: s + d)
+
+def _steps(points: Column) -> tuple[Column, Column]:
+    n = F.greatest(F.size(points) - 1, F.lit(0))
+    return F.slice(points, 1, n), F.slice(points, 2, n)
+
+
+def stroke_length(points: Column, width: Column | float = 1.0, height: Column | float = 1.0) -> Column:
+    """Path length in units of the image's long edge."""
+    w, h = (x if isinstance(x, Column) else F.lit(float(x)) for x in (width, height))
+    edge = F.greatest(w, h)
+    pieces = F.zip_with(*_steps(points), lambda p, q: F.hypot((q["x"] - p["x"]) * (w / edge), (q["y"] - p["y"]) * (h / edge)))
+    return F.aggregate(pieces, F.lit(0.0), lambda s, d: s + d)
+
+
+def worth_keeping(length: Column, duration_ms: Column) -> Column:
+    """A stroke goes only if it is both tiny and brief."""
+    return ~((length < LEAST_LENGTH) & (duration_ms < LEAST_MS))
 
 
-def quantized_points(points: Column, grid: int = 65535) -> Column:
-    """Points in [0, 1] as whole numbers of a grid, clamped."""
-    q = lambda v: F.least(F.lit(grid), F.greatest(F.lit(0), F.round(v * grid))).cast("int")
+def quantized_points(points: Column) -> Column:
+    """Fractions as whole steps, clamped where they overshoot the image too far."""
+    q = lambda v: F.least(F.lit(GRID + OVERSHOOT), F.greatest(F.lit(-OVERSHOOT), F.floor(v * GRID + 0.5))).cast("int")
     return F.transform(points, lambda p: F.struct(q(p["x"]).alias("x"), q(p["y"]).alias("y")))
 
 
+def _turned(p: Column, orientation: Column, back: bool) -> Column:
+    """A point of the stored image as displayed under an EXIF orientation, or ``back``."""
+    x, y = p["x"], p["y"]
+    at = {1: (x, y), 2: (1 - x, y), 3: (1 - x, 1 - y), 4: (x, 1 - y), 5: (y, x), 6: (1 - y, x), 7: (1 - y, 1 - x), 8: (y, 1 - x)}
+    if back:  # a quarter turn one way is undone by the other; the rest undo themselves
+        at[6], at[8] = at[8], at[6]
+    pick = lambda i: F.coalesce(*(F.when(orientation == k, v[i]) for k, v in at.items()), at[1][i])
+    return F.struct(pick(0).alias("x"), pick(1).alias("y"))
+
+
+def remapped(points: Column, drawn: Column, shown: Column) -> Column:
+    """Points drawn under one EXIF orientation, as they lie under another."""
+    return F.transform(F.transform(points, lambda p: _turned(p, drawn, True)), lambda p: _turned(p, shown, False))
+
+
 def distance_to_stroke(points: Column, x: Column, y: Column) -> Column:
     """Distance from a point to the polyline; to its only point where it has one."""
     def piece(p: Column, q: Column) -> Column:
@@ -142,9 +173,8 @@ def distance_to_stroke(points: Column, x: Column, y: Column) -> Column:
         t = F.when(long > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((x - p["x"]) * dx + (y - p["y"]) * dy) / long))).otherwise(F.lit(0.0))
         return F.hypot(x - p["x"] - t * dx, y - p["y"] - t * dy)
 
-    n = F.greatest(F.size(points) - 1, F.lit(0))
     alone = F.transform(points, lambda p: F.hypot(x - p["x"], y - p["y"]))
-    return F.when(F.size(points) > 1, F.array_min(F.zip_with(F.slice(points, 1, n), F.slice(points, 2, n), piece))).otherwise(F.array_min(alone))
+    return F.when(F.size(points) > 1, F.array_min(F.zip_with(*_steps(points), piece))).otherwise(F.array_min(alone))
 
 
 def eraser_pick(strokes: DataFrame, radius: float) -> DataFrame:

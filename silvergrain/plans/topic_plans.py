@@ -71,7 +71,7 @@ def topic_density(spark, sf_dir):
 def stroke_shapes(spark, sf_dir):
     pts = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.struct(F.element_at("embedding", i).cast("double").alias("x"), F.element_at("embedding", i + 20).cast("double").alias("y")))
     e = table(spark, sf_dir, "embeddings").select("vec_id", pts.alias("points"))
-    return e.select("vec_id", F.round(G.stroke_length(F.col("points")), 5).alias("length"), F.round(G.distance_to_stroke(F.col("points"), F.lit(0.05), F.lit(0.0)), 5).alias("distance"), F.element_at(G.quantized_points(F.col("points")), 1)["x"].alias("qx"))
+    return e.select("vec_id", F.round(G.stroke_length(F.col("points"), F.lit(6000.0), F.lit(4000.0)), 5).alias("length"), G.worth_keeping(G.stroke_length(F.slice("points", 1, 2)), F.col("vec_id") % 200).alias("kept"), F.round(G.distance_to_stroke(F.col("points"), F.lit(0.05), F.lit(0.0)), 5).alias("distance"), F.element_at(G.quantized_points(F.col("points")), 1)["x"].alias("qx"))
 
 
 def eraser_picks(spark, sf_dir):

@@ -221,3 +221,17 @@ def test_an_index_gives_what_a_scan_gives_and_reads_only_its_terms(spark, tmp_pa
         assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
     plan = spark._jvm.PythonSQLUtils.explainString(search.search_index(spark, str(tmp_path), "barn fo")._jdf.queryExecution(), "formatted")
     assert "PushedFilters: [Or(EqualTo(term,barn),StringStartsWith(term,fo))]" in plan
+
+
+def test_stroke_geometry(spark):
+    pts = "array<struct<x:double,y:double>>"
+    row = spark.createDataFrame([([(0.0, 0.0), (0.5, 0.0), (0.5, 0.5)], [(0.25, 0.75)], [], 6, 1)], f"p {pts}, one {pts}, none {pts}, drawn int, shown int").select(
+        graph.stroke_length(F.col("p"), 6000, 3000).alias("length"), graph.stroke_length(F.col("one")).alias("dot"), graph.stroke_length(F.col("none")).alias("nothing"),
+        graph.distance_to_stroke(F.col("p"), F.lit(0.25), F.lit(0.1)).alias("near"), graph.quantized_points(F.transform("one", lambda p: F.struct((p["x"] * 8).alias("x"), p["y"].alias("y")))).alias("q"),
+        graph.remapped(F.col("one"), F.col("drawn"), F.col("shown")).alias("back"), *(graph.remapped(graph.remapped(F.col("one"), F.lit(1), F.lit(k)), F.lit(k), F.lit(1)).alias(f"r{k}") for k in range(1, 9)),
+        graph.worth_keeping(F.lit(0.0001), F.lit(10)).alias("tiny"), graph.worth_keeping(F.lit(0.0001), F.lit(900)).alias("slow"),
+    ).head()
+    assert row.length == pytest.approx(0.5 + 0.25) and row.dot == row.nothing == 0.0 and row.near == pytest.approx(0.1)
+    assert (row.q[0].x, row.q[0].y) == (graph.GRID + graph.OVERSHOOT, 7500)
+    assert all((row[f"r{k}"][0].x, row[f"r{k}"][0].y) == (0.25, 0.75) for k in range(1, 9))
+    assert (row.back[0].x, row.back[0].y) == (0.75, 0.75) and not row.tiny and row.slow
