@@ -46,7 +46,7 @@ MOST_HOT = 4_000_000
 #: Bits of a hash in the count; more cells than a corpus of 100 TB has shingles.
 COUNT_BITS = 44
 #: A task hands over what it has gathered when it holds so many shingles.
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 #: So many ids at most are broadcast when texts are read again; more are joined.
 BROADCAST_IDS = 1_000_000
 
