@@ -260,7 +260,7 @@ def revisits(found: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     order = F.struct(F.col("rank"), F.col("file"), F.col("place"))
     long_ones = found.where(F.col("n_bytes") >= least)
     kept = long_ones.groupBy("digest", "n_bytes").agg(F.max(F.struct(order.alias("o"), "id", "uri", "date")).alias("to"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
-    return long_ones.join(kept, ["digest", "n_bytes"]).where((F.col("file") != F.col("to.o.file")) | (F.col("place") != F.col("to.o.place"))).select("file", "place", F.struct("to.id", "to.uri", "to.date").alias("to"))
+    return long_ones.join(kept.hint("merge"), ["digest", "n_bytes"]).where((F.col("file") != F.col("to.o.file")) | (F.col("place") != F.col("to.o.place"))).select("file", "place", F.struct("to.id", "to.uri", "to.date").alias("to"))
 
 
 def convert(spark: SparkSession, arcs: list[dict], folder: str, least: int = MIN_BYTES) -> list[dict]:
@@ -271,7 +271,7 @@ def convert(spark: SparkSession, arcs: list[dict], folder: str, least: int = MIN
     if not arcs:
         return []
     per_file = revisits(places(spark, arcs), least).groupBy("file").agg(F.collect_list(F.struct("place", "to")).alias("revisits"))
-    work = _paths(spark, arcs).join(per_file, F.col("path") == F.col("file"), "left").select("path", "revisits")
+    work = _paths(spark, arcs).join(per_file.hint("merge"), F.col("path") == F.col("file"), "left").select("path", "revisits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -367,5 +367,5 @@ def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     warcs = convert(spark, write_arcs(pages, new_folder(spark, "arc"), key, url, html), new_folder(spark, "warc"), least)
     read = read_warcs(spark, warcs, payloads=False).drop("payload")
     to = read.where((F.col("record_type") == "response") & (F.col("payload_bytes") >= least)).select(F.col("record_id").alias("__id"), F.col("page_id").alias("refers_to"))
-    return read.join(to, F.col("refers_to_id") == F.col("__id"), "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read.join(to.hint("merge"), F.col("refers_to_id") == F.col("__id"), "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
