@@ -85,8 +85,14 @@ class Signatures:
         self.place = self.unit @ for_sort
 
 
+def packed_kind(vectors: DataFrame, vec: str) -> str:
+    """How components travel: as they are, single or double; all arithmetic is in doubles."""
+    return "<f4" if vectors.schema[vec].dataType.simpleString() == "array<float>" else "<f8"
+
+
 def usable(vectors: DataFrame, vec: str) -> DataFrame:
-    """``vectors`` with ``__vec``: the components as doubles in binary, null where the vector can't link."""
+    """``vectors`` with ``__vec``: the components in binary, null where the vector can't link."""
+    kind = packed_kind(vectors, vec)
     arrow_vec = "__vec"
 
     @F.arrow_udf("binary")
@@ -94,7 +100,7 @@ def usable(vectors: DataFrame, vec: str) -> DataFrame:
         out = []
         for x in lists.to_pylist():
             a = None if not x or any(v is None for v in x) else np.array(x, np.float64)
-            out.append(a.tobytes() if a is not None and np.isfinite(a).all() and a.any() else None)
+            out.append(a.astype(kind).tobytes() if a is not None and np.isfinite(a).all() and a.any() else None)
         return pa.array(out, pa.binary())
 
     return vectors.withColumn(arrow_vec, packed(F.col(vec)))
@@ -108,6 +114,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
     classes = written(told.where(F.col("vec").isNotNull() & F.col("vec_id").isNotNull()).groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vector-classes")
     # rows that share an id but not a vector are told apart by a number of their own
     classes = written(classes.withColumn("node", F.xxhash64("vec", "rep")), "vector-nodes")
+    kind = packed_kind(vectors, vec)
+    item = np.dtype(kind).itemsize
     signs, tables = calibrate(classes.count(), cosine, recall)
     width = WINDOW_SIGMAS * math.sqrt(2 - 2 * cosine)
 
@@ -117,8 +125,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
             lengths = np.array([len(x) for x in raw])
             for n in np.unique(lengths):
                 at = np.flatnonzero(lengths == n)
-                s = Signatures(np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(len(at), -1), signs, tables)
-                dim = np.full(len(at) * tables, n // 8, np.int32)
+                s = Signatures(np.frombuffer(b"".join(raw[i] for i in at), kind).astype(np.float64).reshape(len(at), -1), signs, tables)
+                dim = np.full(len(at) * tables, n // item, np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node[at], tables)), pa.array(dim), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(at))), pa.array(s.bucket.reshape(-1))], names=["node", "dim", "tab", "bucket"])
 
     dealt = classes.select("node", "vec").mapInArrow(deal, "node long, dim int, tab int, bucket long")
@@ -167,7 +175,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
         t = pa.Table.from_batches(held)
         node, copies, own = t["node"].to_numpy(), t["copies"].to_numpy(), t["own"].to_numpy()
         lo, hi, tab = t["lo"][0].as_py(), t["hi"][0].as_py(), t["tab"][0].as_py()
-        raw = np.frombuffer(b"".join(t["vec"].to_pylist()), np.float64).reshape(len(node), -1)
+        raw = np.frombuffer(b"".join(t["vec"].to_pylist()), kind).astype(np.float64).reshape(len(node), -1)
         s = Signatures(raw, signs, tables)
         order = np.argsort(s.place[:, tab], kind="stable")
         node, copies, own = node[order], copies[order], own[order]
