@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,27 +57,30 @@ def close(token: Column, value: Column) -> Column:
 def align(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int, int]:
     """(hits, substitutions, deletions, insertions) of a shortest alignment; the diagonal is preferred, then deletion.
 
-    Costs are kept for whole rows; the way back walks them once.
+    Costs are worked out a row at a time; of each cell only the move that leads to it is kept, a byte.
     """
-    rows = [list(range(len(hypothesis) + 1))]
-    for i, r in enumerate(reference, 1):
-        above, row = rows[-1], [i]
-        for j, h in enumerate(hypothesis, 1):
-            row.append(min(above[j - 1] + (r != h), above[j] + 1, row[j - 1] + 1))
-        rows.append(row)
-    i, j = len(reference), len(hypothesis)
+    numbers: dict[str, int] = {}
+    a = [numbers.setdefault(w, len(numbers)) for w in reference]
+    b = np.array([numbers.setdefault(w, len(numbers)) for w in hypothesis], dtype=np.int64)
+    places = np.arange(len(b) + 1)
+    above = places
+    moves = np.empty((len(a), len(b)), dtype=np.uint8)
+    for i, word in enumerate(a):
+        diagonal, down = above[:-1] + (b != word), above[1:] + 1
+        row = np.minimum.accumulate(np.concatenate(([i + 1], np.minimum(diagonal, down))) - places) + places
+        moves[i] = np.where(row[1:] == diagonal, 0, np.where(row[1:] == down, 1, 2))
+        above = row
+    i, j = len(a), len(b)
     counts = {"hit": 0, "sub": 0, "del": 0, "ins": 0}
-    while i or j:
-        if i and j:
-            same = reference[i - 1] == hypothesis[j - 1]
-            if rows[i][j] == rows[i - 1][j - 1] + (not same):
-                counts["hit" if same else "sub"] += 1
-                i, j = i - 1, j - 1
-                continue
-        if i and rows[i][j] == rows[i - 1][j] + 1:
+    while i and j:
+        move = moves[i - 1, j - 1]
+        if move == 0:
+            counts["hit" if a[i - 1] == b[j - 1] else "sub"] += 1
+            i, j = i - 1, j - 1
+        elif move == 1:
             counts["del"] += 1
             i -= 1
         else:
             counts["ins"] += 1
             j -= 1
-    return counts["hit"], counts["sub"], counts["del"], counts["ins"]
+    return counts["hit"], counts["sub"], counts["del"] + i, counts["ins"] + j

@@ -88,7 +88,7 @@ def chunk_spans(spark, sf_dir):
 def _turn_pairs(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hypothesis"))
-    return c.select("conv_id", "turn", F.substring("text", 1, 400).alias("reference")).join(nxt.withColumn("hypothesis", F.substring("hypothesis", 1, 400)), ["conv_id", "turn"])
+    return c.select("conv_id", "turn", F.col("text").alias("reference")).join(nxt, ["conv_id", "turn"])
 
 
 def wer_by_turn(spark, sf_dir):
