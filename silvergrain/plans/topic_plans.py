@@ -105,7 +105,7 @@ def topic_suggestions(spark, sf_dir):
 
 
 def _links(spark, sf_dir):
-    return journal(spark, sf_dir).where("kind IN ('remark', 'rating', 'stroke') AND image IS NOT NULL AND id % 20 = 0").select("session", "image")
+    return journal(spark, sf_dir).where("kind IN ('remark', 'rating', 'stroke') AND image IS NOT NULL").select("session", "image")
 
 
 def co_annotation(spark, sf_dir):

@@ -1,8 +1,12 @@
 """Queries do the whole job: no prefix of a text, no share of the rows, no cap."""
 
+import os
 import random
 import re
 
+import duckdb
+import pytest
+
 from silvergrain.functions import similarity
 from silvergrain.plans import registry
 
@@ -45,3 +49,37 @@ def test_word_errors_are_of_whole_turns(spark, data):
     assert got == want
     whole = registry.queries()["wer_corpus"](spark, data).collect()[0]
     assert (whole.ref_words, whole.edits) == (sum(v[4] for v in want.values()), sum(sum(v[1:4]) for v in want.values()))
+
+
+@pytest.fixture(scope="module")
+def duck(data):
+    con = duckdb.connect()
+    con.sql("SET timezone = 'UTC'")
+    for f in os.listdir(data):
+        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{data}/{f}'")
+    return con
+
+
+def _whole(duck, name, *cuts):
+    """Rows of the registered SQL without its cuts, if it has them."""
+    sql = registry.oracle_sql()[name]
+    for cut, whole in cuts:
+        sql = sql.replace(cut, whole)
+    found = duck.sql(sql)
+    return found.columns, found.fetchall()
+
+
+def test_co_annotation_has_all_annotations(spark, data, duck):
+    columns, want = _whole(duck, "co_annotation", (" AND id % 20 = 0", ""))
+    got = registry.queries()["co_annotation"](spark, data).select(columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    links = duck.sql("SELECT count(*) FROM (SELECT DISTINCT user_id, event_id % 500 FROM events WHERE event_type IN ('view', 'click', 'purchase'))").fetchall()[0][0]
+    few = duck.sql("SELECT coalesce(sum(n), 0) FROM (SELECT count(DISTINCT event_id % 500) AS n FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY user_id) WHERE n < 3").fetchall()[0][0]
+    assert sum(r.score for r in got) == links - few
+
+
+def test_collection_suggestions_count_all_annotations(spark, data, duck):
+    most = [r[0] for r in duck.sql("SELECT count(DISTINCT event_id % 500) AS n FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY user_id ORDER BY 1 DESC LIMIT 24").fetchall()]
+    got = registry.queries()["collection_suggestions"](spark, data).collect()
+    scores = sorted((r.score for r in got if r.source == "co_annotation"), reverse=True)
+    assert scores and scores == most[: len(scores)]
