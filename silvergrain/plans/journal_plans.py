@@ -98,7 +98,7 @@ def _dirty(spark, sf_dir):
 
 
 def dirty_drain(spark, sf_dir):
-    return J.drain_order(_dirty(spark, sf_dir)).limit(50)
+    return J.drain_order(_dirty(spark, sf_dir))
 
 
 def dirty_acknowledged(spark, sf_dir):

@@ -168,7 +168,7 @@ def channel_histogram(spark, sf_dir):
 
 
 def grid_sort_capture(spark, sf_dir):
-    return C.grid_sorted(images(spark, sf_dir), "capture_asc").select("image", "capture_ts").limit(300)
+    return C.grid_sorted(images(spark, sf_dir), "capture_asc").select("image", "capture_ts")
 
 
 def file_classes(spark, sf_dir):

@@ -83,3 +83,11 @@ def test_collection_suggestions_count_all_annotations(spark, data, duck):
     got = registry.queries()["collection_suggestions"](spark, data).collect()
     scores = sorted((r.score for r in got if r.source == "co_annotation"), reverse=True)
     assert scores and scores == most[: len(scores)]
+
+
+@pytest.mark.parametrize("name,cap", [("grid_sort_capture", " LIMIT 300"), ("dirty_drain", " LIMIT 50")])
+def test_sorted_lists_are_whole(spark, data, duck, name, cap):
+    columns, want = _whole(duck, name, (cap, ""))
+    assert len(want) > int(cap.split()[1])
+    got = registry.queries()[name](spark, data).select(columns).collect()
+    assert list(map(tuple, got)) == want
