@@ -12,11 +12,11 @@ later of its own turn and its call's place, a level deeper than the call if at t
 Rows, not arrays, hold a conversation, so one of any length is spread over tasks.
 
 Edge cases: a result whose call is missing is kept, not linked; of calls that share an
-identifier in a conversation the first (by turn, name, arguments) is linked; results that
-form a circle keep their own turns after ``MAX_DEPTH`` rounds; null texts give no ``content``;
-null identifiers link with nothing; arguments that are no JSON object, or of a tool without
-a schema, are not valid; repeated rows stay repeated; other columns pass through,
-and those that bear an output's name give way.
+identifier in a conversation the first (by turn, name, arguments) is linked; calls that form
+a circle or depend on one keep their own turns, and no other call is touched; null texts give
+no ``content``; null identifiers link with nothing; arguments that are no JSON object, or of
+a tool without a schema, are not valid; repeated rows stay repeated; other columns pass
+through, and those that bear an output's name give way.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from .runtime import written
 
 CALLS = "array<struct<id:string,name:string,arguments:string>>"
-MAX_DEPTH = 32
 #: JSON types of a schema, as Spark names them in a variant.
 VARIANT_TYPES = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|DECIMAL.*)", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*"}
 
@@ -122,19 +121,22 @@ def format_chats(messages: DataFrame, schemas: Schemas, conv: str = "conv_id", t
 def _place_calls(calls: DataFrame) -> DataFrame:
     """Adds ``__at`` and ``__level`` of the message that makes each call.
 
-    Only calls made by results of later calls need more than their own turn, so the rounds
-    work on the links between calls and stop as soon as none moves.
+    That is the greatest of (turn, steps up) over the call and all calls above it, found by
+    pointer jumping: each round doubles the steps behind ``__jump``. Lengths of chains have no
+    gaps, so when a round ends no chain the rest are circles and what depends on them.
     """
     placed = calls.withColumns({"__at": F.col("call_turn"), "__level": F.lit(0)})
     chained = calls.where(F.col("__up").isNotNull()).limit(1)
     if not chained.count():
         return placed
-    for _ in range(MAX_DEPTH):
-        up = placed.select(F.col("__c").alias("__uc"), F.col("__id").alias("__uid"), F.col("__at").alias("__uat"), F.col("__level").alias("__ulevel"))
-        moved = placed.join(up, (F.col("__c") == F.col("__uc")) & (F.col("__up") == F.col("__uid")), "left")
-        behind = F.coalesce(F.struct(F.col("__uat").alias("a"), (F.col("__ulevel") + 1).alias("l")) > F.struct(F.col("__at").alias("a"), F.col("__level").alias("l")), F.lit(False))
-        moved = written(moved.select("__c", "__id", "call_turn", "__up", F.when(behind, F.col("__uat")).otherwise(F.col("__at")).alias("__at"), F.when(behind, F.col("__ulevel") + 1).otherwise(F.col("__level")).alias("__level"), behind.alias("__moved")), "call-places")
-        placed = moved.drop("__moved")
-        if not moved.where("__moved").limit(1).count():
-            return placed
-    return calls.withColumns({"__at": F.col("call_turn"), "__level": F.lit(0)})
+    placed, steps, left = placed.withColumn("__jump", F.col("__up")), 1, -1
+    while True:
+        up = placed.select(F.col("__c").alias("__uc"), F.col("__id").alias("__uid"), F.col("__at").alias("__uat"), (F.col("__level") + steps).alias("__ulevel"), F.col("__jump").alias("__ujump"))
+        moved = placed.join(up, (F.col("__c") == F.col("__uc")) & (F.col("__jump") == F.col("__uid")), "left")
+        behind = F.col("__uid").isNotNull() & F.coalesce(F.struct(F.col("__uat").alias("a"), F.col("__ulevel").alias("l")) > F.struct(F.col("__at").alias("a"), F.col("__level").alias("l")), F.lit(False))
+        placed = written(moved.select("__c", "__id", "call_turn", "__up", F.when(behind, F.col("__uat")).otherwise(F.col("__at")).alias("__at"), F.when(behind, F.col("__ulevel")).otherwise(F.col("__level")).alias("__level"), F.col("__ujump").alias("__jump")), "call-places")
+        before, left, steps = left, placed.where(F.col("__jump").isNotNull()).count(), 2 * steps
+        if left in (0, before):
+            break
+    ended = F.col("__jump").isNull()
+    return placed.withColumns({"__at": F.when(ended, F.col("__at")).otherwise(F.col("call_turn")), "__level": F.when(ended, F.col("__level")).otherwise(0)}).drop("__jump")
