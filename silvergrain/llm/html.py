@@ -13,7 +13,8 @@ Each page is parsed, measured and written by itself, in time proportional to its
 pages of any length need no more than a multiple of their own size.
 
 Edge cases: null and empty html, and pages without text, give an empty text; unfinished
-tags, comments and scripts at the end of a cut page hold no text; repeated rows give equal
+tags, comments and scripts at the end of a cut page hold no text; stray quotes in a tag don't
+keep it open, and a tag left open by a quoted value ends at its first ``>``; repeated rows give equal
 texts; an empty table stays empty; other columns pass through.
 """
 
@@ -64,8 +65,13 @@ FURNITURE_WORDS = frozenset(
 )
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
 
-_TAG = re.compile(r"<!--|<!|<\?|</?([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|<(?=/?[a-zA-Z])", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: An attribute as HTML reads it: a quote opens a value only after an equals sign, else it is a character like others.
+_ATTRIBUTE_SOURCE = r"[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?+)?+"
+_OPENS = r"<!--|<!|<\?|</?([a-zA-Z][^\s/>]*+)(%s)>|<(?=/?[a-zA-Z])"
+_TAG = re.compile(_OPENS % rf"(?:[\s/]++|{_ATTRIBUTE_SOURCE})*+")
+#: The same, but any ``>`` ends a tag; for pages in which a quoted value swallows the end of a tag.
+_LOOSE_TAG = re.compile(_OPENS % r"[^>]*+")
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>][^\s>]*+))?+)?+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
@@ -98,14 +104,14 @@ class Tree:
 def parse(page: str) -> Tree:
     tree = Tree()
     stack = [tree.add("html", -1)]
-    at, n = 0, len(page)
+    at, n, tags = 0, len(page), _TAG
 
     def text(piece: str) -> None:
         if piece:
             tree.content[stack[-1]].append(entities.unescape(piece) if "&" in piece else piece)
 
     while at < n:
-        m = _TAG.search(page, at)
+        m = tags.search(page, at)
         if not m:
             text(page[at:])
             break
@@ -113,7 +119,10 @@ def parse(page: str) -> Tree:
         tag = m[1]
         if tag is None:
             if m[0] == "<":  # a tag that never ends
-                break
+                if page.find(">", m.end()) < 0:
+                    break
+                at, tags = m.start(), _LOOSE_TAG
+                continue
             end = page.find("-->" if m[0] == "<!--" else ">", m.end() if m[0] != "<!--" else m.start() + 2)
             if end < 0:
                 break
