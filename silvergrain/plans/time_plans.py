@@ -159,7 +159,8 @@ def pair_stacks(spark, sf_dir):
 
 def folder_delta(spark, sf_dir):
     log = table(spark, sf_dir, "events").select(F.col("event_id").alias("revision"), (F.col("event_id") % 777).alias("image"))
-    return C.delta(log, spark.range(0, 777, 2).select(F.col("id").alias("image")), 300, 900, 0)[0]
+    head = log.agg(F.max("revision")).head()[0] or 0
+    return C.delta(log, spark.range(0, 777, 2).select(F.col("id").alias("image")), -1, head, 0)[0]
 
 
 def channel_histogram(spark, sf_dir):

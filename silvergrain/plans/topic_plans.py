@@ -100,7 +100,7 @@ def _notes(spark, sf_dir):
 
 
 def topic_suggestions(spark, sf_dir):
-    names = table(spark, sf_dir, "nation").where("n_nationkey < 6").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("n"))
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("n"))
     return P.suggestions(_notes(spark, sf_dir), names)
 
 
@@ -177,7 +177,7 @@ def diversify_kcenter(spark, sf_dir):
 
 def collection_counts(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("collection"), F.col("c_name").alias("name"))
-    notes = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("collection"), F.col("o_orderkey").alias("note"))
+    notes = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("collection"), F.col("o_orderkey").alias("note"))
     return K.summaries(c, tables(spark, sf_dir)["members"], notes)
 
 

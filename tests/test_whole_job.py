@@ -91,3 +91,14 @@ def test_sorted_lists_are_whole(spark, data, duck, name, cap):
     assert len(want) > int(cap.split()[1])
     got = registry.queries()[name](spark, data).select(columns).collect()
     assert list(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("name,cuts", [
+    ("folder_delta", [(" WHERE event_id > 300 AND event_id <= 900", "")]),
+    ("topic_suggestions", [(" WHERE n_nationkey < 6", "")]),
+    ("collection_counts", [(" AND o_orderkey % 7 = 0", "")]),
+])
+def test_queries_take_all_ids(spark, data, duck, name, cuts):
+    columns, want = _whole(duck, name, *cuts)
+    got = registry.queries()[name](spark, data).select(columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
