@@ -1,17 +1,19 @@
-"""Near-duplicate vectors by collision counting over sorted projections.
+"""Near-duplicate vectors by sign buckets and sorted projections.
 
 Every vector is projected on many random directions. In each of ``tables`` tables a few
 directions' signs deal vectors into buckets, and one more direction sorts a bucket. Another
 vector collides with a query in a table if it lies in its bucket and inside the window of
-half-width ``WINDOW`` centred at the query's projection. A pair is verified, by its cosine in
-double precision, if it collides in ``count`` tables or more. Number of tables and count are
-calibrated, from the distribution of the collisions of a pair exactly at the threshold, so
-that such a pair passes with probability ``RECALL``; closer pairs pass more often.
+half-width ``WINDOW`` centred at the query's projection. The buckets select the candidates, the
+window leaves out few of them. Every pair that collides in a table is verified there by its cosine
+in double precision, and one that passes is linked. The number of tables is calibrated, from the
+distribution of the collisions of a pair exactly at the threshold, so that such a pair collides in
+``LEAST_COUNT`` tables with probability ``RECALL``; one collision is enough for a link, so such a
+pair is found more often than that, and closer pairs more often still.
 
 The number of signs grows with the logarithm of the number of vectors, so buckets stay of one
-size and work grows about as the input. A pair is counted and verified in the first table in
-which it collides: a task there has both vectors and computes the pair's collisions in all
-tables, so pairs are never shuffled. What leaves a task is the number of links of each vector
+size and work grows about as the input. A pair is linked in the first table in which it
+collides: a task there has both vectors and computes the pair's collisions in all tables, so
+pairs are never shuffled. What leaves a task is the number of links of each vector
 and a forest of its links. Large buckets (many near copies) are cut into blocks and each pair
 of blocks is a task of its own. Equal vectors are collapsed before and counted by their
 number.
@@ -196,7 +198,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
             if not len(i):
                 continue
             together = (bucket[i] == bucket[j]) & (np.abs(place[i] - place[j]) <= width)
-            ok = (together.argmax(axis=1) == tab) & (together.sum(axis=1) >= LEAST_COUNT)
+            ok = together.argmax(axis=1) == tab
             i, j = i[ok], j[ok]
             np.add.at(n_links, i, copies[j])
             np.add.at(n_links, j, copies[i])

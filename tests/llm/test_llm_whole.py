@@ -1,6 +1,10 @@
 """Training-data operators lose nothing to one odd row."""
 
-from silvergrain.llm import chat
+import math
+
+import numpy as np
+
+from silvergrain.llm import chat, neardup
 
 MESSAGES = f"conv_id long, turn long, role string, content string, calls {chat.CALLS}, result_of string"
 
@@ -30,3 +34,18 @@ def test_chains_of_any_depth_are_placed(spark):
     got = _places(spark, rows)
     assert [got[1, str(k)] for k in range(n)] == [(n, k) for k in range(n)]
     assert (got[2, "lost"], got[2, "on"]) == ((0, 0), (1, 0))
+
+
+def test_pairs_that_collide_once_are_linked(spark):
+    n, rng = 1000, np.random.default_rng(3)
+    a, b = rng.standard_normal((2, n, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.905 * a + math.sqrt(1 - 0.905**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    signs, tables = neardup.calibrate(2 * n)
+    x, y = neardup.Signatures(a, signs, tables), neardup.Signatures(b, signs, tables)
+    met = ((x.bucket == y.bucket) & (np.abs(x.place - y.place) <= neardup.WINDOW_SIGMAS * math.sqrt(2 - 2 * neardup.COSINE))).sum(axis=1)
+    assert (met == 1).sum() >= 5
+    rows = [(int(i), v.tolist()) for i, v in enumerate(np.concatenate([a, b]))]
+    got = {r.vec_id: r.n_links for r in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i] for i in range(n)] == (met > 0).astype(int).tolist()
