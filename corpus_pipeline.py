@@ -28,11 +28,24 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; rows without an id stay."""
-    found = jaccard.jaccard_join(docs)
+    """Of each group of linked documents the one with the smallest id, and one of rows that repeat it; rows without an id stay."""
+    found = jaccard.jaccard_join(docs, set_name="__sg_set")
     removed = written(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "removed")
-    few = removed.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(removed) if few else removed, "doc_id", "left_anti").select(docs.columns)
+    again = written(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if not again.limit(1).count():
+        return _without(docs, removed).select(docs.columns)
+    # an id of several rows goes or stays by the set of each
+    of_set = F.coalesce(F.hex("__sg_set"), F.lit(""))
+    stay = found.where(F.col("doc_id") == F.col("component_id")).join(again, "doc_id", "left_semi").select("doc_id", of_set.alias("__sg_set")).distinct()
+    rows = docs.join(again, "doc_id", "left_semi").withColumn("__sg_set", jaccard.set_digest(F.col("text"))).withColumn("__sg_set", of_set)
+    kept = rows.join(stay, ["doc_id", "__sg_set"], "left_semi").withColumn("__sg_text", F.when(F.col("__sg_set") == "", F.col("text")))
+    once = kept.dropDuplicates(["doc_id", "__sg_set", "__sg_text"])
+    return _without(docs, removed.union(again).distinct()).select(docs.columns).unionByName(once.select(docs.columns))
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

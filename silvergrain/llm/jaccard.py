@@ -24,7 +24,7 @@ the count from which a shingle is hot rises, which changes the work and not the
 
 Edge cases: null and empty texts have no shingles and link with nothing; fewer words than a
 shingle are one shingle; a null id links with nothing and has a null component; rows with
-the same id count as one node; an empty table stays empty.
+the same id and different texts are told apart by their sets; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -285,18 +285,33 @@ def _fits(a: str, b: str, percent: int) -> Column:
 # ---------------------------------------------------------------- 4: verification
 
 
+def class_number() -> Column:
+    """The number of a class, by its set: a doc_id may stand for several sets."""
+    return F.xxhash64("digest")
+
+
+def set_digest(text: Column, width: int = WIDTH) -> Column:
+    """The digest of a text's set, null without shingles."""
+
+    @F.arrow_udf("binary")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([digest(s) if len(s) else None for s in (shingle_set(t, width) for t in texts.to_pylist())], pa.binary())
+
+    return run(text)
+
+
 def set_rows(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(rep, digest, set) of the classes ``wanted`` (rep, digest); reads the texts again, only theirs are shingled."""
-    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
+    """(rep, digest, set) of the classes ``wanted`` (rep, digest, least); reads the texts again, only theirs are shingled."""
+    ids = wanted.select(F.col("least").alias("doc_id")).distinct()
     few = ids.count() <= BROADCAST_IDS
     chosen = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rechunk(batches, 64):
             found = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["rep", "digest", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["digest", "set"])
 
-    return chosen.mapInArrow(run, "rep long, digest binary, set binary").join(wanted.select("rep", "digest").distinct(), ["rep", "digest"], "left_semi").dropDuplicates(["rep"])
+    return chosen.mapInArrow(run, "digest binary, set binary").withColumn("rep", class_number()).join(wanted.select("rep", "digest").distinct(), ["rep", "digest"], "left_semi").dropDuplicates(["rep"])
 
 
 def _overlap_udf():
@@ -315,7 +330,7 @@ def _overlap_udf():
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
     """The linked ones of ``pairs`` (a, b) of classes, with their sizes; runs jobs."""
     spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct().join(classes.select("rep", "digest", "n"), "rep")
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct().join(classes.select("rep", "digest", "n", "least"), "rep")
     sizes = written(wanted, "wanted")
     sets = written(set_rows(docs, sizes, width), "sets")
     with_n = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
@@ -327,8 +342,8 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int
     return written(good.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "links")
 
 
-def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = THRESHOLD, width: int = WIDTH, hot: int = HOT, most_hot: int = MOST_HOT) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id."""
+def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = THRESHOLD, width: int = WIDTH, hot: int = HOT, most_hot: int = MOST_HOT, set_name: str | None = None) -> DataFrame:
+    """A row per document: doc_id, n_shingles, component_id, and the digest of its set if ``set_name`` is given."""
     spark = docs.sparkSession
     bound_batches(spark)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -336,7 +351,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", perce
     cells = spark.sparkContext.broadcast(hot_cells(named, percent, width, hot, most_hot))
     told = written(describe(docs, cells, percent, width), "described")
     some = told.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = written(some.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.min("gid").alias("gid")), "classes")
+    classes = written(some.groupBy("digest", "n").agg(F.min("doc_id").alias("least"), F.min("gid").alias("gid")).withColumn("rep", class_number()), "classes")
     heads = classes.groupBy("gid").agg(F.min("rep").alias("head"))
 
     # first: the least member of each group with the group's others, and with its partners
@@ -371,6 +386,8 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", perce
     if more.limit(1).count():
         label = components(links.union(verified(docs, more, classes, percent, width)))
 
-    placed = classes.join(label, F.col("rep") == F.col("node"), "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
+    lowest = label.join(classes.select("rep", "least"), F.col("node") == F.col("rep")).groupBy("component").agg(F.min("least").alias("lowest"))
+    placed = classes.join(label, F.col("rep") == F.col("node"), "left").join(lowest, "component", "left").select("digest", "n", F.coalesce("lowest", "least").alias("component"))
     every = told.select("doc_id", "n", "digest").join(placed, ["digest", "n"], "left")
-    return every.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    named_set = [F.col("digest").alias(set_name)] if set_name else []
+    return every.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), *named_set)
