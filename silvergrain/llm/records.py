@@ -6,7 +6,8 @@ the common record format that training loaders read). A payload is a header of 1
 (version, bytes an id, flags, 5 zero bytes, the 64-bit document id) and the ids, 2 bytes
 each if the vocabulary allows and else 4. Beside each data file an index file holds 24 bytes
 a record: offset of its frame, number of ids, document id; so a loader can read records in
-any order. ``manifest`` has a row a file with the number of ids before it.
+any order, as ``read_shuffled`` does. ``manifest`` has a row a file with the number of ids
+before it.
 
 Documents are dealt by range of (id, hash of the text), so the files in order hold ascending
 ids however unevenly ids are spread, and one id with many rows fills several files. A task
@@ -26,15 +27,15 @@ import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import bound_batches, new_folder, open_fs, rechunk
+from .runtime import new_folder, open_fs, rechunk, running_total, written
 
 VERSION = 1
 NULL_ID = 1
@@ -42,7 +43,9 @@ HEADER = np.dtype([("version", "u1"), ("width", "u1"), ("flags", "u1"), ("zero",
 INDEX = np.dtype([("offset", "<u8"), ("n_tokens", "<u8"), ("doc_id", "<i8")])
 BLOCK = 512
 #: Chunks of text a worker remembers the ids of.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
+#: Texts of so many bytes are encoded at once.
+TEXT_BYTES = 4 << 20
 #: A file's index stays in memory while it is written; files begin anew after so many records.
 FILE_RECORDS = 200_000
 FILE_BYTES = 256 << 20
@@ -122,21 +125,73 @@ def unframed(data: bytes, sizes: Sequence[int]) -> list[bytes]:
 
 # ---------------------------------------------------------------- encoding
 
-#: Unicode's white space, as the tokenizer's pattern sees it.
-WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Letters of Latin scripts, all letters to the tokenizer's pattern too, and what surely ends a run of them.
-LETTERS, STOP = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"\x21-\x40\x5b-\x60\x7b-\x7e"
-#: Chunks over whose ends no pre-token reaches: white space but its last character, a run of
-#: letters with the space before it, anything else between white space, one character of white space.
-CHUNKS = re.compile(f"[{WHITE}]+(?![^{WHITE}])| ?[{LETTERS}]++(?=[{STOP}{WHITE}]|\\Z)| ?[^{WHITE}]+|[{WHITE}]")
+#: Letters of Latin scripts, all letters to the tokenizer's pattern too.
+LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 #: Chunks that are one pre-token, also when run together.
 SPACED_WORD = re.compile(f" [{LETTERS}]+")
+# Kinds of bytes: letter, digit, other printing or control character, apostrophe, space, other
+# white space, part of a character unknown here, part of one that may be white space.
+LETTER, DIGIT, OTHER, QUOTE, SPACE, WHITE, HIGH, UNSURE = range(8)
+
+
+def _kinds() -> np.ndarray:
+    of = np.full(256, OTHER, np.uint8)
+    of[128:] = HIGH
+    for kind, chars in ((LETTER, b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), (DIGIT, b"0123456789"), (QUOTE, b"'"), (SPACE, b" "), (WHITE, b"\t\n\v\f\r"), (UNSURE, b"\x1c\x1d\x1e\x1f")):
+        of[list(chars)] = kind
+    return of
+
+
+def _pairs() -> np.ndarray:
+    """Whether a pre-token surely ends between two bytes of the kinds; white space behind white space needs a look further."""
+    cut = np.zeros((8, 8), bool)
+    for a in (LETTER, DIGIT, OTHER, QUOTE):
+        for b in (LETTER, DIGIT, OTHER, QUOTE):
+            cut[a, b] = a != b and not (a in (OTHER, QUOTE) and b in (OTHER, QUOTE)) and not (a == QUOTE and b == LETTER)
+    for a in (LETTER, DIGIT, OTHER, QUOTE, HIGH):
+        cut[a, SPACE] = cut[a, WHITE] = cut[WHITE, a] = True
+    return cut.reshape(-1)
+
+
+KIND, CUT = _kinds(), _pairs()
+
+
+def chunk_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where chunks begin that no pre-token reaches over, in the UTF-8 bytes of texts that begin at ``starts``."""
+    kind = KIND[data]
+    lead = np.flatnonzero((data >= 0xC2) & (data <= 0xE3))
+    lead = lead[lead + 2 < len(data)] if len(lead) else lead
+    if len(lead):
+        first, second, third = data[lead], data[lead + 1], data[lead + 2]
+        latin = (first >= 0xC3) & (first <= 0xC9) & ~((first == 0xC3) & ((second == 0x97) | (second == 0xB7))) & ((first < 0xC9) | (second < 0x90))
+        kind[lead[latin]] = kind[lead[latin] + 1] = LETTER
+        two = (first == 0xC2) & ((second == 0x85) | (second == 0xA0))
+        spaces = (first == 0xE2) & (((second == 0x80) & ((third <= 0x8A) | (third == 0xA8) | (third == 0xA9) | (third == 0xAF))) | ((second == 0x81) & (third == 0x9F)))
+        three = spaces | ((first == 0xE1) & (second == 0x9A) & (third == 0x80)) | ((first == 0xE3) & (second == 0x80) & (third == 0x80))
+        for at, n in ((lead[two], 2), (lead[three], 3)):
+            for k in range(n):
+                kind[at + k] = UNSURE
+    for at in range(max(0, len(data) - 4), len(data)):  # the last bytes, which the look ahead above leaves out
+        kind[at] = UNSURE if data[at] >= 128 else kind[at]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = CUT[kind[:-1] * np.uint8(8) + kind[1:]]
+    white = (kind == SPACE) | (kind == WHITE)
+    last = white[:-2] & white[1:-1] & ~white[2:] & (kind[2:] != UNSURE)  # the last of several in a row stands by itself
+    last[starts[(starts >= 2) & (starts < len(data))] - 2] = False
+    cut[1:-2] |= last
+    cut[starts] = True
+    return np.flatnonzero(cut[:-1])
+
 
 _tokenizers: dict[str, ByteTokenizer] = {}
 
 
 class ByteTokenizer:
-    """Byte-level BPE by the tokenizers library, which sees each distinct chunk of text once a worker."""
+    """Byte-level BPE by the tokenizers library, which sees each distinct chunk of text once a worker.
+
+    Texts are cut into chunks in numpy, Arrow numbers the distinct ones of a batch, and their
+    ids are gathered from one flat array of all known chunks' ids.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -152,45 +207,95 @@ class ByteTokenizer:
         self.cut = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not shape["normalizer"] and not shape.get("truncation") and not shape.get("padding")
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.known: dict[str, bytes] = {}
-
-    def _library(self, texts: Sequence[str]) -> list[bytes]:
-        ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        return self._cut([x for e in ids for x in e], np.cumsum([len(e) for e in ids]))
-
-    def _cut(self, ids: list[int], ends: np.ndarray) -> list[bytes]:
-        data, at = np.array(ids, self.kind).tobytes(), (ends * self.width).tolist()
-        return [data[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)] if at else []
-
-    def _learn(self, chunks: list[str]) -> None:
+        #: Chunk to its number; ids of chunk i are ids[start[i] : start[i] + size[i]], and batches[i] batches held it.
+        self.known: dict[bytes, int] = {}
+        self.start, self.size, self.batches = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+        self.ids, self.n_ids = np.zeros(8192, self.kind), 0
+
+    def _library(self, texts: Sequence[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, chunks: Sequence[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, more = len(self.known), len(chunks)
+        while n + more > len(self.start):
+            self.start, self.size, self.batches = (np.r_[x, np.zeros_like(x)] for x in (self.start, self.size, self.batches))
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
+        self.start[n : n + more] = self.n_ids + np.cumsum(sizes) - sizes
+        self.size[n : n + more], self.batches[n : n + more] = sizes, 0
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.n_ids += len(ids)
+        self.known.update(zip(chunks, range(n, n + more), strict=True))
+
+    def _learn(self, chunks: list[bytes]) -> None:
         """Encode new chunks; words with their space go to the library in one string, which numbers its pre-tokens."""
-        words = [c for c in chunks if SPACED_WORD.fullmatch(c)]
-        for start in range(0, len(words), 20_000):
-            part = words[start : start + 20_000]
-            coded = self.library.encode("".join(part), add_special_tokens=False)
-            of = np.array(coded.word_ids, np.int64)
-            if of[-1] == len(part) - 1:
-                self.known.update(zip(part, self._cut(coded.ids, np.cumsum(np.bincount(of, minlength=len(part)))), strict=True))
-        rest = [c for c in chunks if c not in self.known]
-        for start in range(0, len(rest), 50_000):
-            part = rest[start : start + 50_000]
-            self.known.update(zip(part, self._library(part), strict=True))
-
-    def encode_batch(self, texts: Sequence[str | None]) -> list[bytes]:
+        texts = [c.decode() for c in chunks]
+        words = [i for i, t in enumerate(texts) if SPACED_WORD.fullmatch(t)]
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            coded = self.library.encode("".join([texts[i] for i in part]), add_special_tokens=False)
+            sizes = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(part))
+            if len(sizes) == len(part):
+                self._add([chunks[i] for i in part], np.array(coded.ids, self.kind), sizes)
+        rest = [i for i, c in enumerate(chunks) if c not in self.known]
+        for at in range(0, len(rest), 50_000):
+            part = rest[at : at + 50_000]
+            ids = self._library([texts[i] for i in part])
+            self._add([chunks[i] for i in part], np.array([x for e in ids for x in e], self.kind), np.array([len(e) for e in ids], np.int64))
+
+    def _forget(self) -> None:
+        """Keep the chunks that most batches held."""
+        n = len(self.known)
+        keep = self.batches[:n] > max(1, int(np.partition(self.batches[:n], n - REMEMBERED // 2)[n - REMEMBERED // 2]))
+        chunks = [c for c, k in zip(self.known, keep.tolist(), strict=True) if k]
+        at = np.flatnonzero(keep)
+        ids, sizes, batches = self.ids[_runs(self.start[at], self.size[at])], self.size[at], self.batches[at]
+        self.known, self.n_ids = {}, 0
+        self._add(chunks, ids, sizes)
+        self.batches[: len(at)] = batches // 2
+
+    def encode_batch(self, texts: Sequence[str | None] | pa.Array) -> list[bytes]:
         """The ids of each text, ``width`` bytes each."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        column = column.fill_null("").cast(pa.large_binary())
+        if not len(column):
+            return []
         if len(self.known) > REMEMBERED:
-            self.known = dict(islice(self.known.items(), REMEMBERED // 3))  # the first seen are the frequent ones
-        whole = [t is not None and (not self.cut or any(a in t for a in self.added)) for t in texts]
-        chunks = [CHUNKS.findall(t) if t and not w else [] for t, w in zip(texts, whole, strict=True)]
-        self._learn(list(set().union(*chunks) - self.known.keys()))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, c)) for c in chunks]
-        at = [i for i, w in enumerate(whole) if w]
-        for i, ids in zip(at, self._library([texts[i] for i in at]) if at else [], strict=True):
-            out[i] = ids
+            self._forget()
+        _, offsets, data = column.buffers()
+        edges = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+        raw = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data else np.zeros(0, np.uint8)
+        edges = edges - edges[0]
+        body = raw.tobytes()
+        added = [a for a in (t.encode() for t in self.added) if a in body]
+        whole = [i for i in range(len(column)) if any(a in body[edges[i] : edges[i + 1]] for a in added)] if self.cut else list(range(len(column)))
+        if not len(raw) or len(whole) == len(column):
+            out = [b""] * len(column)
+        else:
+            starts = chunk_starts(raw, edges[:-1][edges[:-1] < len(raw)])
+            chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.r_[starts, len(raw)].astype(np.int64)), pa.py_buffer(body)]).dictionary_encode()
+            distinct = chunks.dictionary.to_pylist()
+            self._learn([c for c in distinct if c not in self.known])
+            number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+            self.batches[number] += 1
+            each = number[chunks.indices.to_numpy()]
+            sizes = self.size[each]
+            ids = self.ids[_runs(self.start[each], sizes)].tobytes()
+            at = np.r_[0, np.cumsum(sizes, dtype=np.int64)][np.searchsorted(starts, edges)] * self.width
+            out = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        if whole:
+            ids = self._library([body[edges[i] : edges[i + 1]].decode() for i in whole])
+            for i, e in zip(whole, ids, strict=True):
+                out[i] = np.array(e, self.kind).tobytes()
         return out
 
 
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each of the runs, one run after the other."""
+    ends = np.cumsum(size, dtype=np.int64)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def tokenizer(path: str) -> ByteTokenizer:
     """The tokenizer of ``path``, loaded once a worker."""
     if path not in _tokenizers:
@@ -236,14 +341,13 @@ class _FileWriter:
         return self.part, self.file, self.path, self.records, self.tokens, self.bytes, self.lowest, self.highest
 
 
-def write_records(docs: DataFrame, path: str, end_id: int, folder: str, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> list[dict]:
-    """Encode ``docs`` and write their records to ``folder``; the manifest, a row a file.
+def write_records(docs: DataFrame, path: str, end_id: int, folder: str, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
+    """Encode ``docs`` and write their records to ``folder``; the manifest, a row a file of up to 256 MB.
 
-    Runs a job. The manifest is a few numbers for each file of up to 256 MB; it is written to
-    ``folder`` as well, as the table ``manifest``.
+    Runs jobs. The manifest is the table ``manifest`` in ``folder``; ``start`` counts the ids
+    of all files before.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     tie = "__sg_tie"
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias(tie))
     dealt = rows.repartitionByRange(partitions, "doc_id", tie) if partitions else rows.repartitionByRange("doc_id", tie)
@@ -252,9 +356,9 @@ def write_records(docs: DataFrame, path: str, end_id: int, folder: str, key: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, writer, file, done = tokenizer(path), TaskContext.get().partitionId(), None, 0, []
         end = np.array([end_id], coder.kind).tobytes()
-        for batch in rechunk(batches, 128):
+        for batch in rechunk(batches, 1024, 1, TEXT_BYTES):
             ids = batch.column(0).to_pylist()
-            coded = coder.encode_batch(batch.column(1).to_pylist())
+            coded = coder.encode_batch(batch.column(1))
             heads = np.zeros(len(ids), HEADER)
             heads["version"], heads["width"] = VERSION, coder.width
             heads["flags"], heads["doc_id"] = [NULL_ID * (i is None) for i in ids], [i or 0 for i in ids]
@@ -273,56 +377,100 @@ def write_records(docs: DataFrame, path: str, end_id: int, folder: str, key: str
     names = schema.names
     kinds = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
     arrow = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in schema])
-    manifest, start = [], 0
-    for r in sorted(dealt.mapInArrow(run, schema).collect(), key=lambda r: (r["part"], r["file"])):
-        manifest.append(r.asDict() | {"start": start})
-        start += r["n_tokens"]
-    if manifest:
-        spark.createDataFrame(manifest, f"{MANIFEST}, start long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
-    return manifest
+    files = written(dealt.mapInArrow(run, schema), "record-files")
+    running_total(files, "part", "file", "n_tokens", "start").write.mode("overwrite").parquet(f"{folder}/manifest")
+    return spark.read.parquet(f"{folder}/manifest")
+
 
+RECORD = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
 
-def read_records(spark: SparkSession, manifest: Sequence[dict]) -> DataFrame:
-    """The records of the files: doc_id, start, n_tokens, ids_crc32, ids as binary of 32-bit integers.
+
+def _decoded(payloads: Sequence[bytes], counts: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+    heads = [np.frombuffer(p[: HEADER.itemsize], HEADER)[0] for p in payloads]
+    if any(h["version"] != VERSION for h in heads):
+        raise ValueError("a record's version is not known")
+    wide = [np.frombuffer(p, f"<u{h['width']}", offset=HEADER.itemsize).astype("<u4").tobytes() for p, h in zip(payloads, heads, strict=True)]
+    if [len(w) // 4 for w in wide] != counts.tolist():
+        raise ValueError("a record's number of ids differs from the index")
+    return pa.RecordBatch.from_arrays([
+        pa.array([None if h["flags"] & NULL_ID else int(h["doc_id"]) for h in heads], pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()),
+        pa.array([zlib.crc32(w) for w in wide], pa.int64()), pa.array(wide, pa.binary()),
+    ], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+
+
+def _index(fs: pafs.FileSystem, inner: str, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a file's records: offset, size, number of ids, ids of all records before."""
+    with fs.open_input_file(f"{inner}.idx") as f:
+        index = np.frombuffer(f.read(), INDEX)
+    at, counts = index["offset"].astype(np.int64), index["n_tokens"].astype(np.int64)
+    return at, np.diff(np.r_[at, fs.get_file_info(f"{inner}.rec").size]), counts, start + np.cumsum(counts) - counts
+
+
+def _by_file(manifest: DataFrame) -> DataFrame:
+    """A task a file."""
+    return manifest.repartitionByRange(max(1, manifest.count()), "part", "file").select("path", "start")
+
+
+def read_records(manifest: DataFrame) -> DataFrame:
+    """The records of the files in order: doc_id, start, n_tokens, ids_crc32, ids as binary of 32-bit integers.
 
     Reads through the index, checks lengths and checksums, a few MB at a time.
     """
-    bound_batches(spark)
-    files = spark.createDataFrame([(f["path"], f["start"]) for f in manifest], "path string, start long").repartition(max(1, len(manifest)), "path")
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fs, inner = open_fs(path)
-                with fs.open_input_file(f"{inner}.idx") as f:
-                    index = np.frombuffer(f.read(), INDEX)
+                offsets, sizes, counts, starts = _index(fs, inner, start)
                 with fs.open_input_file(f"{inner}.rec") as f:
-                    ends = np.r_[index["offset"][1:], f.size()].astype(np.int64)
-                    sizes = ends - index["offset"].astype(np.int64)
                     at = 0
-                    while at < len(index):
-                        to = max(at + 1, int(np.searchsorted(ends, int(index["offset"][at]) + READ_BYTES)))
-                        payloads = unframed(f.read(int(sizes[at:to].sum())), sizes[at:to].tolist())
-                        heads = [np.frombuffer(p[: HEADER.itemsize], HEADER)[0] for p in payloads]
-                        if any(h["version"] != VERSION for h in heads):
-                            raise ValueError("a record's version is not known")
-                        wide = [np.frombuffer(p, f"<u{h['width']}", offset=HEADER.itemsize).astype("<u4").tobytes() for p, h in zip(payloads, heads, strict=True)]
-                        counts = np.array([len(w) // 4 for w in wide], np.int64)
-                        if (counts != index["n_tokens"][at:to]).any():
-                            raise ValueError("a record's number of ids differs from the index")
-                        starts = start + np.cumsum(counts) - counts
-                        start += int(counts.sum())
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array([None if h["flags"] & NULL_ID else int(h["doc_id"]) for h in heads], pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()),
-                            pa.array([zlib.crc32(w) for w in wide], pa.int64()), pa.array(wide, pa.binary()),
-                        ], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                    while at < len(offsets):
+                        to = max(at + 1, int(np.searchsorted(offsets + sizes, offsets[at] + READ_BYTES)))
+                        yield _decoded(unframed(f.read(int(sizes[at:to].sum())), sizes[at:to].tolist()), counts[at:to], starts[at:to])
                         at = to
 
-    return files.mapInArrow(run, schema)
+    return _by_file(manifest).mapInArrow(run, RECORD)
+
+
+def record_index(manifest: DataFrame) -> DataFrame:
+    """The offset index of all files: path, offset, size, n_tokens, start of every record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                columns = _index(*open_fs(path), start)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(columns[0]), pa.string()), *map(pa.array, columns)], names=["path", "offset", "size", "n_tokens", "start"])
+
+    return _by_file(manifest).mapInArrow(run, "path string, offset long, size long, n_tokens long, start long")
+
+
+def read_wanted(wanted: DataFrame) -> DataFrame:
+    """The records of rows of ``record_index``, in the rows' order within each partition.
+
+    Each record is read by itself at its offset, so a loader may ask for any of them in any order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rechunk(batches, 256):
+            path, offset, size, counts, starts = (c.to_pylist() for c in batch.columns)
+            frames_: list[bytes] = [b""] * len(path)
+            for p in dict.fromkeys(path):
+                fs, inner = open_fs(p)
+                with fs.open_input_file(f"{inner}.rec") as f:
+                    for i in sorted((i for i, x in enumerate(path) if x == p), key=offset.__getitem__):
+                        frames_[i] = f.read_at(size[i], offset[i])
+            yield _decoded(unframed(b"".join(frames_), size), np.array(counts, np.int64), np.array(starts, np.int64))
+
+    return wanted.select("path", "offset", "size", "n_tokens", "start").mapInArrow(run, RECORD)
+
+
+def read_shuffled(manifest: DataFrame, seed: int = 0, partitions: int | None = None) -> DataFrame:
+    """All records in a random order given by ``seed``: only the index is shuffled, records are read where they lie."""
+    rows = record_index(manifest).withColumn("__sg_order", F.xxhash64(F.lit(seed), "path", "offset"))
+    dealt = rows.repartitionByRange(partitions, "__sg_order") if partitions else rows.repartitionByRange("__sg_order")
+    return read_wanted(dealt.sortWithinPartitions("__sg_order"))
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int, folder: str | None = None) -> DataFrame:
     """Write ``docs`` as records and read them back."""
-    spark = docs.sparkSession
-    return read_records(spark, write_records(docs, path, end_id, folder or new_folder(spark, "records")))
+    return read_records(write_records(docs, path, end_id, folder or new_folder(docs.sparkSession, "records")))
