@@ -1,26 +1,32 @@
-"""Near-duplicate vectors by sign buckets and sorted projections.
-
-Every vector is projected on many random directions. In each of ``tables`` tables a few
-directions' signs deal vectors into buckets, and one more direction sorts a bucket. Another
-vector collides with a query in a table if it lies in its bucket and inside the window of
-half-width ``WINDOW`` centred at the query's projection. The buckets select the candidates, the
-window leaves out few of them. Every pair that collides in a table is verified there by its cosine
-in double precision, and one that passes is linked. The number of tables is calibrated, from the
-distribution of the collisions of a pair exactly at the threshold, so that such a pair collides in
-``LEAST_COUNT`` tables with probability ``RECALL``; one collision is enough for a link, so such a
-pair is found more often than that, and closer pairs more often still.
-
-The number of signs grows with the logarithm of the number of vectors, so buckets stay of one
-size and work grows about as the input. A pair is linked in the first table in which it
-collides: a task there has both vectors and computes the pair's collisions in all tables, so
-pairs are never shuffled. What leaves a task is the number of links of each vector
-and a forest of its links. Large buckets (many near copies) are cut into blocks and each pair
-of blocks is a task of its own. Equal vectors are collapsed before and counted by their
-number.
+"""Near-duplicate vectors by counting collisions in sorted one-dimensional projections.
+
+Every vector is projected on ``COUNTED`` random directions. Two vectors collide in a projection
+if one lies in the window of half-width ``COUNT_SIGMAS`` standard deviations (of a pair at the
+threshold) centred at the other. The collisions of a pair are counted, and a pair with at
+least the calibrated count is verified: the greatest count that a pair exactly at the threshold
+reaches with probability ``COUNT_RECALL``. Places are kept as single bytes, so a vector of any
+length has a code of ``COUNTED`` bytes.
+
+One projection's window holds a fixed share of all vectors, so pairs are not counted everywhere:
+in each of ``tables`` tables the signs of a few more directions deal the vectors into buckets,
+one direction sorts a bucket, and a pair is counted where it lies in one bucket and inside the
+window around each other there. The number of tables is calibrated too: a pair exactly at the
+threshold meets in one at least with probability ``RECALL``, closer pairs more often. The number
+of signs grows with the logarithm of the number of vectors, so buckets stay of one size; tables
+grow about as the fourth root of it.
+
+Only codes are dealt to the buckets. Vectors follow to the buckets where they have a partner of
+enough collisions, are verified there by their cosine in double precision, and linked in the
+first table in which the pair meets; so a pair is never shuffled. What leaves a task is the
+number of links of each vector and a forest of its links. Large buckets (many near copies) are
+cut into blocks and each pair of blocks is a task of its own: a crowd in which all are linked
+costs its pairs, spread over tasks, since every vector's links are counted. Equal vectors are
+collapsed before and counted by their number.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components link
-with nothing and stay; vectors of different length never link; repeated rows are links of
-each other; a null id has a null component; an empty table stays empty.
+with nothing and stay; vectors of different length never link; a cosine that equals the
+threshold in double precision links; repeated rows are links of each other; a null id has a
+null component; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -35,11 +41,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import bound_batches, rechunk, written
+from .runtime import rechunk, written
 
 COSINE = 0.9
-RECALL = 0.97
-LEAST_COUNT = 2
+RECALL = 0.985
+#: A pair must meet in so many tables.
+LEAST_COUNT = 1
+#: Projections in which collisions are counted, the half-width of their windows, and the share of pairs at the threshold that the count may not lose.
+COUNTED, COUNT_SIGMAS, COUNT_RECALL = 48, 1.5, 0.99999
+#: Places are kept in steps of 1/STEPS as bytes from 0 to 2 * MIDDLE.
+STEPS, MIDDLE = 22, 110
 #: Half-width of a window, for projections of unit vectors: 2.5 standard deviations of a pair at the threshold.
 WINDOW_SIGMAS = 2.5
 BUCKET = 64
@@ -70,21 +81,39 @@ def calibrate(n: int, cosine: float = COSINE, recall: float = RECALL, least: int
         signs -= 1
 
 
+def count_window(cosine: float = COSINE) -> int:
+    """Half-width of the counting windows in steps."""
+    return round(COUNT_SIGMAS * math.sqrt(2 - 2 * cosine) * STEPS)
+
+
+def calibrate_count(cosine: float = COSINE, recall: float = COUNT_RECALL) -> int:
+    """The greatest count that a pair at the threshold reaches with the given probability."""
+    p = math.erf(count_window(cosine) / STEPS / math.sqrt(2 - 2 * cosine) / math.sqrt(2))
+    return max(least for least in range(COUNTED + 1) if tail(COUNTED, p, least) >= recall)
+
+
 @cache
-def directions(dim: int, signs: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+def directions(dim: int, signs: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng([SEED, dim])
-    return rng.standard_normal((dim, tables * signs)), rng.standard_normal((dim, tables))
+    return rng.standard_normal((dim, tables * signs)), rng.standard_normal((dim, tables)), rng.standard_normal((dim, COUNTED))
 
 
 class Signatures:
-    """Buckets and projections of a block of vectors in all tables."""
+    """Buckets and places of a block of vectors in all tables, and their codes for counting."""
 
     def __init__(self, raw: np.ndarray, signs: int, tables: int):
         self.unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-        for_signs, for_sort = directions(raw.shape[1], signs, tables)
+        for_signs, for_sort, for_count = directions(raw.shape[1], signs, tables)
         bits = (self.unit @ for_signs > 0).reshape(len(raw), tables, signs)
         self.bucket = bits.astype(np.int64) @ (1 << np.arange(signs, dtype=np.int64))
         self.place = self.unit @ for_sort
+        self.code = np.clip(np.rint(self.unit @ for_count * STEPS) + MIDDLE, 0, 2 * MIDDLE).astype(np.uint8)
+
+
+def collisions(a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
+    """How many projections the codes ``a`` and ``b`` collide in, all with all."""
+    apart = a[:, None, :] + np.uint8(window) - b[None, :, :]  # bytes wrap: no two places are so far apart that it matters
+    return np.add.reduce(apart <= 2 * window, axis=2, dtype=np.uint8)
 
 
 def packed_kind(vectors: DataFrame, vec: str) -> str:
@@ -108,10 +137,38 @@ def usable(vectors: DataFrame, vec: str) -> DataFrame:
     return vectors.withColumn(arrow_vec, packed(F.col(vec)))
 
 
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COUNTED)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Tables that end where a group ends; the rows come sorted by their first ``n_keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    key = lambda batch, row: [batch.column(i)[row].as_py() for i in range(n_keys)]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and key(held[-1], held[-1].num_rows - 1) != key(batch, 0):
+            yield pa.Table.from_batches(held)
+            held = []
+        last = groups_of([batch.column(i).to_numpy() for i in range(n_keys)])[-1][0]
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def groups_of(keys: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Where each run of equal keys begins and ends."""
+    cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+    return list(zip([0, *cut.tolist()], [*cut.tolist(), len(keys[0])], strict=True))
+
+
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", cosine: float = COSINE, recall: float = RECALL, large: int = LARGE_BUCKET) -> DataFrame:
     """A row per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
-    bound_batches(spark, 2048)
     told = written(usable(vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vec).alias("v")), "v").select("vec_id", F.col("__vec").alias("vec")), "vectors")
     classes = written(told.where(F.col("vec").isNotNull() & F.col("vec_id").isNotNull()).groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vector-classes")
     # rows that share an id but not a vector are told apart by a number of their own
@@ -119,7 +176,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
     kind = packed_kind(vectors, vec)
     item = np.dtype(kind).itemsize
     signs, tables = calibrate(classes.count(), cosine, recall)
-    width = WINDOW_SIGMAS * math.sqrt(2 - 2 * cosine)
+    width, window, least = WINDOW_SIGMAS * math.sqrt(2 - 2 * cosine), count_window(cosine), calibrate_count(cosine)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rechunk(batches, 1024):
@@ -128,77 +185,71 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
             for n in np.unique(lengths):
                 at = np.flatnonzero(lengths == n)
                 s = Signatures(np.frombuffer(b"".join(raw[i] for i in at), kind).astype(np.float64).reshape(len(at), -1), signs, tables)
-                dim = np.full(len(at) * tables, n // item, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node[at], tables)), pa.array(dim), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(at))), pa.array(s.bucket.reshape(-1))], names=["node", "dim", "tab", "bucket"])
+                rows = len(at) * tables
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(node[at], tables)), pa.array(np.full(rows, n // item, np.int32)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(at))), pa.array(s.bucket.reshape(-1)), pa.array(s.place.reshape(-1)),
+                    pa.BinaryArray.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.arange(0, COUNTED * (rows + 1), COUNTED, dtype=np.int32)), pa.py_buffer(np.repeat(s.code, tables, axis=0).tobytes())]),
+                ], names=["node", "dim", "tab", "bucket", "place", "code"])
 
-    dealt = classes.select("node", "vec").mapInArrow(deal, "node long, dim int, tab int, bucket long")
+    dealt = classes.select("node", "vec").mapInArrow(deal, "node long, dim int, tab int, bucket long, place double, code binary")
     big = written(dealt.groupBy("dim", "tab", "bucket").count().where(F.col("count") > large).select("dim", "tab", "bucket", F.ceil(F.col("count") * 2 / F.lit(large)).cast("int").alias("blocks")), "large-buckets")
     n_big = big.count()
-
-    def deal_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rechunk(batches, 256):
-            raw = batch.column(1).to_pylist()
-            for out in deal(iter([batch])):
-                by_node = dict(zip(batch.column(0).to_pylist(), zip(raw, batch.column(2).to_pylist(), strict=True), strict=True))
-                both = [by_node[i] for i in out.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array([x[0] for x in both], pa.binary()), pa.array([x[1] for x in both], pa.int64())], names=[*out.schema.names, "vec", "copies"])
-
-    rows = classes.select("node", "vec", "copies").mapInArrow(deal_vectors, "node long, dim int, tab int, bucket long, vec binary, copies long")
     if n_big:
-        rows = rows.join(F.broadcast(big) if n_big <= BROADCAST_BUCKETS else big, ["dim", "tab", "bucket"], "left")
+        dealt = dealt.join(F.broadcast(big) if n_big <= BROADCAST_BUCKETS else big, ["dim", "tab", "bucket"], "left")
     else:
-        rows = rows.withColumn("blocks", F.lit(None).cast("int"))
+        dealt = dealt.withColumn("blocks", F.lit(None).cast("int"))
     own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).otherwise(F.lit(0))
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
     keys = ["dim", "tab", "bucket", "lo", "hi"]
-    rows = rows.select("node", "dim", "tab", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "vec", "copies")
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            k = [batch.column(i).to_numpy() for i in (1, 2, 3, 4, 5)]
-            cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in k], axis=0)) + 1
-            begin = 0
-            if held and tuple(x[0] for x in k) != tuple(held[-1].column(i)[held[-1].num_rows - 1].as_py() for i in (1, 2, 3, 4, 5)):
-                yield from group(held)
-                held = []
-            for c in cut.tolist():
-                held.append(batch.slice(begin, c - begin))
-                yield from group(held)
-                held, begin = [], c
-            held.append(batch.slice(begin))
-        if held:
-            yield from group(held)
-
-    def group(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if sum(b.num_rows for b in held) < 2:
-            return
-        t = pa.Table.from_batches(held)
-        node, copies, own = t["node"].to_numpy(), t["copies"].to_numpy(), t["own"].to_numpy()
-        lo, hi, tab = t["lo"][0].as_py(), t["hi"][0].as_py(), t["tab"][0].as_py()
-        raw = np.frombuffer(b"".join(t["vec"].to_pylist()), kind).astype(np.float64).reshape(len(node), -1)
-        s = Signatures(raw, signs, tables)
-        order = np.argsort(s.place[:, tab], kind="stable")
-        node, copies, own = node[order], copies[order], own[order]
-        unit, bucket, place = s.unit[order], s.bucket[order], s.place[order]
-        here = place[:, tab]
-        ends = np.searchsorted(here, here + width, side="right")
-        n_links, root = np.zeros(len(node), np.int64), np.arange(len(node))
-        for a in range(0, len(node), 256):
-            b = min(a + 256, len(node))
-            e = int(ends[b - 1])
-            cos = unit[a:b] @ unit[a:e].T
-            i, j = np.nonzero(cos >= cosine)
+    dealt = dealt.select(*keys[:3], F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "place", "code")
+
+    def partners(n: int, place: np.ndarray, code: np.ndarray, own: np.ndarray, split: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (i, j) of a group in order of place that lie in each other's window and have enough collisions."""
+        ends = np.searchsorted(place, place + width, side="right")
+        for a in range(0, n, 64):
+            b = min(a + 64, n)
+            i, j = np.nonzero(collisions(code[a:b], code[a : int(ends[b - 1])], window) >= least)
             i, j = i + a, j + a
             ok = (j > i) & (j < ends[i])
-            if lo != hi:
+            if split:
                 ok &= own[i] != own[j]
+            if ok.any():
+                yield i[ok], j[ok]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_groups(batches, len(keys)):
+            columns = [whole.column(i).to_numpy() for i in range(8)]
+            lo, hi, own, place = columns[3], columns[4], columns[5], columns[7]
+            code, hit = _codes(whole.column(8)), np.zeros(len(own), bool)
+            for a, b in groups_of(columns[:5]):
+                if b - a > 1:
+                    for i, j in partners(b - a, place[a:b], code[a:b], own[a:b], lo[a] != hi[a]):
+                        hit[a + i] = hit[a + j] = True
+            if hit.any():
+                yield from whole.filter(pa.array(hit)).to_batches()
+
+    told_apart = ", ".join(f"{k} {'long' if k == 'bucket' else 'int'}" for k in [*keys, "own"])
+    sorted_ = dealt.repartition(*keys).sortWithinPartitions(*keys, "place")
+    members = sorted_.mapInArrow(count, f"{told_apart}, node long, place double, code binary")
+    rows = written(members, "bucket-members").join(classes.select("node", "vec", "copies"), "node").select(*keys, "own", "node", "place", "code", "vec", "copies")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "place")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_groups(batches, len(keys)):
+            columns = [whole.column(i).to_numpy() for i in range(8)]
+            for a, b in groups_of(columns[:5]):
+                if b - a > 1:
+                    yield from linked(columns[1][a], columns[3][a] != columns[4][a], columns[5][a:b], columns[6][a:b], columns[7][a:b], whole.slice(a, b - a))
+
+    def linked(tab: int, split: bool, own: np.ndarray, node: np.ndarray, place: np.ndarray, group: pa.Table) -> Iterator[pa.RecordBatch]:
+        n, copies = len(node), group.column(10).to_numpy()
+        s = Signatures(np.frombuffer(b"".join(group.column(9).to_pylist()), kind).astype(np.float64).reshape(n, -1), signs, tables)
+        n_links, root = np.zeros(n, np.int64), np.arange(n)
+        for i, j in partners(n, place, _codes(group.column(8)), own, split):
+            ok = np.einsum("ij,ij->i", s.unit[i], s.unit[j]) >= cosine
             i, j = i[ok], j[ok]
-            if not len(i):
-                continue
-            together = (bucket[i] == bucket[j]) & (np.abs(place[i] - place[j]) <= width)
-            ok = together.argmax(axis=1) == tab
+            before = (s.bucket[i, :tab] == s.bucket[j, :tab]) & (np.abs(s.place[i, :tab] - s.place[j, :tab]) <= width)
+            ok = ~before.any(axis=1)  # the pair meets here first
             i, j = i[ok], j[ok]
             np.add.at(n_links, i, copies[j])
             np.add.at(n_links, j, copies[i])
@@ -216,7 +267,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
                 up = root[up]
             yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(n_links[some]), pa.array(node[up])], names=["node", "n_links", "up"])
 
-    found = written(rows.mapInArrow(meet, "node long, n_links long, up long"), "vector-links")
+    found = written(rows.mapInArrow(verify, "node long, n_links long, up long"), "vector-links")
     counts = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     label = components(found.select(F.col("node").alias("a"), F.col("up").alias("b")))
     least = label.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
