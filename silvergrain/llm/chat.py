@@ -22,6 +22,7 @@ through, and those that bear an output's name give way.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from .runtime import written
 
 CALLS = "array<struct<id:string,name:string,arguments:string>>"
+#: Rows that are no results are dealt to so many parts a conversation.
+SALTS = 64
 #: JSON types of a schema, as Spark names them in a variant.
 VARIANT_TYPES = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|DECIMAL.*)", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*"}
 
@@ -53,15 +56,27 @@ def parse_messages(messages: DataFrame, text: str = "text", role: str = "role")
     })
 
 
-def reply_links(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", role: str = "role") -> DataFrame:
-    """``parse_messages`` for plain chats: a user's message calls the tool ``ask``, the assistant's next turn is its result."""
+def reply_links(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", role: str = "role", chained: bool = False) -> DataFrame:
+    """``parse_messages`` for plain chats: a user's message calls the tool ``ask``, the assistant's next turn is its result.
+
+    If ``chained``, an assistant's message calls the tool ``wait`` as well, whose result is the
+    user's next turn, so each turn hangs on the one before.
+    """
     parsed = parse_messages(messages, text, role)
     name = lambda t: F.concat(F.col(conv).cast("string"), F.lit(":"), t.cast("string"))
-    ask = F.array(F.struct(name(F.col(turn)).alias("id"), F.lit("ask").alias("name"), F.to_json(F.struct(F.col(text).alias("text"), F.length(text).alias("n_chars"))).alias("arguments")))
-    return parsed.withColumns({
-        "calls": F.coalesce("calls", F.when(F.col(role) == "user", ask.cast(CALLS))),
-        "result_of": F.coalesce("result_of", F.when(F.col(role) == "assistant", name(F.col(turn) - 1))),
-    })
+    call = lambda tool, arguments: F.array(F.struct(name(F.col(turn)).alias("id"), F.lit(tool).alias("name"), F.to_json(F.struct(*arguments)).alias("arguments"))).cast(CALLS)
+    calls = F.when(F.col(role) == "user", call("ask", [F.col(text).alias("text"), F.length(text).alias("n_chars")]))
+    answers = F.when(F.col(role) == "assistant", name(F.col(turn) - 1))
+    if chained:
+        calls = calls.when(F.col(role) == "assistant", call("wait", [F.col(turn).alias("turn")]))
+        answers = answers.when(F.col(role) == "user", name(F.col(turn) - 1))
+    return parsed.withColumns({"calls": F.coalesce("calls", calls), "result_of": F.coalesce("result_of", answers)})
+
+
+def logged_backwards(messages: DataFrame, turn: str = "turn", every: int = 4, name: str = "logged") -> DataFrame:
+    """``messages`` with the place ``name`` they get from a log that is flushed ``every`` messages, the last first."""
+    behind = F.pmod(F.col(turn), F.lit(every))
+    return messages.withColumn(name, F.col(turn) - behind + (every - 1) - behind)
 
 
 def valid_arguments(name: Column, arguments: Column, schemas: Schemas) -> Column:
@@ -100,7 +115,10 @@ def format_chats(messages: DataFrame, schemas: Schemas, conv: str = "conv_id", t
         .where(F.col("__id").isNotNull())
     )
     calls = _place_calls(calls)
-    linked = messages.join(calls, (F.col(conv) == F.col("__c")) & (F.col("result_of") == F.col("__id")), "left").drop("__c", "__id", "__up")
+    # rows that are no results match nothing; they are dealt by a salt, not all to one task a conversation
+    none = F.when(F.col("result_of").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)) + 1).otherwise(0)
+    same = (F.col(conv) == F.col("__c")) & (F.col("result_of") == F.col("__id")) & (F.col("__none") == F.col("__call_none"))
+    linked = messages.withColumn("__none", none).join(calls.withColumn("__call_none", F.lit(0).cast("long")).hint("shuffle_hash"), same, "left").drop("__c", "__id", "__up", "__none", "__call_none")
     is_linked = F.col("call_turn").isNotNull()
     at = F.when(is_linked, F.greatest(F.col(turn), F.col("__at"))).otherwise(F.col(turn))
     level = F.when(is_linked & (F.col("__at") >= F.coalesce(F.col(turn), F.col("__at"))), F.col("__level") + 1).otherwise(F.lit(0))
@@ -125,18 +143,21 @@ def _place_calls(calls: DataFrame) -> DataFrame:
     pointer jumping: each round doubles the steps behind ``__jump``. Lengths of chains have no
     gaps, so when a round ends no chain the rest are circles and what depends on them.
     """
-    placed = calls.withColumns({"__at": F.col("call_turn"), "__level": F.lit(0)})
-    chained = calls.where(F.col("__up").isNotNull()).limit(1)
-    if not chained.count():
-        return placed
-    placed, steps, left = placed.withColumn("__jump", F.col("__up")), 1, -1
+    calls = calls.withColumns({"__at": F.col("call_turn"), "__level": F.lit(0), "__jump": F.col("__up")})
+    if not calls.where(F.col("__jump").isNotNull()).limit(1).count():
+        return calls.drop("__jump")
+    calls = written(calls, "call-places")
+    ended, moving, steps, left = [calls.where(F.col("__jump").isNull())], calls.where(F.col("__jump").isNotNull()), 1, -1
     while True:
-        up = placed.select(F.col("__c").alias("__uc"), F.col("__id").alias("__uid"), F.col("__at").alias("__uat"), (F.col("__level") + steps).alias("__ulevel"), F.col("__jump").alias("__ujump"))
-        moved = placed.join(up, (F.col("__c") == F.col("__uc")) & (F.col("__jump") == F.col("__uid")), "left")
+        every = reduce(DataFrame.union, [*ended, moving])
+        up = every.select(F.col("__c").alias("__uc"), F.col("__id").alias("__uid"), F.col("__at").alias("__uat"), (F.col("__level") + steps).alias("__ulevel"), F.col("__jump").alias("__ujump"))
+        moved = moving.join(up.hint("shuffle_hash"), (F.col("__c") == F.col("__uc")) & (F.col("__jump") == F.col("__uid")), "left")
         behind = F.col("__uid").isNotNull() & F.coalesce(F.struct(F.col("__uat").alias("a"), F.col("__ulevel").alias("l")) > F.struct(F.col("__at").alias("a"), F.col("__level").alias("l")), F.lit(False))
-        placed = written(moved.select("__c", "__id", "call_turn", "__up", F.when(behind, F.col("__uat")).otherwise(F.col("__at")).alias("__at"), F.when(behind, F.col("__ulevel")).otherwise(F.col("__level")).alias("__level"), F.col("__ujump").alias("__jump")), "call-places")
-        before, left, steps = left, placed.where(F.col("__jump").isNotNull()).count(), 2 * steps
+        now = written(moved.select("__c", "__id", "call_turn", "__up", F.when(behind, F.col("__uat")).otherwise(F.col("__at")).alias("__at"), F.when(behind, F.col("__ulevel")).otherwise(F.col("__level")).alias("__level"), F.col("__ujump").alias("__jump")), "call-places")
+        ended.append(now.where(F.col("__jump").isNull()))  # chains that have come to their first call move no more
+        moving, before, steps = now.where(F.col("__jump").isNotNull()), left, 2 * steps
+        left = moving.count()
         if left in (0, before):
             break
-    ended = F.col("__jump").isNull()
-    return placed.withColumns({"__at": F.when(ended, F.col("__at")).otherwise(F.col("call_turn")), "__level": F.when(ended, F.col("__level")).otherwise(0)}).drop("__jump")
+    circles = moving.withColumns({"__at": F.col("call_turn"), "__level": F.lit(0)})
+    return reduce(DataFrame.union, [*ended, circles]).drop("__jump")

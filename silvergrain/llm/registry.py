@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat, html, jaccard, mixing, neardup, pieces, quality, records, sharding, warc
 
+
 def vocabulary(name: str) -> str:
     """The path of a public tokenizer's file; a parameter of the operators, never copied here."""
     import public_tokenizers
@@ -18,7 +19,7 @@ def vocabulary(name: str) -> str:
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 MIX_SEED = 20240
-CHAT_SCHEMAS = {"ask": {"text": ("string", True), "n_chars": ("integer", True)}}
+CHAT_SCHEMAS = {"ask": {"text": ("string", True), "n_chars": ("integer", True)}, "wait": {"turn": ("integer", True)}}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +41,9 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chat.format_chats(chat.reply_links(table(spark, sf_dir, "conversations")), CHAT_SCHEMAS)
-    return rows.select("conv_id", "turn", "role", "anchor_turn", "level", "call_turn", "linked", "n_calls", "valid", "json")
+    linked = chat.reply_links(chat.logged_backwards(table(spark, sf_dir, "conversations")), chained=True)
+    rows = chat.format_chats(linked, CHAT_SCHEMAS, turn="logged")
+    return rows.select("conv_id", "turn", "logged", "role", "anchor_turn", "level", "call_turn", "linked", "n_calls", "valid", "json")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,24 +80,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 OP3_SQL = """
-WITH m AS (
-  SELECT *, lead(conv_id) OVER () AS unused FROM conversations
-), asked AS (
-  SELECT conv_id, turn AS call_turn FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn
+WITH RECURSIVE m AS (
+  SELECT *, turn - turn % 4 + 3 - turn % 4 AS logged, role IN ('user', 'assistant') AS speaks FROM conversations
+), calls AS (
+  SELECT conv_id, turn, min(logged) AS call_turn FROM m WHERE speaks AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn
+), place(conv_id, turn, spot, depth) AS (
+  SELECT conv_id, turn, call_turn, 0 FROM calls c WHERE NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1)
+  UNION ALL
+  SELECT c.conv_id, c.turn, greatest(c.call_turn, p.spot), CASE WHEN p.spot >= c.call_turn THEN p.depth + 1 ELSE 0 END
+  FROM place p JOIN calls c ON c.conv_id = p.conv_id AND c.turn = p.turn + 1
+), upper AS (
+  SELECT p.*, c.call_turn FROM place p JOIN calls c USING (conv_id, turn)
 )
-SELECT c.conv_id, c.turn, c.role, c.turn AS anchor_turn, 0 AS level, a.call_turn, a.call_turn IS NOT NULL AS linked,
-       CASE WHEN c.role = 'user' THEN 1 ELSE 0 END AS n_calls,
-       c.role <> 'user' OR c.text IS NOT NULL AS valid,
-       '{' || CASE WHEN c.text IS NULL THEN '' ELSE '"content":' || to_json(c.text) || ',' END || '"role":' || to_json(c.role)
-       || CASE WHEN c.role = 'assistant' THEN ',"tool_call_id":"' || c.conv_id || ':' || (c.turn - 1) || '"'
-               WHEN c.role = 'user' THEN ',"tool_calls":[{"arguments":' || to_json('{' || CASE WHEN c.text IS NULL THEN '' ELSE '"n_chars":' || length(c.text) || ',"text":' || to_json(c.text) END || '}')
-                    || ',"id":"' || c.conv_id || ':' || c.turn || '","name":"ask"}]'
+SELECT m.conv_id, m.turn, m.logged, m.role, greatest(m.logged, u.spot) AS anchor_turn, CASE WHEN u.spot >= m.logged THEN u.depth + 1 ELSE 0 END AS level, u.call_turn, u.call_turn IS NOT NULL AS linked,
+       CASE WHEN speaks THEN 1 ELSE 0 END AS n_calls,
+       m.role <> 'user' OR m.text IS NOT NULL AS valid,
+       '{' || CASE WHEN m.text IS NULL THEN '' ELSE '"content":' || to_json(m.text) || ',' END || '"role":' || to_json(m.role)
+       || CASE WHEN speaks THEN ',"tool_call_id":"' || m.conv_id || ':' || (m.turn - 1) || '","tool_calls":[{"arguments":' || to_json('{'
+               || CASE WHEN m.role = 'assistant' THEN '"turn":' || m.turn WHEN m.text IS NULL THEN '' ELSE '"n_chars":' || length(m.text) || ',"text":' || to_json(m.text) END || '}')
+               || ',"id":"' || m.conv_id || ':' || m.turn || '","name":"' || CASE WHEN m.role = 'user' THEN 'ask' ELSE 'wait' END || '"}]'
                ELSE '' END || '}' AS json
-FROM conversations c LEFT JOIN asked a ON c.role = 'assistant' AND a.conv_id = c.conv_id AND a.call_turn = c.turn - 1
+FROM m LEFT JOIN upper u ON speaks AND u.conv_id = m.conv_id AND u.turn = m.turn - 1
 """
-OP3_SQL = OP3_SQL.replace("""m AS (
-  SELECT *, lead(conv_id) OVER () AS unused FROM conversations
-), """, "")
 
 OP1_SQL = r"""
 WITH d AS (
