@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import bound_batches
 
 # Elements of HTML by their kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -303,7 +302,6 @@ def _write(tree: Tree, kept: list[bool], gone: list[bool]) -> str:
 
 def extract_pages(pages: DataFrame, html: str = "html", text_name: str = "text", chars_name: str = "n_chars") -> DataFrame:
     """``pages`` with the main text of each and its length in code points."""
-    bound_batches(pages.sparkSession)
 
     @F.arrow_udf(T.StringType())
     def main_text(chunks: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .runtime import bound_batches, rechunk
+from .runtime import rechunk
 
 SPACE = "▁"
 NO_PAIR = np.int64(1) << np.int64(62)
@@ -227,7 +227,6 @@ def _lists(encoded: list[bytes]) -> pa.ListArray:
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids_name: str = "ids", decoded_name: str | None = None) -> DataFrame:
     """``docs`` with the ids of each text and, if named, the text decoded from those ids."""
-    bound_batches(docs.sparkSession)
     docs = docs.drop(ids_name, *([decoded_name] if decoded_name else []))
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField(ids_name, T.ArrayType(T.IntegerType(), False))])
@@ -246,7 +245,6 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids_name: s
 
 def decode_documents(encoded: DataFrame, path: str, ids_name: str = "ids", decoded_name: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids; null ids give an empty text."""
-    bound_batches(encoded.sparkSession)
     encoded = encoded.drop(decoded_name)
     at = encoded.columns.index(ids_name)
     schema = T.StructType([*encoded.schema.fields, T.StructField(decoded_name, T.StringType())])

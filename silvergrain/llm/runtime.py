@@ -18,16 +18,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-#: Rows of one Arrow batch. Texts may be 100 kB and more, so a batch of Spark's default
-#: 10,000 rows could be a gigabyte.
-ARROW_ROWS = 256
-
-
-def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep Arrow batches of this session small enough for whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only if none is set and all run on one machine."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

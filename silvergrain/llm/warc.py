@@ -32,8 +32,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .runtime import bound_batches, new_folder, open_fs, rechunk
+from .runtime import new_folder, open_fs, rechunk, written
 
 #: Payloads shorter than this stay responses.
 MIN_BYTES = 1000
@@ -173,9 +174,8 @@ def _listing(done: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([dict(zip(_FILES_ARROW.names, d, strict=True)) for d in done], _FILES_ARROW)
 
 
-def write_arcs(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html") -> list[dict]:
-    """Pack ``pages`` into ARC files, by partition of version 1 or 2 in turn; a row a file."""
-    bound_batches(pages.sparkSession)
+def write_arcs(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """Pack ``pages`` into ARC files, by partition of version 1 or 2 in turn; a table with a row a file. Runs a job."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -195,7 +195,7 @@ def write_arcs(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
         if files.done:
             yield _listing(files.done)
 
-    return [r.asDict() for r in pages.select(F.col(key).cast("long"), url, html).mapInArrow(run, FILES).collect()]
+    return written(pages.select(F.col(key).cast("long"), url, html).mapInArrow(run, FILES), "arc-files")
 
 
 # ---------------------------------------------------------------- conversion
@@ -228,7 +228,7 @@ def _file_name(path: str) -> str:
     return path.rpartition("/")[2]
 
 
-def places(spark: SparkSession, arcs: list[dict]) -> DataFrame:
+def places(spark: SparkSession, arcs: DataFrame) -> DataFrame:
     """A row per record of the ARC files: its place, payload digest and WARC id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,11 +245,12 @@ def places(spark: SparkSession, arcs: list[dict]) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PLACES_ARROW, strict=True)], schema=_PLACES_ARROW)
 
-    return _paths(spark, arcs).mapInArrow(run, PLACES)
+    return _paths(arcs).mapInArrow(run, PLACES)
 
 
-def _paths(spark: SparkSession, files: list[dict]) -> DataFrame:
-    return spark.createDataFrame([(f["path"],) for f in files], "path string").repartition(max(1, len(files)), "path")
+def _paths(files: DataFrame) -> DataFrame:
+    """The files' paths, about a task a file."""
+    return files.select("path").repartition(max(1, files.count()), "path")
 
 
 def revisits(found: DataFrame, least: int = MIN_BYTES) -> DataFrame:
@@ -263,15 +264,13 @@ def revisits(found: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     return long_ones.join(kept.hint("merge"), ["digest", "n_bytes"]).where((F.col("file") != F.col("to.o.file")) | (F.col("place") != F.col("to.o.place"))).select("file", "place", F.struct("to.id", "to.uri", "to.date").alias("to"))
 
 
-def convert(spark: SparkSession, arcs: list[dict], folder: str, least: int = MIN_BYTES) -> list[dict]:
-    """Write the ARC files as WARC files, one each; a row a file.
+def convert(spark: SparkSession, arcs: DataFrame, folder: str, least: int = MIN_BYTES) -> DataFrame:
+    """Write the ARC files as WARC files, one each; a table with a row a file. Runs a job.
 
     A file's revisits come to its task as one row, no more than the file has records.
     """
-    if not arcs:
-        return []
     per_file = revisits(places(spark, arcs), least).groupBy("file").agg(F.collect_list(F.struct("place", "to")).alias("revisits"))
-    work = _paths(spark, arcs).join(per_file.hint("merge"), F.col("path") == F.col("file"), "left").select("path", "revisits")
+    work = _paths(arcs).join(per_file.hint("merge"), F.col("path") == F.col("file"), "left").select("path", "revisits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,7 +303,7 @@ def convert(spark: SparkSession, arcs: list[dict], folder: str, least: int = MIN
                 out.close()
                 yield _listing(out.done)
 
-    return [r.asDict() for r in work.mapInArrow(run, FILES).collect()]
+    return written(work.mapInArrow(run, FILES), "warc-files")
 
 
 # ---------------------------------------------------------------- reading
@@ -326,10 +325,10 @@ def warc_records(stream: io.RawIOBase) -> Iterator[tuple[dict[str, str], bytes]]
         yield fields, block
 
 
-def read_warcs(spark: SparkSession, warcs: list[dict], payloads: bool = True) -> DataFrame:
+def read_warcs(spark: SparkSession, warcs: DataFrame, payloads: bool = True) -> DataFrame:
     """Responses and revisits of WARC files. A response's digest is taken of its payload, a revisit's as declared."""
     kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
-    schema = spark.createDataFrame([], RECORDS).schema
+    schema = T.StructType.fromDDL(RECORDS)
     arrow = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,9 +355,7 @@ def read_warcs(spark: SparkSession, warcs: list[dict], payloads: bool = True) ->
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    if not warcs:
-        return spark.createDataFrame([], schema)
-    return _paths(spark, warcs).mapInArrow(run, schema)
+    return _paths(warcs).mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = MIN_BYTES) -> DataFrame:
