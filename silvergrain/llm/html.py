@@ -2,12 +2,11 @@
 
 A page is parsed into a tree that tolerates missing and stray tags. Elements that are
 furniture by their nature (menus, forms, scripts, ...) or by the words in their class, id or
-role go first. For every remaining node the density is its characters per tag, adjusted for
-the characters and tags in links; a node's density sum adds its children's densities. The
-node with the greatest sum leads to the threshold, the least density on its path to the
-body; every node of at least that density contributes the subtree with the greatest sum
-below it. If the leading node lies in an ``article`` or ``main`` element, what that holds
-is the content.
+role go first. For every remaining block element the density is its characters per tag,
+adjusted for the characters and tags in links; formatting inside a block is text, not a tag. A
+node's density sum adds its children's densities. The node with the greatest sum leads to the
+threshold, the least density on its path to the body; every node of at least that density
+contributes the subtree with the greatest sum below it.
 
 Each page is parsed, measured and written by itself, in time proportional to its length, so
 pages of any length need no more than a multiple of their own size.
@@ -211,6 +210,7 @@ def extract(page: str | None) -> str:
     body = next((i for i in range(n) if tree.tag[i] == "body"), 0)
     gone = _furniture(tree)
     chars, tags, link_chars, link_tags, in_link = [0] * n, [0] * n, [0] * n, [0] * n, [False] * n
+    block = [tree.tag[i] not in INLINE for i in range(n)]
     for i in range(n):
         if not gone[i]:
             in_link[i] = tree.tag[i] == "a" or (i > 0 and in_link[tree.parent[i]])
@@ -221,14 +221,14 @@ def extract(page: str | None) -> str:
             up = tree.parent[i]
             chars[up] += chars[i]
             link_chars[up] += link_chars[i]
-            tags[up] += tags[i] + 1
+            tags[up] += tags[i] + (block[i] and tree.tag[i] not in VOID or tree.tag[i] == "a")
             link_tags[up] += link_tags[i] + (tree.tag[i] == "a")
     if not chars[body]:
         return ""
     body_share = link_chars[body] / chars[body]
     density, total = [0.0] * n, [0.0] * n
     for i in range(n):
-        if gone[i] or not chars[i]:
+        if gone[i] or not chars[i] or not block[i]:
             continue
         density[i] = chars[i] / max(1, tags[i])
         if body_share:
@@ -236,8 +236,7 @@ def extract(page: str | None) -> str:
             ratio = chars[i] / max(1, link_chars[i]) * max(1, tags[i]) / max(1, link_tags[i])
             density[i] *= max(0.0, math.log(ratio)) / math.log(base) if base > 1 else 1.0
     for i in range(n - 1, 0, -1):
-        if density[i]:
-            total[tree.parent[i]] += density[i]
+        total[tree.parent[i]] += density[i] if block[i] else total[i]
     for i in range(n):
         total[i] = total[i] or density[i]
     best = list(range(n))  # of each node, the node below it (or itself) with the greatest sum
@@ -246,21 +245,16 @@ def extract(page: str | None) -> str:
         if not gone[i] and total[best[i]] > total[best[up]]:
             best[up] = best[i]
     lead = best[body]
-    at, threshold, frame = lead, density[lead], -1
+    at, threshold = lead, density[lead]
     while at > body:
-        if tree.tag[at] in ("article", "main"):
-            frame = at
         at = tree.parent[at]
-        threshold = min(threshold, density[at])
+        threshold = min(threshold, density[at]) if block[at] else threshold
     kept = [False] * n
-    if frame >= 0:
-        kept[frame] = True
-    else:
-        dense = [False] * n
-        for i in range(body, n):
-            dense[i] = not gone[i] and density[i] >= threshold and (i == body or dense[tree.parent[i]])
-            if dense[i]:
-                kept[best[i]] = True
+    dense = [False] * n
+    for i in range(body, n):
+        dense[i] = not gone[i] and (density[i] >= threshold or not block[i]) and (i == body or dense[tree.parent[i]])
+        if dense[i] and block[i]:
+            kept[best[i]] = True
     for i in range(body + 1, n):
         kept[i] = (kept[i] or kept[tree.parent[i]]) and not gone[i]
     return _write(tree, kept, gone)
