@@ -6,6 +6,9 @@ table (a few bytes a slot, whatever the data) is broadcast, and a row's shard is
 of the slot its key hashes to: one hash and one lookup. Slots are spread evenly, and adding
 or removing a shard moves few slots besides those it gains or loses.
 
+``shard_rows`` places whole rows and sends each to its shard: rows of a shard lie together, a
+shard far larger than others (one key on a third of all rows) in several pieces.
+
 Edge cases: a null key hashes like the string of no characters and so has a shard; equal
 keys share a shard; an empty table stays empty; other columns pass through; one
 that bears an output's name gives way, which ``slot_name`` and ``shard_name`` can avoid.
@@ -20,6 +23,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .mixing import hash_bits
+
 #: A prime; a hundred slots and more for each of up to 655 shards keep shares within a few per cent.
 TABLE_SIZE = 65537
 #: The broadcast table has so many slots at most: 16 MB.
@@ -70,5 +75,15 @@ def place(rows: DataFrame, key: str, shards: Sequence[str], size: int = TABLE_SI
     """``rows`` with the slot and the shard of each."""
     table = table_frame(rows.sparkSession, fill_table(shards, size, weights), shards)
     table = table.select(F.col("slot").alias("__sg_slot"), F.col("shard").alias(shard_name))
-    slot = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(size))
+    slot = F.pmod(hash_bits(F.col(key)), F.lit(size))
     return rows.drop(shard_name).withColumn(slot_name, slot).join(F.broadcast(table), F.col(slot_name) == F.col("__sg_slot"), "left").drop("__sg_slot")
+
+
+def shard_rows(rows: DataFrame, key: str, shards: Sequence[str], size: int = TABLE_SIZE, weights: Mapping[str, int] | None = None, slot_name: str = "slot", shard_name: str = "shard") -> DataFrame:
+    """``rows`` placed, and moved so that a partition holds rows of one shard or of few; write with ``partitionBy(shard)``."""
+    return place(rows, key, shards, size, weights, slot_name, shard_name).hint("rebalance", shard_name)
+
+
+def shard_totals(placed: DataFrame, size: str, shard_name: str = "shard") -> DataFrame:
+    """Rows and summed ``size`` (null: 0) of every shard that has rows; a row a shard."""
+    return placed.groupBy(shard_name).agg(F.count(F.lit(1)).alias("shard_rows"), F.sum(F.coalesce(F.col(size), F.lit(0))).cast("long").alias("shard_size"))
