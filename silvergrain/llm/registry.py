@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, html, jaccard, mixing, neardup, pieces, quality, records, sharding, warc
+from .runtime import new_folder
 
 
 def vocabulary(name: str) -> str:
@@ -59,7 +61,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
+    placed = sharding.shard_rows(table(spark, sf_dir, "documents"), "doc_id", SHARDS)
+    folder = new_folder(spark, "shards")
+    placed.write.partitionBy("shard").mode("overwrite").parquet(folder)
+    moved = spark.read.schema(placed.schema).parquet(folder)
+    rows = moved.join(F.broadcast(sharding.shard_totals(moved, "n_chars")), "shard")
+    return rows.select("doc_id", "slot", "shard", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "shard_rows", "shard_size")
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +110,17 @@ SELECT m.conv_id, m.turn, m.logged, m.role, greatest(m.logged, u.spot) AS anchor
 FROM m LEFT JOIN upper u ON speaks AND u.conv_id = m.conv_id AND u.turn = m.turn - 1
 """
 
+OP7_SQL = f"""
+WITH owner AS (
+  SELECT from_json('{json.dumps(sharding.fill_table(SHARDS))}', '["INT"]') AS shard_of
+), placed AS (
+  SELECT *, CAST('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13) AS BIGINT) % {sharding.TABLE_SIZE} AS slot FROM documents
+), named AS (
+  SELECT placed.*, 'shard-' || lpad(shard_of[slot + 1]::VARCHAR, 3, '0') AS shard FROM placed, owner
+)
+SELECT doc_id, slot, shard, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes, count(*) OVER (PARTITION BY shard) AS shard_rows, sum(coalesce(n_chars, 0)) OVER (PARTITION BY shard)::BIGINT AS shard_size FROM named
+"""
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t FROM documents
@@ -179,4 +197,4 @@ SELECT *, CAST('0x' || substr(md5('{MIX_SEED}|' || coalesce(doc_id::VARCHAR, '')
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op5_jaccard_join": OP5_SQL, "op6_warc": OP6_SQL, "op3_chat_format": OP3_SQL, "op8_source_mix": OP8_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op5_jaccard_join": OP5_SQL, "op6_warc": OP6_SQL, "op3_chat_format": OP3_SQL, "op7_shard_placement": OP7_SQL, "op8_source_mix": OP8_SQL}
