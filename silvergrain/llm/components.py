@@ -31,7 +31,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node with a link; the component is its least node.
 
-    ``links`` has the columns a and b; null ends, loops and repeated links are no links.
+    ``links`` has the columns a and b, numbers or structs of them; null ends, loops and repeated
+    links are no links.
     """
     pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("a").isNotNull() & F.col("b").isNotNull()).alias("k"))
     now = written(pairs.where("k").drop("k").where("a <> b").distinct(), "links")

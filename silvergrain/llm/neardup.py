@@ -231,7 +231,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
     told_apart = ", ".join(f"{k} {'long' if k == 'bucket' else 'int'}" for k in [*keys, "own"])
     sorted_ = dealt.repartition(*keys).sortWithinPartitions(*keys, "place")
     members = sorted_.mapInArrow(count, f"{told_apart}, node long, place double, code binary")
-    rows = written(members, "bucket-members").join(classes.select("node", "vec", "copies"), "node").select(*keys, "own", "node", "place", "code", "vec", "copies")
+    rows = written(members, "bucket-members").join(classes.select("node", "rep", "vec", "copies"), "node").select(*keys, "own", "node", "place", "code", "vec", "copies", "rep")
     rows = rows.repartition(*keys).sortWithinPartitions(*keys, "place")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +242,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
                     yield from linked(columns[1][a], columns[3][a] != columns[4][a], columns[5][a:b], columns[6][a:b], columns[7][a:b], whole.slice(a, b - a))
 
     def linked(tab: int, split: bool, own: np.ndarray, node: np.ndarray, place: np.ndarray, group: pa.Table) -> Iterator[pa.RecordBatch]:
-        n, copies = len(node), group.column(10).to_numpy()
+        n, copies, rep = len(node), group.column(10).to_numpy(), group.column(11).to_numpy()
         s = Signatures(np.frombuffer(b"".join(group.column(9).to_pylist()), kind).astype(np.float64).reshape(n, -1), signs, tables)
         n_links, root = np.zeros(n, np.int64), np.arange(n)
         for i, j in partners(n, place, _codes(group.column(8)), own, split):
@@ -265,13 +265,14 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
             up = root[some]
             while (root[up] != up).any():
                 up = root[up]
-            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(n_links[some]), pa.array(node[up])], names=["node", "n_links", "up"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[some], rep[some], n_links[some], node[up], rep[up])], names=["node", "rep", "n_links", "up", "up_rep"])
 
-    found = written(rows.mapInArrow(verify, "node long, n_links long, up long"), "vector-links")
+    found = written(rows.mapInArrow(verify, "node long, rep long, n_links long, up long, up_rep long"), "vector-links")
     counts = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
-    label = components(found.select(F.col("node").alias("a"), F.col("up").alias("b")))
-    least = label.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
-    placed = classes.join(counts, "node", "left").join(label, "node", "left").join(least, "component", "left")
+    # nodes are ordered by their ids, so a component's least node tells its least id
+    label = components(found.select(F.struct("rep", "node").alias("a"), F.struct(F.col("up_rep").alias("rep"), F.col("up").alias("node")).alias("b")))
+    label = label.select("node.node", F.col("component.rep").alias("least"))
+    placed = classes.join(counts, "node", "left").join(label, "node", "left")
     placed = placed.select("vec", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("least", "rep").alias("least"))
     every = told.join(placed, "vec", "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("least", "vec_id"))
