@@ -3,6 +3,12 @@
 Quality rules, near-duplicate removal by n-gram Jaccard, mixing of sources to equal shares,
 SentencePiece encoding with a decoding check. Every stage works on all rows that its
 predecessor kept.
+
+Edge cases: null and empty texts fail the quality rules and go; rows without an id are linked with
+nothing and stay; of rows that repeat an id and a set of shingles one stays, rows that share an id
+but not a set are judged apart; rows without a source are a source of their own; texts of any
+length stay whole; an empty table gives empty tables; other columns pass through the stages,
+whatever their names, but for the last, which returns its own columns.
 """
 
 from __future__ import annotations
