@@ -141,7 +141,7 @@ SQL = {
     "reverse_links": with_journal("SELECT linked_event AS id, min(id) AS linked_by FROM linked WHERE linked_event IS NOT NULL GROUP BY 1", _LINKED),
     "resolved_links": with_journal("""SELECT r.id, coalesce(f.id, (SELECT min(s.id) FROM linked s WHERE s.kind = 'stroke' AND s.is_live AND s.linked_event = r.id)) AS stroke
         FROM linked r LEFT JOIN linked f ON f.id = r.linked_event AND f.kind = 'stroke' AND f.is_live WHERE r.kind = 'remark' AND r.is_live QUALIFY stroke IS NOT NULL""".replace("QUALIFY stroke IS NOT NULL", ""), _LINKED),
-    "dirty_drain": with_journal("SELECT * FROM dirty ORDER BY CASE WHEN reason = 'redaction' THEN 0 ELSE 1 END, since, image LIMIT 50", _DIRTY),
+    "dirty_drain": with_journal("SELECT * FROM dirty ORDER BY CASE WHEN reason = 'redaction' THEN 0 ELSE 1 END, since, image", _DIRTY),
     "dirty_acknowledged": with_journal("SELECT d.* FROM dirty d LEFT JOIN (SELECT image, max(ts) AS observed FROM journal WHERE image IS NOT NULL AND id % 4 <> 0 GROUP BY 1) s USING (image) WHERE observed IS NULL OR since > observed", _DIRTY),
     "session_groups": with_journal("SELECT session, id, kind, id IN (SELECT id FROM dead) AS retracted, max(id) OVER (PARTITION BY session) AS session_last, count(*) FILTER (WHERE id IN (SELECT id FROM dead)) OVER (PARTITION BY session) AS session_retracted FROM journal WHERE kind IN ('remark', 'rating', 'stroke')"),
 }

@@ -218,9 +218,9 @@ SQL = {
     "stage_rollup": "SELECT stage, done, total, rate, greatest(total - done, 0) AS remaining, CASE WHEN total - done <= 0 THEN 'done' WHEN rate > 0 THEN 'working' ELSE 'pending' END AS state, CASE WHEN total - done > 0 AND rate > 0 THEN round((total - done) / rate, 4) END AS eta FROM (SELECT l_returnflag AS stage, sum(l_quantity) AS done, sum(l_quantity + CASE WHEN l_returnflag = 'N' THEN 0 ELSE l_linenumber END) AS total, max(CASE WHEN l_returnflag = 'A' THEN l_discount ELSE 0 END) AS rate FROM lineitem GROUP BY 1)",
     "latency_histogram": "WITH b AS (SELECT l_linenumber, CASE WHEN us <= 1 THEN 0 ELSE ceil(log2(us)) END AS b, us FROM (SELECT l_linenumber, floor(l_extendedprice) AS us FROM lineitem)), c AS (SELECT l_linenumber, b, count(*) AS n FROM b GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY l_linenumber ORDER BY b) AS up, sum(n) OVER (PARTITION BY l_linenumber) AS al FROM c) SELECT l_linenumber, any_value(al)::BIGINT AS count, (SELECT sum(us) / 1000 FROM b WHERE b.l_linenumber = r.l_linenumber) AS total_ms, " + ", ".join(f"min(CASE WHEN up >= ceil(al * {q} / 100) THEN pow(2, b) / 1000 END) AS p{q}_ms" for q in (50, 95, 99)) + ", (SELECT max(us) / 1000 FROM b WHERE b.l_linenumber = r.l_linenumber) AS max_ms FROM r GROUP BY l_linenumber",
     "pair_stacks": f"{FIXTURE_SQL} SELECT root, regexp_replace(rel_path, '/[^/]*$', '') AS folder, 'img_' || image AS base, image AS \"primary\", CASE WHEN image % 3 = 0 THEN image + 10000000 END AS alt FROM paths",
-    "folder_delta": "SELECT DISTINCT event_id % 777 AS image, CASE WHEN event_id % 777 % 2 = 0 THEN 'upsert' ELSE 'removed' END AS change FROM events WHERE event_id > 300 AND event_id <= 900",
+    "folder_delta": "SELECT DISTINCT event_id % 777 AS image, CASE WHEN event_id % 777 % 2 = 0 THEN 'upsert' ELSE 'removed' END AS change FROM events",
     "channel_histogram": "WITH p AS (SELECT (p_partkey % 256)::INT AS r, (p_size * 5 % 256)::INT AS g, (floor(p_retailprice)::BIGINT % 256)::INT AS b FROM part WHERE p_partkey % 3 > 0), q AS (SELECT 'r' AS channel, r AS bin FROM p UNION ALL SELECT 'g', g FROM p UNION ALL SELECT 'b', b FROM p UNION ALL SELECT 'luma', round(r * 0.2126::DOUBLE + g * 0.7152::DOUBLE + b * 0.0722::DOUBLE)::INT FROM p), c AS (SELECT channel, bin, count(*) AS n FROM q GROUP BY ALL) SELECT *, round(ln(1 + n) / ln(1 + max(n) OVER (PARTITION BY channel)), 6) AS height FROM c",
-    "grid_sort_capture": f"{FIXTURE_SQL} SELECT image, capture_ts FROM images ORDER BY capture_ts NULLS LAST, image LIMIT 300",
+    "grid_sort_capture": f"{FIXTURE_SQL} SELECT image, capture_ts FROM images ORDER BY capture_ts NULLS LAST, image",
     "file_classes": "SELECT o_orderkey AS image, CASE o_orderkey % 5 WHEN 0 THEN 'raw' WHEN 2 THEN NULL ELSE 'image' END AS kind, o_orderkey % 5 IN (1, 2) AS excluded FROM orders",
     "retry_delays": "SELECT event_id, CASE WHEN event_id % 5 >= 3 OR event_id % 13 >= 10 THEN NULL WHEN event_id % 5 <= 1 THEN 60 ELSE 600 END AS wait FROM events",
 }

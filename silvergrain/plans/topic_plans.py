@@ -271,14 +271,14 @@ SQL = {
     "topic_density": "SELECT floor(embedding[1]::DOUBLE / 0.05::DOUBLE)::BIGINT AS gx, floor(embedding[2]::DOUBLE / 0.05::DOUBLE)::BIGINT AS gy, sum(label)::BIGINT AS w FROM embeddings GROUP BY 1, 2",
     "topic_affinity_rank": _RANK,
     "topic_baked": f"SELECT count(*) AS n FROM ({_RANK}) WHERE affinity >= 0.05",
-    "topic_suggestions": f"WITH {_NOTE_GRAMS}, nm AS (SELECT lower(n_name) AS phrase, max(n_nationkey)::BIGINT AS n FROM nation WHERE n_nationkey < 6 GROUP BY 1) SELECT * FROM (SELECT phrase, 'collection' AS source, n FROM nm UNION ALL SELECT phrase, 'note', count(*) FROM ph WHERE phrase NOT IN (SELECT phrase FROM nm) GROUP BY phrase HAVING count(*) >= 2) ORDER BY source, n DESC, phrase LIMIT 24",
-    "co_annotation": with_journal("SELECT 'worked together' || CASE WHEN session % 2 = 0 THEN ' ' || strftime((SELECT min(ts) FROM journal j WHERE j.session = l.session), '%Y-%m-%d') ELSE '' END AS label, 'co_annotation' AS source, count(*)::DOUBLE AS score, array_to_string(list_sort(list(image)), ',') AS members FROM l GROUP BY session HAVING count(*) >= 3", "l AS (SELECT DISTINCT session, image FROM journal WHERE kind IN ('remark', 'rating', 'stroke') AND id % 20 = 0)"),
+    "topic_suggestions": f"WITH {_NOTE_GRAMS}, nm AS (SELECT lower(n_name) AS phrase, max(n_nationkey)::BIGINT AS n FROM nation GROUP BY 1) SELECT * FROM (SELECT phrase, 'collection' AS source, n FROM nm UNION ALL SELECT phrase, 'note', count(*) FROM ph WHERE phrase NOT IN (SELECT phrase FROM nm) GROUP BY phrase HAVING count(*) >= 2) ORDER BY source, n DESC, phrase LIMIT 24",
+    "co_annotation": with_journal("SELECT 'worked together' || CASE WHEN session % 2 = 0 THEN ' ' || strftime((SELECT min(ts) FROM journal j WHERE j.session = l.session), '%Y-%m-%d') ELSE '' END AS label, 'co_annotation' AS source, count(*)::DOUBLE AS score, array_to_string(list_sort(list(image)), ',') AS members FROM l GROUP BY session HAVING count(*) >= 3", "l AS (SELECT DISTINCT session, image FROM journal WHERE kind IN ('remark', 'rating', 'stroke'))"),
     "repeated_phrases": f"WITH {_NOTE_GRAMS}, s AS (SELECT phrase, list_sort(list(DISTINCT image)) AS members FROM ph GROUP BY 1 HAVING count(DISTINCT image) >= 3) SELECT 'images you called \"' || arg_min(phrase, (-len(string_split(phrase, ' ')), phrase)) || '\"' AS label, 'repeated_phrase' AS source, len(members)::DOUBLE AS score, array_to_string(members, ',') AS members FROM s GROUP BY s.members",
     "attention_intensity": with_journal("SELECT image, round(raw / max(raw) OVER (), 6) AS intensity FROM (SELECT image, (sum(id % 90 * 1000) * 0.0001::DOUBLE + count(*) + count(*) FILTER (WHERE kind = 'stroke') * 0.5::DOUBLE) * pow(0.5::DOUBLE, greatest(0, (epoch_us(TIMESTAMP '2024-01-28') - epoch_us(max(ts))) / 86400e6::DOUBLE) / 14) AS raw FROM journal WHERE image IS NOT NULL GROUP BY image)"),
     "engaged_topics": f"WITH {_AFF}, s AS (SELECT topic, sum(a * h * m) AS w, sum(a * m) AS mass FROM ex WHERE a > 1e-4 GROUP BY 1) SELECT topic, round(w / max(w) OVER (), 6) AS score, round(w / mass, 6) AS mean FROM s",
     "overlooked_topics": f"WITH {_AFF}, s AS (SELECT topic, sum(a * a * m) / sum(a * m) AS c, sum(a * h * m) / sum(a * m) AS h FROM ex WHERE a > 1e-4 GROUP BY 1) SELECT topic, round(c / max(c) OVER () * (1 - h / max(h) OVER ()), 6) AS score, round(h / max(h) OVER (), 6) AS mean FROM s",
     "lod_supernodes": f"WITH {_AFF} SELECT CASE WHEN list_max(affinities) > 0 THEN list_position(affinities, list_max(affinities)) - 1 ELSE -1 END::INTEGER AS topic, count(*) AS mass, round(avg(affinities[1]), 6) AS a0, round(avg(affinities[5]), 6) AS a4 FROM aff GROUP BY 1",
-    "collection_counts": f"WITH {_MEMBERS} SELECT c_custkey AS collection, c_name AS name, (SELECT count(DISTINCT image) FROM mem WHERE collection = c_custkey AND removed_ts IS NULL) AS members, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 7 = 0) AS notes FROM customer",
+    "collection_counts": f"WITH {_MEMBERS} SELECT c_custkey AS collection, c_name AS name, (SELECT count(DISTINCT image) FROM mem WHERE collection = c_custkey AND removed_ts IS NULL) AS members, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS notes FROM customer",
     "members_added": f"WITH {_MEMBERS}, ad AS (SELECT collection, image FROM mem WHERE image % 3 = 0 UNION SELECT collection + 1, image FROM mem WHERE image % 50 = 0) SELECT * FROM mem UNION ALL SELECT collection, image, greatest(TIMESTAMP '1995-01-01', (SELECT max(added_ts) + INTERVAL 1 MILLISECOND FROM mem m WHERE m.collection = ad.collection AND m.image = ad.image)), NULL FROM ad WHERE (collection, image) NOT IN (SELECT collection, image FROM mem WHERE removed_ts IS NULL)",
     "members_removed": f"WITH {_MEMBERS} SELECT collection, image, added_ts, CASE WHEN removed_ts IS NULL AND image % 3 = 0 THEN greatest(TIMESTAMP '1996-01-01', added_ts) ELSE removed_ts END AS removed_ts FROM mem",
     "merge_collections_lww": f"WITH d AS ({_DOC(0)} UNION ALL {_DOC(1)}), c AS (SELECT collection, min(created_ts) AS created_ts FROM d GROUP BY 1) SELECT collection, name, description, status, c.created_ts, updated_ts FROM (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY updated_ts DESC, name, description, status) AS r FROM d) JOIN c USING (collection) WHERE r = 1",
