@@ -36,6 +36,8 @@ def components(links: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError("components did not settle")
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 

@@ -24,14 +24,27 @@ def parse_query(query: str) -> tuple[list[str], str | None]:
     return (found[:-1], found[-1]) if found else ([], None)
 
 
+_MARKS = str.maketrans(text.MARKED, text.PLAIN)
+
+
 def _fold(token: str) -> list[str]:
     plain = token.lower().translate(str.maketrans(text.MARKED, text.PLAIN))
     return re.findall(r"[^\W_]+", plain)
 
 
-def search(docs: DataFrame, query: str, key: str = "doc_id", body: str = "text", limit: int = TUNING.text_limit) -> DataFrame:
+def _folded(body: str) -> str:
+    """``body`` folded letter by letter, so places stay as they are."""
+    low = body.lower()
+    if len(low) != len(body):
+        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in body)
+    return low.translate(_MARKS)
+
+
+def search(docs: DataFrame, query: str, key: str = "doc_id", body: str = "text", limit: int | None = TUNING.text_limit) -> DataFrame:
     """(key, score), best (least) first: BM25 over all documents, the query's last token a prefix.
 
+    Without a ``limit`` all hits come out, in no order.
+
     One scan counts the terms of each document without exploding it; the corpus statistics
     are one row. A query without tokens matches nothing here: callers browse instead.
     """
@@ -52,7 +65,7 @@ def search(docs: DataFrame, query: str, key: str = "doc_id", body: str = "text",
         every = every & (f > 0)
         score = score + _idf(F.lit(float(n)), F.lit(float(df))) * _saturated(f, F.col("len"), F.lit(float(average)))
     hits = counted.where(every).select(key, F.round(-score, DIGITS).alias("score"))
-    return hits.orderBy("score", key).limit(limit)
+    return hits if limit is None else hits.orderBy("score", key).limit(limit)
 
 
 def _idf(n: Column, df: Column) -> Column:
@@ -144,23 +157,25 @@ def hits_by_image(hits: DataFrame, targets: DataFrame, key: str = "doc_id", filt
 
 def search_images(docs: DataFrame, only: DataFrame, query: str, key: str = "doc_id", body: str = "text") -> DataFrame:
     """A search whose statistics are the corpus's and whose hits are the keys of ``only``."""
-    return search(docs, query, key, body, limit=2**31 - 1).join(only.select(key).distinct(), key, "left_semi").orderBy("score", key)
+    return search(docs, query, key, body, limit=None).join(only.select(key).distinct(), key, "left_semi").orderBy("score", key)
 
 
 def snippets(hits: DataFrame, query: str, body: str = "text", width: int = 12) -> DataFrame:
     """Adds ``snippet``, ``width`` words from the first match on, and the 0-based spans of its matches in it.
 
-    A prefix match is marked as far as it was typed. Run on limited hits only.
+    Words match as they do in ``search``, whatever their marks. A prefix match is marked as far
+    as it was typed. Run on limited hits only.
     """
     exact, last = parse_query(query)
-    terms, prefix = {e.lower() for e in exact}, last.lower() if last else None
+    ending = _fold(last) if last else []
+    terms, prefix = {t for e in exact for t in _fold(e)} | set(ending[:-1]), ending[-1] if ending else None
 
     @F.pandas_udf("snippet string, spans array<struct<start:int,end:int>>")
     def run(bodies: pd.Series) -> pd.DataFrame:
         out = []
         for b in bodies:
             words = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", b or "")]
-            low = (b or "").lower()
+            low = _folded(b or "")
             matched = [low[s:e] in terms or (prefix is not None and low[s:e].startswith(prefix)) for s, e in words]
             first = next((i for i, m in enumerate(matched) if m), 0)
             shown = range(first, min(len(words), first + width))
