@@ -157,5 +157,6 @@ SQL = {
     "fuzzy_match": f"WITH {_FUZZY} SELECT p_partkey, field FROM fuzzy",
     "fuzzy_appended_union": f"WITH {_FUZZY}, ex AS (SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%a%' AND p_partkey % 5 = 0) SELECT p_partkey, 'exact' AS lane FROM ex UNION ALL SELECT p_partkey, 'fuzzy' FROM fuzzy WHERE p_partkey NOT IN (SELECT p_partkey FROM ex)",
     "input_digests": "SELECT doc_id, sha256(concat_ws(chr(31), coalesce(lang, ''), coalesce(source, ''), coalesce(text, ''))) AS digest FROM documents",
+    "resolve_name_jw": "SELECT asked, n_nationkey, name, score FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, n_nationkey) AS r FROM (SELECT asked, n_nationkey, name, round(jaro_winkler_similarity(asked, name), 6) AS score FROM (SELECT n_nationkey, trim(regexp_replace(lower(n_name), '\\s+', ' ', 'g')) AS name FROM nation), (VALUES ('germny'), ('nation 1'), ('untied kingdom'), ('brasil')) v(asked)) WHERE score >= 0.80) WHERE r = 1",
     "stale_quotes": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 OR substring(text, 5, 8) = 'stale' THEN substring(text, 5, 8) END AS quote FROM documents",
 }

@@ -35,7 +35,7 @@ def interval_link(spark, sf_dir):
 
 def nearest_onset(spark, sf_dir):
     s = lambda k: _spans(spark, sf_dir, k).select("lane", "id", F.col("start").alias("ts"))
-    return T.nearest_onset(s("click"), s("view"), "lane", most=30)
+    return T.nearest_onset(s("click"), s("view"), "lane", most=1800)
 
 
 def ewma_rate(spark, sf_dir):
@@ -197,7 +197,7 @@ SQL = {
         NOT EXISTS (SELECT 1 FROM p WHERE p.user_id = v.user_id AND pts <= v.ts) AND EXISTS (SELECT 1 FROM p WHERE p.user_id = v.user_id) AS predated FROM v""",
     "interval_link": f"""WITH {_SPANS}, pr AS (SELECT a.id, b.id AS candidate, least(a.e, b.e) - greatest(a.s, b.s) AS o, a.gate = b.gate AS g FROM sp a JOIN sp b ON a.lane = b.lane AND b.s <= a.e + 10000000 AND b.e >= a.s - 10000000 WHERE a.event_type = 'click' AND b.event_type = 'view')
       SELECT id, arg_max(candidate, (CASE WHEN o > 0 THEN 1 ELSE 0 END, o, candidate)) AS candidate FROM pr WHERE o > 0 OR g GROUP BY id""",
-    "nearest_onset": f"WITH {_SPANS} SELECT a.id, arg_min(b.id, (abs(a.s - b.s), b.id)) AS onset FROM sp a JOIN sp b ON a.lane = b.lane AND abs(a.s - b.s) <= 30000000 WHERE a.event_type = 'click' AND b.event_type = 'view' GROUP BY a.id",
+    "nearest_onset": f"WITH {_SPANS} SELECT a.id, arg_min(b.id, (abs(a.s - b.s), b.id)) AS onset FROM sp a JOIN sp b ON a.lane = b.lane AND abs(a.s - b.s) <= 1800000000 WHERE a.event_type = 'click' AND b.event_type = 'view' GROUP BY a.id",
     "dwell_totals": "SELECT event_id % 200 AS image, sum(least(6000, floor(CASE WHEN event_type = 'view' THEN 1.0::DOUBLE ELSE 0.15::DOUBLE END * ms)))::BIGINT AS dwell_ms, count(*) AS episodes, max(ts) AS last_ts FROM (SELECT *, floor(value)::BIGINT * 1000 AS ms FROM events) WHERE ms >= 250 GROUP BY 1",
     "best_path": f"{_PATHS} SELECT image, volume, rel_path, online FROM (SELECT a.image, a.volume, a.rel_path, online, row_number() OVER (PARTITION BY a.image ORDER BY online DESC, CASE WHEN root <> 3 THEN 0 ELSE 1 END, read_only, verified_at DESC, a.volume, a.rel_path) AS r FROM allp a JOIN vols USING (volume) WHERE active) WHERE r = 1",
     "availability": f"{_PATHS} SELECT i.image, CASE WHEN m THEN 'available' WHEN m IS NOT NULL THEN 'offline' ELSE 'missing' END AS availability FROM images i LEFT JOIN (SELECT image, bool_or(online) AS m FROM allp JOIN vols USING (volume) WHERE active GROUP BY 1) x USING (image)",

@@ -14,6 +14,7 @@ from ..operators import topics as P
 from ..operators import vectors as V
 from .filter_plans import FIXTURE_SQL, tables
 from .fixtures import journal, table, with_journal
+from .time_plans import _GAPS
 from .vector_plans import _COS, SQL as VECTOR_SQL
 
 
@@ -260,6 +261,13 @@ _RANK = f"SELECT e.vec_id AS image, round(coalesce(v.score, 0) * 0.7::DOUBLE + c
 _DOC = lambda s: f"SELECT c_custkey AS collection, c_name || CASE WHEN c_custkey % 3 = {s} THEN ' x' ELSE '' END AS name, c_mktsegment AS description, CASE WHEN c_custkey % 4 = {s} THEN 'done' ELSE 'active' END AS status, c_custkey % 7 + {s} AS created_ts, c_custkey % 2 * {s} + c_custkey AS updated_ts FROM customer WHERE c_custkey % 5 <> {s}"
 _NOTES2 = "n1 AS (SELECT o_custkey AS collection, o_orderkey AS note, o_orderdate AS ts, o_orderpriority AS text FROM orders), n2 AS (SELECT * FROM n1 UNION SELECT collection, note, ts, CASE WHEN note % 6 = 0 THEN '0-HIGH' ELSE text END FROM n1 WHERE note % 2 = 0)"
 _SYM = f"SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(sim) AS sim FROM ({VECTOR_SQL['knn_graph']}) GROUP BY 1, 2"
+
+def _strokes(n, x, y):
+    """Pieces of the strokes of ``n`` points, each with its distance ``far`` from a point."""
+    return f"""piece AS (SELECT vec_id, unnest(range(1, {n}))::INTEGER AS i, embedding::DOUBLE[] AS e FROM embeddings), d AS (SELECT vec_id, i, e[i] AS x0, e[i + 20] AS y0, e[i + 1] - e[i] AS dx, e[i + 21] - e[i + 20] AS dy FROM piece),
+      near AS (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN least(1, greatest(0, (({x}::DOUBLE - x0) * dx + ({y}::DOUBLE - y0) * dy) / (dx * dx + dy * dy))) ELSE 0 END AS t FROM d), far AS (SELECT *, sqrt(pow({x}::DOUBLE - x0 - t * dx, 2) + pow({y}::DOUBLE - y0 - t * dy, 2)) AS far FROM near)"""
+
+
 SQL = {
     "hamming_pairs": f"WITH {_SIG} SELECT * FROM hp WHERE distance <= 16",
     "near_dup_groups": f"WITH RECURSIVE {_GROUPS} SELECT node, component, size FROM grp",
@@ -272,6 +280,13 @@ SQL = {
     "topic_affinity_rank": _RANK,
     "topic_baked": f"SELECT count(*) AS n FROM ({_RANK}) WHERE affinity >= 0.05",
     "topic_suggestions": f"WITH {_NOTE_GRAMS}, nm AS (SELECT lower(n_name) AS phrase, max(n_nationkey)::BIGINT AS n FROM nation GROUP BY 1) SELECT * FROM (SELECT phrase, 'collection' AS source, n FROM nm UNION ALL SELECT phrase, 'note', count(*) FROM ph WHERE phrase NOT IN (SELECT phrase FROM nm) GROUP BY phrase HAVING count(*) >= 2) ORDER BY source, n DESC, phrase LIMIT 24",
+    "stroke_shapes": f"WITH {_strokes(7, 0.05, 0)} SELECT vec_id, round(sum(sqrt(dx * dx + pow(dy * 4000::DOUBLE / 6000, 2))), 5) AS length, NOT (sum(CASE WHEN i = 1 THEN sqrt(dx * dx + dy * dy) END) < 0.003 AND vec_id % 200 < 100) AS kept, round(min(far), 5) AS distance, least(12500, greatest(-2500, floor(sum(CASE WHEN i = 1 THEN x0 END) * 10000 + 0.5)))::INTEGER AS qx FROM far GROUP BY vec_id",
+    "eraser_picks": f"WITH {_strokes(3, 0.05, 0.02)} SELECT vec_id % 25 AS mark, max(vec_id) AS stroke FROM far WHERE far <= 0.04 GROUP BY 1",
+    "node_overlay": f"WITH {_AFF}, s AS (SELECT topic, sum(a * a * m) / sum(a * m) AS c, sum(a * h * m) / sum(a * m) AS h FROM ex WHERE a > 1e-4 GROUP BY 1), o AS (SELECT topic, c / max(c) OVER () * (1 - h / max(h) OVER ()) AS s FROM s), d AS (SELECT image, intensity, CASE WHEN list_max(affinities) > 0 THEN list_position(affinities, list_max(affinities)) - 1 ELSE -1 END AS topic FROM aff) SELECT image, round(coalesce(s, 0) * (1 - intensity), 6) AS score FROM d LEFT JOIN o USING (topic)",
+    "collection_suggestions": with_journal("SELECT label, source, score, least(m, 500)::INTEGER AS members FROM (SELECT * FROM co UNION ALL SELECT * FROM named UNION ALL SELECT * FROM burst) ORDER BY score DESC, source, label LIMIT 24", f"""l AS (SELECT DISTINCT session, image FROM journal WHERE kind IN ('remark', 'rating', 'stroke')),
+      began AS (SELECT session, min(ts) AS began FROM journal GROUP BY 1), co AS (SELECT 'worked together ' || strftime(any_value(began), '%Y-%m-%d') AS label, 'co_annotation' AS source, count(*)::DOUBLE AS score, count(*) AS m FROM l JOIN began USING (session) GROUP BY session HAVING count(*) >= 3),
+      {_NOTE_GRAMS}, same AS (SELECT phrase, list_sort(list(DISTINCT image)) AS members FROM ph GROUP BY 1 HAVING count(DISTINCT image) >= 3), named AS (SELECT 'images you called "' || arg_min(phrase, (-len(string_split(phrase, ' ')), phrase)) || '"' AS label, 'repeated_phrase' AS source, len(members)::DOUBLE AS score, len(members) AS m FROM same GROUP BY same.members),
+      burst AS (SELECT 'burst, f' || user_id || ', ' || strftime(start, '%Y-%m-%d') AS label, 'time_folder' AS source, n::DOUBLE AS score, n AS m FROM ({_GAPS(3600, '>')}) WHERE n >= 4)"""),
     "co_annotation": with_journal("SELECT 'worked together' || CASE WHEN session % 2 = 0 THEN ' ' || strftime((SELECT min(ts) FROM journal j WHERE j.session = l.session), '%Y-%m-%d') ELSE '' END AS label, 'co_annotation' AS source, count(*)::DOUBLE AS score, array_to_string(list_sort(list(image)), ',') AS members FROM l GROUP BY session HAVING count(*) >= 3", "l AS (SELECT DISTINCT session, image FROM journal WHERE kind IN ('remark', 'rating', 'stroke'))"),
     "repeated_phrases": f"WITH {_NOTE_GRAMS}, s AS (SELECT phrase, list_sort(list(DISTINCT image)) AS members FROM ph GROUP BY 1 HAVING count(DISTINCT image) >= 3) SELECT 'images you called \"' || arg_min(phrase, (-len(string_split(phrase, ' ')), phrase)) || '\"' AS label, 'repeated_phrase' AS source, len(members)::DOUBLE AS score, array_to_string(members, ',') AS members FROM s GROUP BY s.members",
     "attention_intensity": with_journal("SELECT image, round(raw / max(raw) OVER (), 6) AS intensity FROM (SELECT image, (sum(id % 90 * 1000) * 0.0001::DOUBLE + count(*) + count(*) FILTER (WHERE kind = 'stroke') * 0.5::DOUBLE) * pow(0.5::DOUBLE, greatest(0, (epoch_us(TIMESTAMP '2024-01-28') - epoch_us(max(ts))) / 86400e6::DOUBLE) / 14) AS raw FROM journal WHERE image IS NOT NULL GROUP BY image)"),

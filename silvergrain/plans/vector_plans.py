@@ -121,6 +121,9 @@ SQL = {
     "similar_items": f"SELECT vec_id, round({_COS('embedding', 'q')}, 6) AS score FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = {ITEM}) WHERE vec_id <> {ITEM} ORDER BY 2 DESC, 1 LIMIT 60",
     "knn_graph": f"SELECT src, dst, sim FROM (SELECT a.vec_id AS src, b.vec_id AS dst, greatest(round({_COS('a.embedding', 'b.embedding')}, 6), 0) AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY greatest(round({_COS('a.embedding', 'b.embedding')}, 6), 0) DESC, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE r <= 12",
     "truncated_vectors": "SELECT vec_id, round(1.0::DOUBLE, 6) AS norm, round(c[1] / sqrt(list_dot_product(c, c)), 6) AS first, len(c)::INTEGER AS dims FROM (SELECT vec_id, embedding[1:32]::DOUBLE[] AS c FROM embeddings)",
+    "quantized_scores": f"""WITH x AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), q AS (SELECT i, (max(x) - min(x)) / 254 AS s, (max(x) + min(x)) / 2 AS o FROM x GROUP BY i),
+      b AS (SELECT vec_id, i, greatest(-127, least(127, CASE WHEN s = 0 THEN 0 ELSE sign((x - o) / s) * floor(abs((x - o) / s) + 0.5) END)) * s + o AS b FROM x JOIN q USING (i)), z AS (SELECT i, b AS z FROM b WHERE vec_id = {ITEM})
+      SELECT vec_id, round(sum(b * z) / sqrt(sum(b * b) * sum(z * z)), 4) AS score FROM b JOIN z USING (i) GROUP BY vec_id""",
     "upserted_vectors": "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN -1 ELSE label END AS label FROM embeddings",
     "deleted_vectors": "SELECT vec_id FROM embeddings WHERE label <> 2",
     "space_missing": "SELECT vec_id FROM embeddings WHERE vec_id % 4 = 0",
