@@ -12,7 +12,7 @@ from ..sources import files, sidecars
 from ..storage import shared_folder
 from ..streaming import streams as R
 from .fixtures import JOURNAL_SQL, journal, table, with_journal
-from .time_plans import _GAPS
+from .time_plans import _GAPS, SEGMENTS, WRITES
 
 
 def _stream(spark, sf_dir):
@@ -98,6 +98,9 @@ SQL = {
     # what the watermark, ten minutes behind the latest event, has passed
     "stream_sessions": f"SELECT user_id, start, \"end\", n FROM ({_GAPS(1800, '>=')}) WHERE epoch_us(\"end\") + 1800::BIGINT * 1000000 - 1 <= (SELECT max(epoch_ms(ts)) * 1000 - 600::BIGINT * 1000000 FROM events)",
     "stream_dwell": "SELECT event_id % 200 AS image, date_trunc('day', ts)::TIMESTAMP AS day, sum(least(6000, floor(value)::BIGINT * 1000))::BIGINT AS dwell_ms, count(*) AS episodes FROM events WHERE floor(value) * 1000 >= 250 GROUP BY 1, 2 HAVING epoch_us(any_value(date_trunc('day', ts)::TIMESTAMP)) + 86400::BIGINT * 1000000 <= (SELECT max(epoch_ms(ts)) * 1000 - 600::BIGINT * 1000000 FROM events)",
+    "stream_debounce": f"SELECT * FROM ({WRITES}) WHERE epoch_us(due) <= (SELECT max(epoch_ms(ts)) * 1000 - 10::BIGINT * 1000000 FROM events)",
+    "stream_segments": f'{SEGMENTS} SELECT user_id, oa AS start, ob AS "end" FROM f WHERE oa IS NOT NULL',
+    "stream_scope": "SELECT user_id, epoch_us(ts) AS at, state AS value, false AS predated FROM (SELECT *, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_type ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS state FROM events WHERE event_type IN ('view', 'purchase')) WHERE event_type = 'view' AND state IS NOT NULL",
     "stream_moves": "SELECT a.event_id % 4 AS image, 'f' || a.event_id AS old_path, 'f' || b.event_id AS new_path FROM events a JOIN events b ON a.event_id % 4 = b.event_id % 4 AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 3600::BIGINT * 1000000 WHERE a.event_type = 'error' AND b.event_type = 'view'",
     "stream_finals": "SELECT event_id AS utterance FROM events WHERE event_type = 'view'",
     "sidecar_round_trip": with_journal("SELECT id, kind, text, rating, scrubbed FROM journal WHERE id IN (SELECT id FROM reached)", _REACH),

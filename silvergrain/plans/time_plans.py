@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..model import TUNING
 from ..operators import catalog as C
 from ..operators import temporal as T
 from .filter_plans import FIXTURE_SQL, images, tables
@@ -189,7 +190,22 @@ _PATHS = FIXTURE_SQL + """, vol AS (SELECT unnest([0, 1, 2]) AS volume), vols AS
 p2 AS (SELECT p.*, o_orderdate AS verified_at FROM paths p JOIN orders ON o_orderkey = image), allp AS (SELECT image, volume, root, rel_path, active, verified_at FROM p2 UNION ALL SELECT image, (volume + 1) % 3, root, 'Copy/' || rel_path, image % 7 <> 0, verified_at FROM p2 WHERE image % 3 = 0),
 passes AS (SELECT l_orderkey AS image, 'pass' || (l_linenumber % 3) AS pass, CASE WHEN l_linestatus = 'O' THEN 'pending' WHEN l_returnflag = 'A' THEN 'error' WHEN l_suppkey % 9 = 0 THEN 'running' ELSE 'done' END AS state, CASE l_partkey % 7 WHEN 0 THEN 'io' WHEN 1 THEN 'decode' WHEN 2 THEN 'no-worker' WHEN 3 THEN 'geometry' ELSE 'other' END AS category, l_suppkey % 5 AS priority, l_shipdate AS enqueued_at, CASE WHEN l_partkey % 4 = 0 THEN l_shipdate END AS not_before FROM lineitem),
 st AS (SELECT *, CASE WHEN active THEN 'active' WHEN image % 10 = 5 THEN 'superseded' ELSE 'stale' END AS state, CASE WHEN image % 21 <> 0 THEN verified_at END AS stale_since FROM allp) """
+_ROWS = lambda order, *more: f"r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY {order}) AS i, ts, {', '.join(more)} FROM events)"
+_NEXT = "FROM f JOIN r ON r.user_id = f.user_id AND r.i = f.i + 1"
+_DUE = "least(last + INTERVAL 7200 SECONDS, first + INTERVAL 20000 SECONDS)"
+SEGMENTS = f"""WITH RECURSIVE {_ROWS('event_id', 'event_id AS t', 'value / 20 AS p')}, f AS (SELECT user_id, i, CASE WHEN p >= {TUNING.vad_enter} THEN t END AS a, CASE WHEN p >= {TUNING.vad_enter} THEN t END AS b, 0 AS missed, NULL::BIGINT AS oa, NULL::BIGINT AS ob FROM r WHERE i = 1 UNION ALL
+      SELECT r.user_id, r.i, CASE WHEN f.a IS NULL THEN CASE WHEN r.p >= {TUNING.vad_enter} THEN r.t END WHEN r.p < {TUNING.vad_exit} AND f.missed = 2 THEN NULL ELSE f.a END,
+        CASE WHEN f.a IS NULL AND r.p >= {TUNING.vad_enter} OR f.a IS NOT NULL AND r.p >= {TUNING.vad_exit} THEN r.t ELSE f.b END, CASE WHEN f.a IS NULL OR r.p >= {TUNING.vad_exit} OR f.missed = 2 THEN 0 ELSE f.missed + 1 END,
+        CASE WHEN f.a IS NOT NULL AND r.p < {TUNING.vad_exit} AND f.missed = 2 THEN f.a END, CASE WHEN f.a IS NOT NULL AND r.p < {TUNING.vad_exit} AND f.missed = 2 THEN f.b END {_NEXT})"""
+WRITES = f"""WITH RECURSIVE {_ROWS('ts', 'event_id')}, f AS (SELECT user_id, i, ts AS first, ts AS last FROM r WHERE i = 1 UNION ALL SELECT r.user_id, r.i, CASE WHEN r.ts > {_DUE} THEN r.ts ELSE first END, r.ts {_NEXT}),
+      w AS (SELECT user_id, first, max(last) AS last FROM f GROUP BY 1, 2) SELECT user_id, first, last, {_DUE} AS due FROM w"""
 SQL = {
+    "ewma_rate": f"""WITH RECURSIVE {_ROWS('ts, event_id * 10 % 70001', 'event_id * 10 % 70001 AS n')}, f AS (SELECT user_id, i, ts, ts AS last_t, n AS last_n, NULL::DOUBLE AS rate FROM r WHERE i = 1 UNION ALL
+      SELECT r.user_id, r.i, r.ts, CASE WHEN r.n < f.last_n OR r.ts > f.last_t THEN r.ts ELSE f.last_t END, CASE WHEN r.n < f.last_n OR r.ts > f.last_t THEN r.n ELSE f.last_n END,
+        CASE WHEN r.n < f.last_n THEN NULL WHEN r.ts > f.last_t THEN coalesce(f.rate + 0.3 * ((r.n - f.last_n) / ((epoch_us(r.ts) - epoch_us(f.last_t)) / 1e6::DOUBLE) - f.rate), (r.n - f.last_n) / ((epoch_us(r.ts) - epoch_us(f.last_t)) / 1e6::DOUBLE)) ELSE f.rate END {_NEXT}) SELECT user_id, ts, round(rate, 6) AS rate FROM f""",
+    "speech_segments": f"""{SEGMENTS}
+      SELECT user_id, oa AS start, ob AS "end" FROM f WHERE oa IS NOT NULL UNION ALL SELECT user_id, a, b FROM f WHERE a IS NOT NULL AND (user_id, i) IN (SELECT user_id, max(i) FROM r GROUP BY 1)""",
+    "write_debounce": WRITES,
     "session_rotate": f"SELECT user_id, start, \"end\", n FROM ({_GAPS(1800, '>=')})",
     "folder_bursts": f"SELECT user_id, start, n, array_to_string(ids, ',') AS members FROM ({_GAPS(3600, '>')}) WHERE n >= 2",
     "asof_scope": """WITH v AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'view'), p AS (SELECT user_id, ts AS pts, event_id AS pid, value FROM events WHERE event_type = 'purchase')
