@@ -87,7 +87,7 @@ def exif_times(spark, sf_dir):
 
 def foreign_edits(spark, sf_dir):
     k = F.col("p_partkey")
-    xmp = F.when(k % 4 == 0, F.concat(F.lit('<x:Description xmp:Rating="'), (k % 7).cast("string"), F.lit('" crs:HasCrop="True"/>'))).when(k % 4 == 1, F.concat(F.lit("<xmp:Rating> "), (k % 6).cast("string"), F.lit(" </xmp:Rating>"))).otherwise("<x/>")
+    xmp = F.when(k % 4 == 0, F.concat(F.lit('<x:Description xmp:Rating="'), (k % 8 - 1).cast("string"), F.lit('" crs:HasCrop="True"/>'))).when(k % 4 == 1, F.concat(F.lit("<xmp:Rating> "), (k % 6).cast("string"), F.lit(" </xmp:Rating>"))).otherwise("<x/>")
     return table(spark, sf_dir, "part").select("p_partkey", files.foreign_edits(xmp).alias("e")).select("p_partkey", "e.rating", "e.cropped")
 
 
@@ -108,5 +108,5 @@ SQL = {
     "rebuilt_stats": with_journal("SELECT image, event_count, has_text, has_strokes, stroke_count FROM stats"),
     "collections_round_trip": "SELECT c_custkey, c_name FROM customer",
     "exif_times": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate - CASE WHEN o_orderkey % 2 = 0 THEN INTERVAL 330 MINUTES WHEN o_orderkey % 3 = 0 THEN INTERVAL (-60) MINUTES ELSE INTERVAL 0 MINUTES END END AS captured FROM orders",
-    "foreign_edits": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CASE WHEN p_partkey % 7 <= 5 THEN p_partkey % 7 END WHEN 1 THEN p_partkey % 6 END::INTEGER AS rating, CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS cropped FROM part",
+    "foreign_edits": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CASE WHEN p_partkey % 8 <= 6 THEN p_partkey % 8 - 1 END WHEN 1 THEN p_partkey % 6 END::INTEGER AS rating, CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS cropped FROM part",
 }

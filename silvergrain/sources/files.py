@@ -2,33 +2,72 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import excluded, file_class
 from ..operators.temporal import micros
 
+#: Bytes of a file that are held at once while it is hashed.
+PIECE = 8 << 20
+
 
 def list_files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     """(rel_path, size, mtime, kind) of a root's files of known types; with ``content`` also their bytes' SHA-256.
 
     The listing reads no contents: columns that are not asked for are pruned before the files
-    are opened.
+    are opened. Files without a byte are not listed.
     """
+    out = _listed(spark, root)
+    return _hashed(out).drop("path") if content else out.drop("path")
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path, rel_path, size, mtime, kind), from file states alone."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace("path", r"^[a-z]+:/*", "/")
     prefix = "/" + root.split(":", 1)[-1].strip("/") + "/"
     rows = raw.withColumn("rel_path", F.substring(rel, len(prefix) + 1, 1 << 30))
-    out = rows.select("rel_path", F.col("length").alias("size"), micros("modificationTime").alias("mtime"), file_class(F.col("rel_path")).alias("kind"), *([F.sha2("content", 256).alias("hash")] if content else []))
+    out = rows.select("path", "rel_path", F.col("length").alias("size"), micros("modificationTime").alias("mtime"), file_class(F.col("rel_path")).alias("kind"))
     return out.where(F.col("kind").isNotNull() & ~excluded(F.col("rel_path")))
 
 
+def _hashed(listed: DataFrame) -> DataFrame:
+    """Adds ``hash``, the SHA-256 of each file's bytes; reads files of any length in pieces. Files gone since the listing go."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, hashes = [], []
+            for i, path in enumerate(batch.column("path").to_pylist()):
+                scheme, _, rest = path.partition(":")
+                fs, at = pafs.FileSystem.from_uri(quote(f"file:///{rest.lstrip('/')}" if scheme == "file" else path, safe=":/@"))
+                sha = hashlib.sha256()
+                try:
+                    with fs.open_input_stream(at, buffer_size=0) as f:
+                        while piece := f.read(PIECE):
+                            sha.update(piece)
+                except FileNotFoundError:
+                    continue
+                found.append(i)
+                hashes.append(sha.hexdigest())
+            kept = batch.take(pa.array(found, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(hashes, pa.string())], names=[*batch.schema.names, "hash"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in listed.schema)
+    return listed.mapInArrow(run, f"{kinds}, hash string")
+
+
 def hash_changed(spark: SparkSession, root: str, stored: DataFrame) -> DataFrame:
     """(rel_path, size, mtime, hash) of all listed files; only those whose size or time differ from ``stored`` are read."""
-    listed = list_files(spark, root)
     known = stored.select("rel_path", F.col("size").alias("os"), F.col("mtime").alias("om"), F.col("hash").alias("known"))
-    same = listed.join(known, "rel_path").where("size = os AND mtime = om").select("rel_path", "size", "mtime", F.col("known").alias("hash"))
-    fresh = list_files(spark, root, content=True).join(same.select("rel_path"), "rel_path", "left_anti").select("rel_path", "size", "mtime", "hash")
+    listed = _listed(spark, root).join(known, "rel_path", "left").withColumn("same", F.coalesce(F.expr("size = os AND mtime = om AND known IS NOT NULL"), F.lit(False)))
+    same = listed.where("same").select("rel_path", "size", "mtime", F.col("known").alias("hash"))
+    fresh = _hashed(listed.where("NOT same").select("path", "rel_path", "size", "mtime")).drop("path")
     return same.unionByName(fresh)
 
 
@@ -38,7 +77,7 @@ def watch(spark: SparkSession, root: str) -> DataFrame:
 
 
 def foreign_edits(xmp: Column) -> Column:
-    """struct(rating, cropped) of an XMP document, attributes or elements; null where it says neither."""
+    """struct(rating, cropped) of an XMP document, attributes or elements; null where it says neither. A rating of -1 rejects."""
     def value(name: str) -> Column:
         attribute = F.regexp_extract(xmp, rf'[\w-]+:{name}\s*=\s*"([^"]*)"', 1)
         element = F.regexp_extract(xmp, rf"<[\w-]+:{name}\s*>\s*([^<]*?)\s*</", 1)
@@ -46,4 +85,4 @@ def foreign_edits(xmp: Column) -> Column:
 
     rating = value("Rating").try_cast("int")
     crop = F.lower(value("HasCrop")) == "true"
-    return F.when(rating.isNotNull() | crop.isNotNull(), F.struct(F.when(rating.between(0, 5), rating).alias("rating"), F.coalesce(crop, F.lit(False)).alias("cropped")))
+    return F.when(rating.isNotNull() | crop.isNotNull(), F.struct(F.when(rating.between(-1, 5), rating).alias("rating"), F.coalesce(crop, F.lit(False)).alias("cropped")))

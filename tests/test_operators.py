@@ -203,6 +203,20 @@ def test_listing_skips_what_is_not_an_archive(spark, tmp_path):
     assert files.hash_changed(spark, f"file://{tmp_path}", stored).count() == 2
 
 
+def test_only_changed_files_are_read(spark, tmp_path):
+    import hashlib
+
+    for name, data in (("same.jpg", b"1"), ("longer.jpg", b"22"), ("new one%20.jpg", b"3"), ("unhashed.jpg", b"4"), ("empty.jpg", b"")):
+        (tmp_path / name).write_bytes(data)
+    at = {r.rel_path: r for r in files.list_files(spark, f"file://{tmp_path}").collect()}
+    stored = spark.createDataFrame(
+        [("same.jpg", 1, at["same.jpg"].mtime, "kept"), ("longer.jpg", 1, at["longer.jpg"].mtime, "old"), ("unhashed.jpg", 1, at["unhashed.jpg"].mtime, None), ("gone.jpg", 1, 0, "gone")], "rel_path string, size long, mtime long, hash string"
+    )
+    got = {r.rel_path: r.hash for r in files.hash_changed(spark, f"file://{tmp_path}", stored).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert got == {"same.jpg": "kept", "longer.jpg": sha(b"22"), "new one%20.jpg": sha(b"3"), "unhashed.jpg": sha(b"4")}  # a file without a byte is not listed
+
+
 def test_grams(spark):
     row = spark.createDataFrame([("The harbor at dusk, ok",)], "t string").select(text.grams(text.words(F.col("t"))).alias("g")).head()
     assert set(row.g) == {"harbor", "dusk", "dusk ok", "harbor at dusk"}
