@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html, jaccard, mixing, neardup, pieces, quality, records, sharding, warc
+from . import audit, chat, html, jaccard, mixing, neardup, pieces, quality, records, sharding, warc
 from .runtime import new_folder
 
 
@@ -82,8 +82,12 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_chat_format, op4_html_text, op5_jaccard_join, op6_warc, op7_shard_placement, op8_source_mix, op9_embedding_neardup, op10_token_records)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_chat_format, op4_html_text, op5_jaccard_join, op6_warc, op7_shard_placement, op8_source_mix, op9_embedding_neardup, op10_token_records, op13_filter_audit)}
 
 
 OP3_SQL = """
@@ -195,6 +199,37 @@ WITH RECURSIVE per AS (
 SELECT *, CAST('0x' || substr(md5('{MIX_SEED}|' || coalesce(doc_id::VARCHAR, '') || '|' || copy || '|order'), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS mix_order FROM copies
 """
 
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d
+), l AS (
+  SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS failed
+  FROM w LEFT JOIN l USING (doc_id)
+), g AS (
+  SELECT part, failed, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM f GROUP BY ALL
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT o AS filter_order, step::INTEGER AS step, o[step] AS own, substr(o, 1, step - 1) AS earlier FROM orders, range(1, 6) r(step)
+), s AS (
+  SELECT part, filter_order, step, own, sum(n) FILTER (NOT gone AND NOT hit) AS kept, sum(n) FILTER (NOT gone AND hit) AS removed, sum(n) FILTER (gone AND hit) AS redundant,
+    sum(n) FILTER (failed = own) AS unique_fails, sum(good) FILTER (NOT gone AND hit) AS good_lost, sum(toxic) FILTER (NOT gone AND hit) AS toxic_lost
+  FROM (SELECT *, translate(failed, earlier, '') <> failed AS gone, contains(failed, own) AS hit FROM g, steps) GROUP BY ALL
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, sum(coalesce(removed, 0)) OVER (PARTITION BY part, own)::BIGINT AS shapley
+FROM s
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op5_jaccard_join": OP5_SQL, "op6_warc": OP6_SQL, "op3_chat_format": OP3_SQL, "op7_shard_placement": OP7_SQL, "op8_source_mix": OP8_SQL}
+    return {"op13_filter_audit": OP13_SQL, "op1_quality_rules": OP1_SQL, "op5_jaccard_join": OP5_SQL, "op6_warc": OP6_SQL, "op3_chat_format": OP3_SQL, "op7_shard_placement": OP7_SQL, "op8_source_mix": OP8_SQL}
