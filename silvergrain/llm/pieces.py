@@ -80,8 +80,9 @@ class PieceModel:
         self.merged = np.array([pairs[k][1] for k in sorted(pairs)], np.int64)
         surfaces = [b"" if p.type == CONTROL else proto.trainer_spec.unk_surface.encode() if p.type == UNKNOWN else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode() for p in proto.pieces]
         self.surfaces = pa.array(surfaces, pa.large_binary())
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.symbol)
-        own_line = not any("\n" in p and len(p) > 1 for p in self.symbol)
+        #: Whether a piece reaches from one word into the next, and whether none reaches over a line feed.
+        self.inner = inner = any(SPACE in p.lstrip(SPACE) for p in self.symbol)
+        self.own_line = own_line = not any("\n" in p and len(p) > 1 for p in self.symbol)
         #: Words: where no piece reaches over. A model with pieces that do gets whole texts.
         self.words = re.compile("(?s).+" if inner else " *+[^ \n]+|\n| +" if own_line else " *+[^ ]+| +")
         self.known: dict[str, bytes] = {}
