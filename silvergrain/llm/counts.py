@@ -39,7 +39,7 @@ SHORT = 15
 TABLE_WORDS = 60_000
 SAMPLE_PARTS, SAMPLE_TEXTS = 24, 64
 #: Pre-tokens a worker remembers, and the bytes of the longest of them.
-REMEMBERED, REMEMBERED_BYTES = 200_000, 128
+REMEMBERED, REMEMBERED_BYTES = 400_000, 128
 #: Bytes of text that are cut at once, but for a longer single text.
 CHUNK = 4 << 20
 LIMIT = 4096

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, chat, counts, html, jaccard, mixing, neardup, pieces, quality, records, sharding, warc
+from . import audit, chat, counts, html, jaccard, mixing, neardup, pieces, quality, records, sharding, warc, whiten
 from .runtime import new_folder
 
 
@@ -86,12 +86,16 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model")).drop("text")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_chat_format, op4_html_text, op5_jaccard_join, op6_warc, op7_shard_placement, op8_source_mix, op9_embedding_neardup, op10_token_records, op11_token_counts, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_chat_format, op4_html_text, op5_jaccard_join, op6_warc, op7_shard_placement, op8_source_mix, op9_embedding_neardup, op10_token_records, op11_token_counts, op12_embedding_whitening, op13_filter_audit)}
 
 
 OP3_SQL = """
