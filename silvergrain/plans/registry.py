@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("journal_plans", "text_plans", "filter_plans", "vector_plans", "time_plans", "topic_plans", "stream_plans")
+MODULES = ("journal_plans", "text_plans", "filter_plans", "vector_plans", "time_plans", "topic_plans", "stream_plans", "state_plans")
 FLAGSHIP = "bm25_topk"
 
 

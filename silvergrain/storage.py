@@ -25,6 +25,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder if ":" in folder else "file://" + folder
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing else has; removed when the driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/silvergrain-tables/{name}-{uuid.uuid4().hex}"
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop_path)
+    fs.deleteOnExit(hadoop_path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back; removed when the driver ends."""
     spark = df.sparkSession
