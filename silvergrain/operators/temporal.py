@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import TUNING
+from . import scans
 
 
 def micros(ts: Column | str) -> Column:
@@ -93,60 +94,18 @@ def nearest_onset(marks: DataFrame, onsets: DataFrame, by: str, most: int = 2) -
 def smoothed_rate(samples: DataFrame, by: str, t: str, amount: str, weight: float = 0.3) -> DataFrame:
     """(by, t, rate): exponentially smoothed rate a second of a growing counter, per key.
 
-    A counter that falls starts anew, a clock that stands still changes nothing. The fold is
-    sequential in a key; rows of one key come in time order, in batches.
+    A counter that falls starts anew, a clock that stands still changes nothing. A key's rows may lie
+    in many tasks (``scans``).
     """
-    schema = f"{by} {samples.schema[by].dataType.simpleString()}, {t} timestamp, rate double"
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last_t, last_n, rate = object(), None, None, None
-        for pdf in batches:
-            out = []
-            for k, at, n in pdf.itertuples(index=False):
-                if k != key or n < last_n:
-                    key, last_t, last_n, rate = k, at, n, None
-                elif at > last_t:
-                    now = (n - last_n) / (at - last_t).total_seconds()
-                    rate = now if rate is None else rate + weight * (now - rate)
-                    last_t, last_n = at, n
-                out.append((k, at, rate))
-            yield pd.DataFrame(out, columns=[by, t, "rate"]).astype({"rate": "float64"})
-
-    return samples.select(by, t, amount).repartition(by).sortWithinPartitions(by, t, amount).mapInPandas(fold, schema)
+    return scans.fold(samples, by, [t, amount], scans.SmoothedRate(t, amount, weight), [t, amount])
 
 
 def segments(probabilities: DataFrame, by: str, at: str, p: str, enter: float = TUNING.vad_enter, leave: float = TUNING.vad_exit, hang: int = TUNING.vad_hang) -> DataFrame:
     """(by, start, end): speech by hysteresis: opens at ``enter``, closes after ``hang`` windows below ``leave``, at the last one above.
 
-    A segment still open when the key ends is closed there.
+    A segment still open when the key ends is closed there. A key's windows may lie in many tasks.
     """
-    kind = probabilities.schema[by].dataType.simpleString()
-    time = probabilities.schema[at].dataType.simpleString()
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, start, end, missed, out = None, None, None, 0, []
-        for pdf in batches:
-            for k, t, x in pdf.itertuples(index=False):
-                if k != key:
-                    if start is not None:
-                        out.append((key, start, end))
-                    key, start, missed = k, None, 0
-                if start is None:
-                    if x >= enter:
-                        start, end, missed = t, t, 0
-                elif x >= leave:
-                    end, missed = t, 0
-                else:
-                    missed += 1
-                    if missed >= hang:
-                        out.append((key, start, end))
-                        start, missed = None, 0
-            yield pd.DataFrame(out, columns=[by, "start", "end"])
-            out = []
-        if start is not None:
-            yield pd.DataFrame([(key, start, end)], columns=[by, "start", "end"])
-
-    return probabilities.select(by, at, p).repartition(by).sortWithinPartitions(by, at).mapInPandas(fold, f"{by} {kind}, start {time}, end {time}")
+    return scans.fold(probabilities, by, [at], scans.Hysteresis(at, p, probabilities.schema[at].dataType.simpleString(), enter, leave, hang), [at, p])
 
 
 def debounced(marks: DataFrame, by: str, ts: str = "ts", quiet: float = 2.0, cap: float = 5.0) -> DataFrame:
