@@ -42,7 +42,20 @@ def stream_debounce(spark, sf_dir):
 
 
 def stream_segments(spark, sf_dir):
-    return R.run_available(R.segments(_stream(spark, sf_dir).withColumn("p", F.col("value") / 20), "user_id", "event_id", "p", hang=3), "segments")
+    """Windows lie hours apart here, so no silence closes a segment; what is open at the end stays open."""
+    return R.run_available(R.segments(_stream(spark, sf_dir).withColumn("p", F.col("value") / 20), "user_id", "event_id", "p", "ts", hang=3, idle_ms=10**12), "segments")
+
+
+def stream_stable(spark, sf_dir):
+    """Files (users) listed twice with the same size, six hours apart or more."""
+    listed = _stream(spark, sf_dir).select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"), F.floor(F.col("value") / 10).alias("size"), F.lit(1).cast("long").alias("mtime"), "ts")
+    return R.run_available(R.stable_files(listed, "path", settle=6 * 3_600_000, forget=10**12), "stable")
+
+
+def stream_focus(spark, sf_dir):
+    """Episodes of users over two items, one, or none, idle after two hours."""
+    e = _stream(spark, sf_dir).select("user_id", "ts", F.when(F.col("value") < 4, F.array(F.lit(1), F.lit(2))).when(F.col("value") < 9, F.array(F.lit(1))).alias("items"), F.when(F.col("event_type") == "view", "look").otherwise("grid").alias("source"))
+    return R.run_available(R.focus_episodes(e, "user_id", "ts", "items", "source", idle_ms=2 * 3_600_000), "focus")
 
 
 def stream_finals(spark, sf_dir):
@@ -91,7 +104,7 @@ def foreign_edits(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", files.foreign_edits(xmp).alias("e")).select("p_partkey", "e.rating", "e.cropped")
 
 
-QUERIES = [stream_sessions, stream_dwell, stream_moves, stream_debounce, stream_segments, stream_finals, stream_scope, sidecar_round_trip, sidecar_manifest, rebuilt_stats, collections_round_trip, exif_times, foreign_edits]
+QUERIES = [stream_sessions, stream_dwell, stream_moves, stream_debounce, stream_segments, stream_stable, stream_focus, stream_finals, stream_scope, sidecar_round_trip, sidecar_manifest, rebuilt_stats, collections_round_trip, exif_times, foreign_edits]
 
 _REACH = "answered AS (SELECT id, image FROM journal WHERE image IS NOT NULL UNION ALL SELECT r.id, j.image FROM roots r JOIN journal j ON j.id = r.root WHERE j.image IS NOT NULL), reached AS (SELECT * FROM answered UNION ALL SELECT j.id, a.image FROM journal j JOIN answered a ON a.id = j.target_event WHERE j.kind = 'retraction')"
 SQL = {
@@ -100,7 +113,20 @@ SQL = {
     "stream_dwell": "SELECT event_id % 200 AS image, date_trunc('day', ts)::TIMESTAMP AS day, sum(least(6000, floor(value)::BIGINT * 1000))::BIGINT AS dwell_ms, count(*) AS episodes FROM events WHERE floor(value) * 1000 >= 250 GROUP BY 1, 2 HAVING epoch_us(any_value(date_trunc('day', ts)::TIMESTAMP)) + 86400::BIGINT * 1000000 <= (SELECT max(epoch_ms(ts)) * 1000 - 600::BIGINT * 1000000 FROM events)",
     "stream_debounce": f"SELECT * FROM ({WRITES}) WHERE epoch_us(due) <= (SELECT max(epoch_ms(ts)) * 1000 - 10::BIGINT * 1000000 FROM events)",
     "stream_segments": f'{SEGMENTS} SELECT user_id, oa AS start, ob AS "end" FROM f WHERE oa IS NOT NULL',
-    "stream_scope": "SELECT user_id, epoch_us(ts) AS at, state AS value, false AS predated FROM (SELECT *, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_type ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS state FROM events WHERE event_type IN ('view', 'purchase')) WHERE event_type = 'view' AND state IS NOT NULL",
+    "stream_stable": """WITH l AS (SELECT 'f' || user_id AS path, floor(value / 10)::BIGINT AS size, epoch_us(ts) // 1000 AS t FROM events),
+      b AS (SELECT *, CASE WHEN size = lag(size) OVER (PARTITION BY path ORDER BY t) THEN 0 ELSE 1 END AS brk FROM l), r AS (SELECT *, sum(brk) OVER (PARTITION BY path ORDER BY t) AS run FROM b)
+      SELECT path, size, 1::BIGINT AS mtime FROM r GROUP BY path, size, run HAVING max(t) - min(t) >= 6 * 3600000""",
+    "stream_focus": """WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS t, CASE WHEN value < 4 THEN 2 WHEN value < 9 THEN 1 ELSE 0 END AS n, CASE WHEN event_type = 'view' THEN 'look' ELSE 'grid' END AS source FROM events),
+      b AS (SELECT *, CASE WHEN n = lag(n) OVER w AND source = lag(source) OVER w AND t - lag(t) OVER w <= 7200000 THEN 0 ELSE 1 END AS brk, lead(t) OVER w AS next FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+      r AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY t) AS run FROM b),
+      g AS (SELECT user_id, n, source, min(t) AS start, max(t) AS last, arg_max(coalesce(next, 9e15::BIGINT), t) AS next FROM r WHERE n > 0 GROUP BY user_id, n, source, run)
+      SELECT user_id, unnest(CASE WHEN n = 2 THEN [1, 2] ELSE [1] END)::BIGINT AS item, source, start, least(next, last + 7200000) - start AS elapsed_ms FROM g
+      WHERE least(next, last + 7200000) - start >= 250 AND (next < 9e15 OR last + 7200000 <= (SELECT max(epoch_us(ts) // 1000) - 10000 FROM events))""",
+    # a state is forgotten when a user is silent for more than a day
+    "stream_scope": """WITH e AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type IN ('view', 'purchase')),
+      b AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ts, event_type) > 86400000 THEN 1 ELSE 0 END AS brk FROM e),
+      r AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS run FROM b)
+      SELECT user_id, epoch_us(ts) AS at, state AS value, false AS predated FROM (SELECT *, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id, run ORDER BY ts, event_type ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS state FROM r) WHERE event_type = 'view' AND state IS NOT NULL""",
     "stream_moves": "SELECT a.event_id % 4 AS image, 'f' || a.event_id AS old_path, 'f' || b.event_id AS new_path FROM events a JOIN events b ON a.event_id % 4 = b.event_id % 4 AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 3600::BIGINT * 1000000 WHERE a.event_type = 'error' AND b.event_type = 'view'",
     "stream_finals": "SELECT event_id AS utterance FROM events WHERE event_type = 'view'",
     "sidecar_round_trip": with_journal("SELECT id, kind, text, rating, scrubbed FROM journal WHERE id IN (SELECT id FROM reached)", _REACH),

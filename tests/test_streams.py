@@ -62,9 +62,9 @@ def test_debounce(spark, feed):
 
 def test_segments(spark, feed):
     rng = random.Random(3)
-    rows = [(i % 2, i, rng.random()) for i in range(200)]
-    batch, stream = feed(rows, "who long, i long, p double")
-    got = rows_of(streams.run_available(streams.segments(stream, "who", "i", "p", hang=3), "g"), "who", "start", "end")
+    rows = [(i % 2, i, rng.random(), T0 + dt.timedelta(seconds=i)) for i in range(200)]
+    batch, stream = feed(rows, "who long, i long, p double, ts timestamp")
+    got = rows_of(streams.run_available(streams.segments(stream, "who", "i", "p", "ts", hang=3), "g"), "who", "start", "end")
     want = rows_of(temporal.segments(batch, "who", "i", "p", hang=3), "who", "start", "end")
     assert set(got) <= set(want) and len(want) - len(got) <= 2
 
