@@ -1,15 +1,20 @@
 """Main text of web pages by composite text density.
 
-A page is parsed into a tree that tolerates missing and stray tags. Elements that are
-furniture by their nature (menus, forms, scripts, ...) or by the words in their class, id or
-role go first. For every remaining block element the density is its characters per tag,
-adjusted for the characters and tags in links; formatting inside a block is text, not a tag. A
-node's density sum adds its children's densities. The node with the greatest sum leads to the
-threshold, the least density on its path to the body; every node of at least that density
-contributes the subtree with the greatest sum below it.
+A page is parsed into a tree that tolerates missing and stray tags. What is no text of a page by
+its nature (scripts, styles, forms, hidden elements, ...) goes first. For every other block element
+the density is its characters per tag, adjusted for the characters and tags in links; formatting
+inside a block is text, not a tag. A node's density sum adds its children's densities, and the node
+with the greatest sum is the article. The least density on its path to the body is the
+threshold: subtrees beside the path of at least that density, whose sum comes near the article's
+(``NEAR``), are further parts of it, as are headings there.
 
-Each page is parsed, measured and written by itself, in time proportional to its length, so
-pages of any length need no more than a multiple of their own size.
+Tags, roles and the words in a class or id mark furniture (menus, sidebars, notices, adverts,
+comments). Marks are second to density: a marked element can't be the article, and goes where it
+lies inside what density chose. Where the article is as short as the notices around it,
+density chooses the body, and marks alone tell them apart.
+
+Each page is parsed, measured and written by itself, in time proportional to its length whatever
+its nesting, so pages of any length need no more than a multiple of their own size.
 
 Edge cases: null and empty html, and pages without text, give an empty text; unfinished
 tags, comments and scripts at the end of a cut page hold no text; stray quotes in a tag don't
@@ -22,6 +27,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,7 +54,8 @@ SIBLINGS = {
     "tfoot": ({"tr", "td", "th", "caption", "colgroup", "thead", "tbody", "tfoot"}, {"table"}),
     "option": ({"option"}, {"select", "datalist"}),
 }
-FURNITURE = RAW | frozenset("head nav footer aside form button select option datalist input label menu object embed applet canvas svg math audio video map dialog progress meter".split())
+NO_TEXT = RAW | frozenset("head form button select option datalist input label object embed applet canvas svg math audio video map dialog progress meter".split())
+FURNITURE_TAGS = frozenset("nav footer aside menu".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert status menu menubar toolbar tablist note".split())
 #: Words in a class or id that mark furniture.
 FURNITURE_WORDS = frozenset(
@@ -63,6 +70,10 @@ FURNITURE_WORDS = frozenset(
 )
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
 
+#: A subtree beside the article is a part of it if its density sum is at least this share of the article's.
+NEAR = 0.5
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 #: An attribute as HTML reads it: a quote opens a value only after an equals sign, else it is a character like others.
 _ATTRIBUTE_SOURCE = r"[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?+)?+"
 _OPENS = r"<!--|<!|<\?|</?([a-zA-Z][^\s/>]*+)(%s)>|<(?=/?[a-zA-Z])"
@@ -99,14 +110,41 @@ class Tree:
         return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)} if text else {}
 
 
+class _Open:
+    """The stack of open elements, and where in it each tag stands."""
+
+    def __init__(self, root: int):
+        self.nodes, self.tags, self.places = [root], ["html"], {"html": [0]}
+
+    def push(self, node: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def cut(self, at: int) -> None:
+        """Close all elements from place ``at`` on."""
+        while len(self.nodes) > at:
+            self.nodes.pop()
+            self.places[self.tags.pop()].pop()
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element of ``tags`` above the root, 0 if there is none."""
+        return max(p[-1] if (p := self.places.get(t)) else 0 for t in tags)
+
+    def first_above(self, tags: set[str], at: int) -> int:
+        """The place of the outermost open element of ``tags`` above ``at``, 0 if there is none."""
+        found = [p[i] for t in tags if (p := self.places.get(t)) and (i := bisect_right(p, at)) < len(p)]
+        return min(found, default=0)
+
+
 def parse(page: str) -> Tree:
     tree = Tree()
-    stack = [tree.add("html", -1)]
+    open_ = _Open(tree.add("html", -1))
     at, n, tags = 0, len(page), _TAG
 
     def text(piece: str) -> None:
         if piece:
-            tree.content[stack[-1]].append(entities.unescape(piece) if "&" in piece else piece)
+            tree.content[open_.nodes[-1]].append(entities.unescape(piece) if "&" in piece else piece)
 
     while at < n:
         m = tags.search(page, at)
@@ -128,89 +166,66 @@ def parse(page: str) -> Tree:
             continue
         at, tag = m.end(), tag.lower()
         if page[m.start() + 1] == "/":
-            for k in range(len(stack) - 1, 0, -1):
-                if tree.tag[stack[k]] == tag:
-                    del stack[k:]
-                    break
-                if tree.tag[stack[k]] in ("td", "th", "table") and tag not in ("tr", "tbody", "thead", "tfoot", "table", "body", "html", "article", "main"):
-                    break
+            k = open_.last(tag)
+            if k and (k >= open_.last("td", "th", "table") or tag in ("tr", "tbody", "thead", "tfoot", "table", "body", "html", "article", "main")):
+                open_.cut(k)
             continue
-        if tag in ("html", "body", "head") and any(tree.tag[k] == tag for k in stack):
+        if tag in ("html", "body", "head") and open_.places.get(tag):
             continue
         if tag == "body":
-            del stack[1:]
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if tree.tag[stack[k]] == "p":
-                    del stack[k:]
-                    break
-                if tree.tag[stack[k]] in ("td", "th", "table", "button", "object"):
-                    break
+            open_.cut(1)
+        if tag in CLOSES_P and (k := open_.last("p")) > open_.last("td", "th", "table", "button", "object"):
+            open_.cut(k)
         if tag in SIBLINGS:
             closed, until = SIBLINGS[tag]
-            lowest = 0
-            for k in range(len(stack) - 1, 0, -1):
-                if tree.tag[stack[k]] in until:
-                    break
-                if tree.tag[stack[k]] in closed:
-                    lowest = k
-            if lowest:
-                del stack[lowest:]
-        node = tree.add(tag, stack[-1], m[2])
+            if k := open_.first_above(closed, open_.last(*until)):
+                open_.cut(k)
+        node = tree.add(tag, open_.nodes[-1], m[2])
         if tag in RAW:
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else n
-        elif tag not in VOID and not m[2].endswith("/"):
-            stack.append(node)
-        elif tag not in VOID and tag not in ("path", "g", "use", "circle", "rect", "line"):
-            stack.append(node)  # a slash at the end means nothing to HTML
+        elif tag not in VOID and not (m[2].endswith("/") and tag in ("path", "g", "use", "circle", "rect", "line")):
+            open_.push(node, tag)  # a slash at the end of other tags means nothing to HTML
     return tree
 
 
-def _furniture(tree: Tree) -> list[bool]:
-    """Which nodes go, with all they hold."""
+def _marks(tree: Tree) -> tuple[list[bool], list[bool]]:
+    """Which nodes are no text of the page, with all they hold, and which are marked as furniture, with all they hold."""
     n = len(tree.tag)
     holds_article = [False] * n
     for i in range(n - 1, 0, -1):
         if holds_article[i] or tree.tag[i] in ("article", "main"):
             holds_article[tree.parent[i]] = True
-    gone, inside = [False] * n, [False] * n
+    gone, marked, inside = [False] * n, [False] * n, [False] * n
     for i in range(1, n):
         up, tag = tree.parent[i], tree.tag[i]
         inside[i] = inside[up] or tag in ("article", "main")
-        if gone[up] or tag in FURNITURE and not (holds_article[i] and tag in ("form", "label")):
+        if gone[up] or tag in NO_TEXT and not (holds_article[i] and tag in ("form", "label")):
             gone[i] = True
             continue
-        if tag == "header" and not inside[up] and not holds_article[i]:
-            gone[i] = True
-            continue
-        if not tree.attributes[i] or tag in ("body", "html"):
-            continue
-        a = tree.read(i)
+        a = tree.read(i) if tree.attributes[i] and tag not in ("body", "html") else {}
         if "hidden" in a or a.get("aria-hidden") == "true" or _HIDDEN.search(a.get("style", "")):
             gone[i] = True
             continue
-        words = {w.lower() for k in ("class", "id") for w in _WORD.findall(a.get(k, ""))}
-        marked = words & FURNITURE_WORDS or a.get("role", "").lower() in FURNITURE_ROLES
+        if marked[up] or tag in FURNITURE_TAGS or tag == "header" and not inside[up] and not holds_article[i]:
+            marked[i] = True
+            continue
+        words = {w.lower() for k in ("class", "id") if k in a for w in _WORD.findall(a[k])}
+        role = a.get("role", "").lower()
         if tag in ("article", "main"):
-            gone[i] = bool(words & COMMENT_WORDS)
-        elif tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p") and not a.get("role"):
-            gone[i] = bool(words & (FURNITURE_WORDS - {"header", "tags", "toc", "popular", "legal"}))
-        elif marked and not holds_article[i]:
-            gone[i] = not (inside[up] and words & FURNITURE_WORDS <= {"header"} and not a.get("role"))
-    return gone
+            marked[i] = bool(words & COMMENT_WORDS)
+        elif tag in HEADINGS or tag == "p" and not role:
+            marked[i] = bool(words & (FURNITURE_WORDS - {"header", "tags", "toc", "popular", "legal"})) or role in FURNITURE_ROLES
+        elif (words & FURNITURE_WORDS or role in FURNITURE_ROLES) and not holds_article[i]:
+            marked[i] = not (inside[up] and words & FURNITURE_WORDS <= {"header"} and not role)
+    return gone, marked
 
 
-def extract(page: str | None) -> str:
-    """The main text: blocks with single spaces, joined by one space."""
-    if not page:
-        return ""
-    tree = parse(page)
+def _densities(tree: Tree, gone: list[bool], body: int) -> tuple[list[float], list[float]]:
+    """(density, density sum) of each node; of inline elements the density is 0."""
     n = len(tree.tag)
-    body = next((i for i in range(n) if tree.tag[i] == "body"), 0)
-    gone = _furniture(tree)
     chars, tags, link_chars, link_tags, in_link = [0] * n, [0] * n, [0] * n, [0] * n, [False] * n
-    block = [tree.tag[i] not in INLINE for i in range(n)]
+    block = [t not in INLINE for t in tree.tag]
     for i in range(n):
         if not gone[i]:
             in_link[i] = tree.tag[i] == "a" or (i > 0 and in_link[tree.parent[i]])
@@ -223,10 +238,8 @@ def extract(page: str | None) -> str:
             link_chars[up] += link_chars[i]
             tags[up] += tags[i] + (block[i] and tree.tag[i] not in VOID or tree.tag[i] == "a")
             link_tags[up] += link_tags[i] + (tree.tag[i] == "a")
-    if not chars[body]:
-        return ""
-    body_share = link_chars[body] / chars[body]
     density, total = [0.0] * n, [0.0] * n
+    body_share = link_chars[body] / chars[body] if chars[body] else 0.0
     for i in range(n):
         if gone[i] or not chars[i] or not block[i]:
             continue
@@ -237,26 +250,31 @@ def extract(page: str | None) -> str:
             density[i] *= max(0.0, math.log(ratio)) / math.log(base) if base > 1 else 1.0
     for i in range(n - 1, 0, -1):
         total[tree.parent[i]] += density[i] if block[i] else total[i]
-    for i in range(n):
-        total[i] = total[i] or density[i]
-    best = list(range(n))  # of each node, the node below it (or itself) with the greatest sum
-    for i in range(n - 1, 0, -1):
-        up = tree.parent[i]
-        if not gone[i] and total[best[i]] > total[best[up]]:
-            best[up] = best[i]
-    lead = best[body]
-    at, threshold = lead, density[lead]
-    while at > body:
-        at = tree.parent[at]
-        threshold = min(threshold, density[at]) if block[at] else threshold
+    return density, [t or d for t, d in zip(total, density, strict=True)]
+
+
+def extract(page: str | None) -> str:
+    """The main text: blocks with single spaces, joined by one space."""
+    if not page:
+        return ""
+    tree = parse(page)
+    n = len(tree.tag)
+    body = next((i for i in range(n) if tree.tag[i] == "body"), 0)
+    gone, marked = _marks(tree)
+    density, total = _densities(tree, gone, body)
+    lead = body
+    for i in range(body + 1, n):
+        if total[i] > total[lead] and not gone[i] and not marked[i]:
+            lead = i
+    path = [lead]
+    while path[-1] > body:
+        path.append(tree.parent[path[-1]])
+    on_path = set(path[1:])
+    threshold = min(density[i] for i in path if tree.tag[i] not in INLINE or i == lead)
     kept = [False] * n
-    dense = [False] * n
     for i in range(body, n):
-        dense[i] = not gone[i] and (density[i] >= threshold or not block[i]) and (i == body or dense[tree.parent[i]])
-        if dense[i] and block[i]:
-            kept[best[i]] = True
-    for i in range(body + 1, n):
-        kept[i] = (kept[i] or kept[tree.parent[i]]) and not gone[i]
+        beside = tree.parent[i] in on_path and i not in on_path and density[i] >= threshold and (total[i] >= NEAR * total[lead] or tree.tag[i] in HEADINGS)
+        kept[i] = (i == lead or beside or i > body and kept[tree.parent[i]]) and not gone[i] and not marked[i]
     return _write(tree, kept, gone)
 
 
