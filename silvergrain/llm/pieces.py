@@ -10,7 +10,8 @@ a pair left are taken out, until none remains.
 The library merges one pair at a time, best score first, then leftmost. Merging all
 occurrences at once is the same unless a merge makes a pair that ranks as well or better
 than itself; the next round sees that, and such words (runs of spaces, mostly) are done
-again one merge at a time.
+again one merge at a time. Words of over ``LONG`` characters are cut where no piece reaches over;
+parts that stay as long are encoded from a heap of pairs, so time grows about as a text's length.
 
 Edge cases: a null text is encoded as an empty one, to no ids; characters without a piece
 become byte pieces, or the unknown piece if the model has none; bytes that form no
@@ -35,8 +36,10 @@ from .runtime import rechunk
 
 SPACE = "▁"
 NO_PAIR = np.int64(1) << np.int64(62)
-#: Words a worker remembers; some 100 MB. Beyond, it forgets all and goes on.
-REMEMBERED = 300_000
+#: Words a worker remembers; some 60 MB. Beyond, it keeps the first third and goes on. Longer words are not remembered.
+REMEMBERED, REMEMBERED_CHARS = 200_000, 200
+#: Longer words are cut where no piece reaches over; what stays longer is encoded one merge at a time.
+LONG = 1024
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 _models: dict[str, PieceModel] = {}
@@ -84,6 +87,9 @@ class PieceModel:
         self.inner = inner = any(SPACE in p.lstrip(SPACE) for p in self.symbol)
         self.own_line = own_line = not any("\n" in p and len(p) > 1 for p in self.symbol)
         #: Words: where no piece reaches over. A model with pieces that do gets whole texts.
+        joints = sorted({ord(a) << 32 | ord(b) for p in self.symbol for a, b in zip(p, p[1:], strict=False)})
+        #: Pairs of characters that some piece holds side by side.
+        self.joints = np.array(joints, np.uint64)
         self.words = re.compile("(?s).+" if inner else " *+[^ \n]+|\n| +" if own_line else " *+[^ ]+| +")
         self.known: dict[str, bytes] = {}
 
@@ -103,9 +109,34 @@ class PieceModel:
             part = new[start : start + 50_000]
             self.known.update(zip(part, self.encode_words(part), strict=True))
         get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out = [b"".join(map(get, words)) for words in split]
+        for w in new:
+            if len(w) > REMEMBERED_CHARS:
+                del self.known[w]
+        return out
 
     def encode_words(self, words: Sequence[str]) -> list[bytes]:
+        """The ids of each word; long words in parts."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if not long:
+            return self._encode_together(words)
+        parts = {i: self._parts(words[i]) for i in long}
+        distinct = list({p for own in parts.values() for p in own})
+        short = [p for p in distinct if len(p) <= LONG]
+        coded = dict(zip(short, self._encode_together(short), strict=True)) | {p: np.array(self._encode_word(p), "<i4").tobytes() for p in distinct if len(p) > LONG}
+        others = [w for w in words if len(w) <= LONG]
+        rest = iter(self._encode_together(others))
+        return [b"".join(map(coded.__getitem__, parts[i])) if i in parts else next(rest) for i in range(len(words))]
+
+    def _parts(self, word: str) -> list[str]:
+        """``word`` cut between characters that no piece holds side by side, so that no merge reaches over a cut."""
+        codes = np.frombuffer(word.replace(" ", SPACE).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        pairs = codes[:-1] << np.uint64(32) | codes[1:]
+        joined = self.joints[np.minimum(np.searchsorted(self.joints, pairs), len(self.joints) - 1)] == pairs if len(self.joints) else np.zeros(len(pairs), bool)
+        cuts = [0, *(np.flatnonzero(~joined) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _encode_together(self, words: Sequence[str]) -> list[bytes]:
         flat = "".join(words).replace(" ", SPACE)
         codes = np.frombuffer(flat.encode("utf-32-le"), np.uint32)
         chars, inverse = np.unique(codes, return_inverse=True)
