@@ -11,7 +11,7 @@ import zstandard
 
 WIDTH = 5
 #: Words a worker remembers the hash of.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 # Fixed odd multipliers, one a place in the shingle.
 _PLACES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F))
 
