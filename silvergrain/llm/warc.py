@@ -1,17 +1,24 @@
 """Legacy ARC archives and their conversion to WARC.
 
 ``write_arcs`` packs pages into ARC files of version 1 or 2. ``convert`` turns ARC files into
-WARC files: it parses the version block, then each record by the header line of that version
-and its declared length; synthesises record ids (a UUID of URI, date, digest and place),
-WARC dates from the 14 digits, types and SHA-1 digests; and writes a record per member. Of
-records with equal payloads of ``MIN_BYTES`` or more one is the response, the others become
-revisits that refer to it. ``read_warcs`` reads WARC files back.
+WARC files: it parses the version block, then each record by the header line of that version;
+the declared length alone says where a record ends, so files may be plain, compressed as one
+member, or a member a record. It synthesises record ids (a UUID of URI, date, digest and place),
+WARC dates from the 14 digits, types and SHA-1 digests; and writes a record per member. HTTP
+responses stay responses; of those with equal payloads of ``MIN_BYTES`` or more one is the
+response, the others become revisits that refer to it. Blocks of other kinds (``dns:`` answers, pages
+without an HTTP head) become resources, the block being the payload. ``read_warcs`` reads WARC
+files back, plain ones too.
 
 Which records share a payload is found by a table of (digest, place), so no payload is ever
 shuffled, and a digest that a third of the records carry is one row a task after partial
 aggregation.
 
-Edge cases: a null html is an empty payload, a null url ``about:blank``; characters that an
+Header lines are taken as bytes and split from the right, so a URL may hold spaces; bytes that
+are no UTF-8 are read as Latin-1, and what a URI can't hold is percent-encoded.
+
+Edge cases: a file that breaks off inside a record, a record without its version's fields and
+a file without a version block raise; a null html is an empty payload, a null url ``about:blank``; characters that an
 ARC header line can't hold are percent-encoded in the target URI; of repeated rows with the
 largest id one is the response; a null id has no rank, so it is a response only where no
 record with an id has its payload; an empty table writes no files; other columns stay out.
@@ -41,7 +48,7 @@ MIN_BYTES = 1000
 #: Files begin anew after so many bytes (of members) or records, so a task's list of places stays small.
 FILE_BYTES = 64 << 20
 FILE_RECORDS = 50_000
-READ_BYTES = 1 << 20
+READ_BYTES, FEED_BYTES, MOST_LINE = 1 << 20, 1 << 14, 1 << 20
 #: When pages without a capture time were taken, in seconds; a page's id is added.
 EPOCH = 1_577_836_800
 SHORT_FIELDS = ("url", "ip", "date", "type", "length")
@@ -63,23 +70,74 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def members(stream: io.RawIOBase) -> Iterator[tuple[int, bytes]]:
-    """The members of a gzip file with their places, a few at a time in memory."""
-    at, rest = 0, b""
-    while True:
-        z, parts, used = zlib.decompressobj(31), [], 0
-        while not z.eof:
-            data = rest or stream.read(READ_BYTES)
-            if not data:
-                if used:
+class Bytes:
+    """The bytes of a plain or gzip file of any number of members, read forward; ``at`` counts them as unpacked."""
+
+    def __init__(self, stream: io.RawIOBase):
+        self.stream, self.held, self.pos, self.at = stream, b"", 0, 0
+        self.raw, self.next, self.unzip = stream.read(READ_BYTES) or b"", 0, None
+        self.packed = self.raw[:2] == b"\x1f\x8b"
+
+    def _chunk(self) -> bytes:
+        """The next bytes as unpacked; none at the end."""
+        while True:
+            if self.next == len(self.raw):
+                self.raw, self.next = self.stream.read(READ_BYTES) or b"", 0
+            if not self.raw:
+                if self.unzip:
                     raise ValueError("the archive ends inside a record")
-                return
-            parts.append(z.decompress(data))
-            used += len(data)
-            rest = z.unused_data if z.eof else b""
-        used -= len(rest)
-        yield at, b"".join(parts)
-        at += used
+                return b""
+            if not self.packed:
+                self.next = len(self.raw)
+                return self.raw
+            if not self.unzip:
+                if self.raw[self.next] == 0:  # padding between members
+                    self.next += 1
+                    continue
+                self.unzip = zlib.decompressobj(31)
+            fed = self.raw[self.next : self.next + FEED_BYTES]  # short, as what a member leaves of it is copied
+            out = self.unzip.decompress(fed)
+            self.next += len(fed) - len(self.unzip.unused_data)
+            if self.unzip.eof:
+                self.unzip = None
+            if out:
+                return out
+
+    def _fill(self, n: int) -> bool:
+        """Hold ``n`` bytes from the place on, if there are as many."""
+        have = len(self.held) - self.pos
+        if have >= n:
+            return True
+        parts = [self.held[self.pos :]]
+        while have < n and (more := self._chunk()):
+            parts.append(more)
+            have += len(more)
+        self.held, self.pos = b"".join(parts), 0
+        return have >= n
+
+    def read(self, n: int) -> bytes:
+        if not self._fill(n):
+            raise ValueError("a record is shorter than it declares")
+        out = self.held[self.pos : self.pos + n]
+        self.pos, self.at = self.pos + n, self.at + n
+        return out
+
+    def line(self) -> bytes | None:
+        """The bytes up to a line feed, which is passed over; None at the end."""
+        if not self._fill(1):
+            return None
+        looked = 0
+        while (end := self.held.find(b"\n", self.pos + looked)) < 0:
+            looked = len(self.held) - self.pos
+            if looked > MOST_LINE:
+                raise ValueError("a header line has no end")
+            if not self._fill(looked + 1):
+                end = len(self.held)
+                break
+        out = self.held[self.pos : end]
+        passed = min(end + 1, len(self.held)) - self.pos
+        self.pos, self.at = self.pos + passed, self.at + passed
+        return out
 
 
 # ---------------------------------------------------------------- ARC
@@ -96,37 +154,61 @@ def arc_version_block(version: bytes, filename: str, date: str) -> bytes:
     return " ".join(header[f] for f in SHORT_FIELDS).encode() + b"\n" + body + b"\n"
 
 
+def _decoded(field: bytes) -> str:
+    try:
+        return field.decode()
+    except UnicodeDecodeError:
+        return field.decode("latin-1")
+
+
 def arc_records(stream: io.RawIOBase) -> Iterator[tuple[int, dict, bytes]]:
-    """Place, header fields and block of each record of an ARC file, by the version that it declares."""
-    fields: tuple[str, ...] | None = None
-    for at, data in members(stream):
-        line, _, rest = data.partition(b"\n")
-        if fields is None:
-            if not line.startswith(b"filedesc://"):
-                raise ValueError("no version block at the archive's start")
-            version, titles = rest.split(b"\n", 2)[:2]
-            fields = FIELDS.get(version.split(b" ")[0])
-            if fields is None or len(titles.split(b" ")) != len(fields):
-                raise ValueError(f"unknown version of the archive: {version[:40]!r}")
+    """Place (in the unpacked bytes), header fields and block of each record of an ARC file, by the version that it declares."""
+    data = Bytes(stream)
+    line = data.line()
+    if line is None:
+        return
+    if not line.startswith(b"filedesc://"):
+        raise ValueError("no version block at the archive's start")
+    version, titles, *_ = [*data.read(_length(line.rsplit(b" ", 1)[-1])).split(b"\n"), b""]
+    fields = FIELDS.get(version.split(b" ")[0])
+    if fields is None or len(titles.strip().split(b" ")) != len(fields):
+        raise ValueError(f"unknown version of the archive: {version[:40]!r}")
+    while True:
+        at, line = data.at, data.line()
+        if line is None:
+            return
+        line = line.rstrip(b"\r")
+        if not line:  # records are set apart by line feeds
             continue
-        values = line.decode().split(" ")
+        values = line.rsplit(b" ", len(fields) - 1)
         if len(values) != len(fields):
             raise ValueError(f"{len(values)} fields in a header line of {len(fields)}")
-        header = dict(zip(fields, values, strict=True))
-        length = int(header["length"])
-        if length > len(rest):
-            raise ValueError("a record is shorter than it declares")
-        yield at, header, rest[:length]
+        header = {f: _decoded(v) for f, v in zip(fields, values, strict=True)}
+        yield at, header, data.read(_length(values[-1]))
+
+
+def _length(digits: bytes) -> int:
+    if not digits.strip().isdigit():
+        raise ValueError(f"no length: {digits[:40]!r}")
+    return int(digits)
 
 
 def split_http(block: bytes) -> tuple[bytes, dict[str, str], bytes]:
-    """The head of an HTTP response with its blank line, its fields in lower case, the payload."""
-    head, gap, payload = block.partition(b"\r\n\r\n")
+    """The head of an HTTP response with its blank line, its fields in lower case, the payload; a block of another kind is all payload."""
+    if not block.startswith(b"HTTP/"):
+        return b"", {}, block
+    ends = [(at, len(gap)) for gap in (b"\r\n\r\n", b"\n\n") if (at := block.find(gap)) >= 0]
+    at, gap = min(ends, default=(len(block), 0))
     fields = {}
-    for line in head.split(b"\r\n")[1:]:
+    for line in block[:at].split(b"\n")[1:]:
         name, _, value = line.partition(b":")
-        fields[name.strip().lower().decode()] = value.strip().decode("utf-8", "replace")
-    return head + gap, fields, payload
+        fields[_decoded(name.strip()).lower()] = _decoded(value.strip())
+    return block[: at + gap], fields, block[at + gap :]
+
+
+def target_uri(url: str) -> str:
+    """``url`` with what a URI can't hold percent-encoded."""
+    return quote(url, safe="!#$%&'()*+,/:;=?@[]~") if url else "about:blank"
 
 
 def stamp(seconds: int) -> str:
@@ -189,8 +271,7 @@ def write_arcs(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
                 payload = (h or "").encode()
                 own = "" if i is None else f"X-Page-Id: {i}\r\n"
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}Content-Length: {len(payload)}\r\n\r\n".encode()
-                target = quote(u, safe="!#$%&'()*+,/:;=?@[]~") if u else "about:blank"
-                files.add(arc_header(version, target, date, "text/html", len(head) + len(payload), files.bytes, files.name) + head + payload + b"\n")
+                files.add(arc_header(version, target_uri(u or ""), date, "text/html", len(head) + len(payload), files.bytes, files.name) + head + payload + b"\n")
         files.close()
         if files.done:
             yield _listing(files.done)
@@ -207,6 +288,7 @@ def record_id(uri: str, date: str, digest: str, place: str) -> str:
 
 def warc_date(digits: str) -> str:
     """ISO date of the 14 digits; missing ones are the earliest they can be."""
+    digits = "".join(c for c in digits if c in "0123456789")[:14]
     full = digits + "00000101000000"[len(digits):]
     return f"{full[:4]}-{full[4:6]}-{full[6:8]}T{full[8:10]}:{full[10:12]}:{full[12:14]}Z"
 
@@ -220,8 +302,13 @@ def warc_record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in [*fields, *lines]) + "\r\n").encode() + block + b"\r\n\r\n"
 
 
-PLACES = "file string, place long, rank long, uri string, date string, digest string, n_bytes long, id string"
-_PLACES_ARROW = pa.schema([("file", pa.string()), ("place", pa.int64()), ("rank", pa.int64()), ("uri", pa.string()), ("date", pa.string()), ("digest", pa.string()), ("n_bytes", pa.int64()), ("id", pa.string())])
+PLACES = "file string, place long, http boolean, rank long, uri string, date string, digest string, n_bytes long, id string"
+_PLACES_ARROW = pa.schema([("file", pa.string()), ("place", pa.int64()), ("http", pa.bool_()), ("rank", pa.int64()), ("uri", pa.string()), ("date", pa.string()), ("digest", pa.string()), ("n_bytes", pa.int64()), ("id", pa.string())])
+
+
+def _page_id(http: dict[str, str]) -> int | None:
+    own = http.get("x-page-id", "")
+    return int(own) if own.lstrip("-").isdigit() else None
 
 
 def _file_name(path: str) -> str:
@@ -238,10 +325,9 @@ def places(spark: SparkSession, arcs: DataFrame) -> DataFrame:
                 rows = []
                 with fs.open_input_stream(inner, compression=None) as stream:
                     for at, header, block in arc_records(stream):
-                        _, http, payload = split_http(block)
-                        digest = hashlib.sha1(payload).hexdigest()
-                        own = http.get("x-page-id")
-                        rows.append((path, at, None if own is None else int(own), header["url"], warc_date(header["date"]), digest, len(payload), record_id(header["url"], header["date"], digest, f"{_file_name(path)}@{at}")))
+                        head, http, payload = split_http(block)
+                        digest, uri = hashlib.sha1(payload).hexdigest(), target_uri(header["url"])
+                        rows.append((path, at, bool(head), _page_id(http), uri, warc_date(header["date"]), digest, len(payload), record_id(uri, header["date"], digest, f"{_file_name(path)}@{at}")))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PLACES_ARROW, strict=True)], schema=_PLACES_ARROW)
 
@@ -259,7 +345,7 @@ def revisits(found: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     The record with the greatest rank, then the last place, is the one referred to.
     """
     order = F.struct(F.col("rank"), F.col("file"), F.col("place"))
-    long_ones = found.where(F.col("n_bytes") >= least)
+    long_ones = found.where((F.col("n_bytes") >= least) & F.col("http"))
     kept = long_ones.groupBy("digest", "n_bytes").agg(F.max(F.struct(order.alias("o"), "id", "uri", "date")).alias("to"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
     return long_ones.join(kept.hint("merge"), ["digest", "n_bytes"]).where((F.col("file") != F.col("to.o.file")) | (F.col("place") != F.col("to.o.place"))).select("file", "place", F.struct("to.id", "to.uri", "to.date").alias("to"))
 
@@ -278,7 +364,7 @@ def convert(spark: SparkSession, arcs: DataFrame, folder: str, least: int = MIN_
                 refer = {x["place"]: x["to"] for x in listed or ()}
                 fs, inner = open_fs(path)
                 out = _Files(folder, 0, "warc.gz")
-                name = _file_name(path).removesuffix(".arc.gz") + ".warc.gz"
+                name = _file_name(path).removesuffix(".gz").removesuffix(".arc") + ".warc.gz"
                 out.fs, out.path = open_fs(f"{folder}/{name}")
                 out.attempt = f"{out.path}.{uuid.uuid4().hex}.tmp"
                 out.name, out.out, out.bytes, out.records = name, out.fs.open_output_stream(out.attempt, compression=None), 0, 0
@@ -287,15 +373,15 @@ def convert(spark: SparkSession, arcs: DataFrame, folder: str, least: int = MIN_
                 with fs.open_input_stream(inner, compression=None) as stream:
                     for at, header, block in arc_records(stream):
                         head, _, payload = split_http(block)
-                        digest, to = hashlib.sha1(payload).hexdigest(), refer.get(at)
+                        digest, uri, to = hashlib.sha1(payload).hexdigest(), target_uri(header["url"]), refer.get(at)
                         fields = [
-                            ("WARC-Type", "revisit" if to else "response"),
-                            ("WARC-Record-ID", record_id(header["url"], header["date"], digest, f"{_file_name(path)}@{at}")),
+                            ("WARC-Type", "revisit" if to else "response" if head else "resource"),
+                            ("WARC-Record-ID", record_id(uri, header["date"], digest, f"{_file_name(path)}@{at}")),
                             ("WARC-Date", warc_date(header["date"])),
-                            ("WARC-Target-URI", header["url"]),
+                            ("WARC-Target-URI", uri),
                             ("WARC-IP-Address", header["ip"]),
                             ("WARC-Payload-Digest", "sha1:" + base32(digest)),
-                            ("Content-Type", "application/http; msgtype=response"),
+                            ("Content-Type", "application/http; msgtype=response" if head else "text/dns" if uri.startswith("dns:") else header["type"] or "application/octet-stream"),
                         ]
                         if to:
                             fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", to["id"]), ("WARC-Refers-To-Target-URI", to["uri"]), ("WARC-Refers-To-Date", to["date"]), ("WARC-Truncated", "length")]
@@ -312,21 +398,25 @@ RECORDS = "record_id string, record_type string, uri string, date string, page_i
 
 
 def warc_records(stream: io.RawIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (in lower case) and block of each record; digests of blocks are checked."""
-    for _, data in members(stream):
-        head, _, rest = data.partition(b"\r\n\r\n")
-        lines = head.split(b"\r\n")
-        if not lines[0].startswith(b"WARC/"):
+    """Header fields (in lower case) and block of each record; digests of blocks are checked where they are told."""
+    data = Bytes(stream)
+    while (line := data.line()) is not None:
+        if not line.strip():
+            continue
+        if not line.startswith(b"WARC/"):
             raise ValueError("no WARC record")
-        fields = {k.strip().lower().decode(): v.strip().decode() for k, _, v in (x.partition(b":") for x in lines[1:])}
-        block = rest[: int(fields["content-length"])]
-        if "sha1:" + base32(hashlib.sha1(block).hexdigest()) != fields["warc-block-digest"]:
+        fields = {}
+        while line := (data.line() or b"").strip():
+            name, _, value = line.partition(b":")
+            fields[_decoded(name.strip()).lower()] = _decoded(value.strip())
+        block = data.read(int(fields["content-length"]))
+        if fields.get("warc-block-digest", "").startswith("sha1:") and "sha1:" + base32(hashlib.sha1(block).hexdigest()) != fields["warc-block-digest"]:
             raise ValueError(f"the block of {fields['warc-record-id']} is damaged")
         yield fields, block
 
 
 def read_warcs(spark: SparkSession, warcs: DataFrame, payloads: bool = True) -> DataFrame:
-    """Responses and revisits of WARC files. A response's digest is taken of its payload, a revisit's as declared."""
+    """Responses, resources and revisits of WARC files. A revisit's digest is the declared one, others' are taken of their payloads."""
     kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
     schema = T.StructType.fromDDL(RECORDS)
     arrow = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in schema])
@@ -339,16 +429,16 @@ def read_warcs(spark: SparkSession, warcs: DataFrame, payloads: bool = True) ->
                 with fs.open_input_stream(inner, compression=None) as stream:
                     for fields, block in warc_records(stream):
                         kind = fields["warc-type"]
-                        if kind not in ("response", "revisit"):
+                        if kind not in ("response", "resource", "revisit"):
                             continue
-                        _, http, payload = split_http(block)
-                        own = http.get("x-page-id")
-                        declared = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
-                        digest = hashlib.sha1(payload).hexdigest() if kind == "response" else declared
-                        if digest != declared:
+                        _, http, payload = split_http(block) if kind != "resource" else (b"", {}, block)
+                        told = fields.get("warc-payload-digest", "")
+                        declared = base64.b32decode(told.removeprefix("sha1:")).hex() if told.startswith("sha1:") else None
+                        digest = declared if kind == "revisit" else hashlib.sha1(payload).hexdigest()
+                        if declared is not None and digest != declared:
                             raise ValueError(f"the payload of {fields['warc-record-id']} is damaged")
-                        n = len(payload) if kind == "response" else int(http["content-length"])
-                        rows.append((fields["warc-record-id"], kind, fields["warc-target-uri"], fields["warc-date"], None if own is None else int(own), n, digest, fields.get("warc-refers-to"), payload if payloads else None))
+                        n = len(payload) if kind != "revisit" else int(http.get("content-length", 0))
+                        rows.append((fields["warc-record-id"], kind, fields["warc-target-uri"], fields["warc-date"], _page_id(http), n, digest, fields.get("warc-refers-to"), payload if payloads else None))
                         if len(rows) >= 256:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
                             rows = []
