@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with marks and what they fold to, one for one.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _folds() -> dict[str, str]:
+    """Letters that Unicode takes apart into a letter and marks above or below it, and that letter; the marks by themselves become nothing."""
+    marks = {chr(c) for c in range(0x300, 0x370)}
+    found = {}
+    for c in map(chr, range(0xC0, 0x10000)):
+        apart = unicodedata.normalize("NFD", c)
+        if len(apart) > 1 and unicodedata.category(c)[0] == "L" and marks.issuperset(apart[1:]):
+            found[c] = apart[0]
+    return found | dict.fromkeys(sorted(marks), "")
+
+
+FOLDS = _folds()
+MARKED, PLAIN = "".join(FOLDS), "".join(FOLDS.values())
 #: Between tokens: anything but letters and digits of any script.
 GAP = r"[^\p{L}\p{N}]+"
 # Words at which no suggested phrase begins or ends.
@@ -26,12 +39,12 @@ def folded(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """The folded tokens of a text, in order."""
-    return F.filter(F.split(folded(text), GAP), lambda t: t != "")
+    return F.array_remove(F.split(folded(text), GAP), "")
 
 
 def words(text: Column) -> Column:
     """Lower-case alphanumeric words, marks kept."""
-    return F.filter(F.split(F.lower(text), GAP), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), GAP), "")
 
 
 def _window(word_array: Column, n: int, start: Column) -> Column:

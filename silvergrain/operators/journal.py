@@ -45,10 +45,10 @@ def revision_roots(journal: DataFrame) -> DataFrame:
         hop = written(hop, "hop")
         found = hop.where(F.col("root").isNotNull()).select("id", "root")
         rest = hop.where(F.col("root").isNull() & F.col("further").isNotNull()).select("id", F.col("further").alias("to"))
-        n_found, n_rest = found.count(), rest.count()
-        closed = written(closed.unionByName(found), "closed") if n_found else closed
-        if not n_rest:
-            break
+        n_found, n_rest = hop.agg(F.count("root"), F.count_if(F.col("root").isNull() & F.col("further").isNotNull())).head()
+        closed = closed.unionByName(found)  # of written tables, one a round
+        if not n_found or not n_rest:
+            break  # a longer chain would hold one that closes now: what is left runs in circles
         open_ = rest
     return closed
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 from ..model import TUNING
+from ..storage import spread, written
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -24,11 +25,12 @@ def parse_query(query: str) -> tuple[list[str], str | None]:
     return (found[:-1], found[-1]) if found else ([], None)
 
 
-_MARKS = str.maketrans(text.MARKED, text.PLAIN)
+#: Folding for one letter after the other, as places must stay.
+_LETTERS = str.maketrans({k: v for k, v in text.FOLDS.items() if v})
 
 
 def _fold(token: str) -> list[str]:
-    plain = token.lower().translate(str.maketrans(text.MARKED, text.PLAIN))
+    plain = token.lower().translate(str.maketrans(text.FOLDS))
     return re.findall(r"[^\W_]+", plain)
 
 
@@ -37,7 +39,7 @@ def _folded(body: str) -> str:
     low = body.lower()
     if len(low) != len(body):
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in body)
-    return low.translate(_MARKS)
+    return low.translate(_LETTERS)
 
 
 def search(docs: DataFrame, query: str, key: str = "doc_id", body: str = "text", limit: int | None = TUNING.text_limit) -> DataFrame:
@@ -45,8 +47,9 @@ def search(docs: DataFrame, query: str, key: str = "doc_id", body: str = "text",
 
     Without a ``limit`` all hits come out, in no order.
 
-    One scan counts the terms of each document without exploding it; the corpus statistics
-    are one row. A query without tokens matches nothing here: callers browse instead.
+    One scan counts the terms of each document without exploding it; the counts, a few numbers a
+    document, are written and give the corpus statistics, one row, and the scores. A query without
+    tokens matches nothing here: callers browse instead.
     """
     exact, last = parse_query(query)
     terms = [(t, False) for e in exact for t in _fold(e)]
@@ -55,8 +58,9 @@ def search(docs: DataFrame, query: str, key: str = "doc_id", body: str = "text",
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     found = text.tokens(F.col(body))
-    count = lambda t, prefix: F.size(F.filter("__t", lambda x: x.startswith(t) if prefix else x == t))
-    counted = docs.select(key, F.coalesce(found, F.array().cast("array<string>")).alias("__t")).select(key, F.size("__t").alias("len"), *(count(t, p).alias(f"f{i}") for i, (t, p) in enumerate(terms)))
+    count = lambda t, prefix: F.size(F.filter("__t", lambda x: x.startswith(t))) if prefix else F.size("__t") - F.size(F.array_remove("__t", t))
+    split = spread(docs.select(key, body)).select(key, F.coalesce(found, F.array().cast("array<string>")).alias("__t"))
+    counted = written(split.select(key, F.size("__t").alias("len"), *(count(t, p).alias(f"f{i}") for i, (t, p) in enumerate(terms))), "term-counts")
     stats = counted.agg(F.count(F.lit(1)), F.sum("len"), *(F.count_if(F.col(f"f{i}") > 0) for i in range(len(terms)))).head()
     n, average = stats[0], (stats[1] or 0) / max(stats[0], 1)
     every, score = F.lit(True), F.lit(0.0)
@@ -79,7 +83,7 @@ def _saturated(f: Column, length: Column, average: Column) -> Column:
 
 def postings(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
     """(key, term, tf, len): the inverted index."""
-    exploded = docs.select(key, text.tokens(F.col(body)).alias("t")).select(key, F.size("t").alias("len"), F.explode("t").alias("term"))
+    exploded = spread(docs.select(key, body)).select(key, text.tokens(F.col(body)).alias("t")).select(key, F.size("t").alias("len"), F.explode("t").alias("term"))
     return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
 
 
@@ -89,10 +93,13 @@ def build_index(docs: DataFrame, folder: str, key: str = "doc_id", body: str = "
     Parquet's row-group statistics then let a search read only the row groups of its terms.
     Terms that very many documents hold fill several files, split by key.
     """
-    post = docs.select(F.col(key).alias("doc_id"), F.coalesce(text.tokens(F.col(body)), F.array().cast("array<string>")).alias("t"))
-    post.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("tokens")).write.mode("overwrite").parquet(f"{folder}/corpus")
-    exploded = post.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
-    exploded.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{folder}/postings")
+    post = spread(docs.select(F.col(key).alias("doc_id"), F.col(body).alias("body"))).select("doc_id", F.coalesce(text.tokens(F.col("body")), F.array().cast("array<string>")).alias("t"))
+    # each document also has the empty term, which no text has, so that one pass tells the corpus's size too
+    every = post.select("doc_id", F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    every = written(every, "postings")
+    every.where("term = ''").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("len") * F.col("tf")), F.lit(0)).alias("tokens")).write.mode("overwrite").parquet(f"{folder}/corpus")
+    found = every.where("term <> ''")
+    found.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{folder}/postings")
 
 
 def search_index(spark: SparkSession, folder: str, query: str, limit: int = TUNING.text_limit) -> DataFrame:
@@ -121,14 +128,19 @@ def search_index(spark: SparkSession, folder: str, query: str, limit: int = TUNI
 def search_batch(docs: DataFrame, queries: DataFrame, key: str = "doc_id", body: str = "text", query_key: str = "item_id", query: str = "text", limit: int = 10) -> DataFrame:
     """(query_key, key, score, rank) of many queries at once; all terms exact and required.
 
-    Postings meet queries by term, so only terms that a query has leave the scan's partial
-    aggregation for the join.
+    Texts are cut into tokens once. Tokens meet the queries' terms before they are counted, and only
+    the postings of those terms are written; every document also keeps the empty term, which no
+    text has, for the corpus's size.
     """
     asked = queries.select(F.col(query_key).alias("__q"), F.explode(F.array_distinct(text.tokens(F.col(query)))).alias("term"))
     needed = asked.groupBy("__q").agg(F.count(F.lit(1)).alias("terms"))
-    size = docs.agg(F.count(F.lit(1)), F.sum(F.size(text.tokens(F.coalesce(F.col(body), F.lit("")))))).head()
+    terms = asked.select("term").distinct().union(docs.sparkSession.createDataFrame([("",)], "term string"))
+    every = spread(docs.select(key, body)).select(key, F.coalesce(text.tokens(F.col(body)), F.array().cast("array<string>")).alias("t")).select(key, F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    found = every.join(terms, "term", "left_semi").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    found = written(found, "wanted-postings")
+    size = found.where("term = ''").agg(F.coalesce(F.sum("tf"), F.lit(0)), F.sum(F.col("len") * F.col("tf"))).head()
     n, average = float(size[0]), float(size[1] or 0) / max(size[0], 1)
-    wanted = postings(docs, key, body).join(asked.select("term").distinct(), "term", "left_semi")
+    wanted = found.where("term <> ''")
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     weighted = wanted.join(df, "term").select("term", key, (_idf(F.lit(n), F.col("df")) * _saturated(F.col("tf"), F.col("len"), F.lit(average))).alias("w"))
     scored = asked.join(weighted, "term").groupBy("__q", key).agg(F.count(F.lit(1)).alias("got"), F.sum("w").alias("w")).join(needed, "__q").where("got = terms")
@@ -155,6 +167,15 @@ def hits_by_image(hits: DataFrame, targets: DataFrame, key: str = "doc_id", filt
     return best if filtered is not None else best.unionByName(session.select("image", key, "score"))
 
 
+def ordered_images(found: DataFrame, recency: DataFrame, limit: int = TUNING.text_limit) -> DataFrame:
+    """Adds last_ts and place to (image, key, score): best (least) score first, then the last annotated (never annotated last), then by image.
+
+    ``found`` comes from a limited search, so one task ranks few rows.
+    """
+    first = found.join(recency.select("image", "last_ts"), "image", "left").orderBy("score", F.col("last_ts").desc_nulls_last(), "image").limit(limit)
+    return first.withColumn("place", F.row_number().over(W.orderBy("score", F.col("last_ts").desc_nulls_last(), "image")))
+
+
 def search_images(docs: DataFrame, only: DataFrame, query: str, key: str = "doc_id", body: str = "text") -> DataFrame:
     """A search whose statistics are the corpus's and whose hits are the keys of ``only``."""
     return search(docs, query, key, body, limit=None).join(only.select(key).distinct(), key, "left_semi").orderBy("score", key)

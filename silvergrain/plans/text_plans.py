@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
+from ..operators import journal as J
 from ..operators import search as S
-from ..storage import shared_folder
-from .fixtures import table
+from ..storage import new_folder
+from .fixtures import journal, table, with_journal
 
 QUERY = "the tion"
 LONG_QUERY = "of the and"
@@ -24,14 +23,22 @@ def bm25_filtered_after_limit(spark, sf_dir):
     return S.search(table(spark, sf_dir, "documents"), LONG_QUERY).join(good, "doc_id", "left_semi")
 
 
-_indexes: dict[tuple[str, str], str] = {}
+_indexes: dict[tuple, str] = {}
+
+
+def bm25_index(spark, sf_dir):
+    """The index of the documents: (term, postings, tokens) of its longest lists."""
+    folder = new_folder(spark, "index")
+    S.build_index(table(spark, sf_dir, "documents"), folder)
+    return spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("tokens"))
 
 
 def bm25_indexed(spark, sf_dir):
-    """The same search over an index, which is built once an application."""
-    at = spark.sparkContext.applicationId, sf_dir
+    """The same search over an index, which is built anew when the table's files are others than before."""
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/documents.parquet").select("path", "modificationTime", "length")
+    at = spark.sparkContext.applicationId, sf_dir, *files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).head()
     if at not in _indexes:
-        folder = f"{shared_folder(spark).rstrip('/')}/silvergrain-tables/index-{uuid.uuid4().hex}"
+        folder = new_folder(spark, "index")
         S.build_index(table(spark, sf_dir, "documents"), folder)
         _indexes[at] = folder
     return S.search_index(spark, _indexes[at], QUERY)
@@ -50,6 +57,13 @@ def search_image_scoped(spark, sf_dir):
     return S.hits_by_image(S.search(table(spark, sf_dir, "documents"), QUERY), _targets(spark, sf_dir), filtered=images)
 
 
+def search_recent_ties(spark, sf_dir):
+    """Images by their best hit, with scores in whole numbers: ties go to the last annotated."""
+    hits = S.search(table(spark, sf_dir, "documents"), "of").withColumn("score", F.round("score"))
+    targets = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") * 7 % 800).alias("image"))
+    return S.ordered_images(S.hits_by_image(hits, targets).select("image", "score"), J.image_stats(journal(spark, sf_dir)))
+
+
 def search_within(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return S.search_images(docs, docs.where("lang = 'en'").select("doc_id"), QUERY)
@@ -116,9 +130,9 @@ def resolve_name_jw(spark, sf_dir):
     return S.top_per_group(near, ["asked"], [F.desc("score"), F.col("n_nationkey")], 1).drop("rank")
 
 
-QUERIES = [bm25_topk, bm25_indexed, bm25_filtered_after_limit, search_session_split, search_image_scoped, search_within, search_snippets, postings_stats, bm25_batch, ngram_counts, fuzzy_match, fuzzy_appended_union, chunk_spans, wer_by_turn, wer_corpus, input_digests, stale_quotes, resolve_name_jw]
+QUERIES = [bm25_topk, bm25_index, bm25_indexed, bm25_filtered_after_limit, search_recent_ties, search_session_split, search_image_scoped, search_within, search_snippets, postings_stats, bm25_batch, ngram_counts, fuzzy_match, fuzzy_appended_union, chunk_spans, wer_by_turn, wer_corpus, input_digests, stale_quotes, resolve_name_jw]
 
-TOKENS = f"list_filter(string_split_regex(translate(lower(text), '{text.MARKED}', '{text.PLAIN}'), '[^\\pL\\pN]+'), lambda t: t <> '')"
+TOKENS = "list_filter(string_split_regex(strip_accents(lower(text)), '[^\\pL\\pN]+'), lambda t: t <> '')"
 
 
 def bm25_sql(terms: list[tuple[str, bool]], limit: int = 500) -> str:
@@ -142,6 +156,8 @@ _FUZZY = f"""fuzzy AS (SELECT p_partkey, place, CASE place WHEN 0 THEN 'p_type'
 SQL = {
     "bm25_topk": f"WITH {_TOP} SELECT * FROM hits",
     "bm25_indexed": f"WITH {_TOP} SELECT * FROM hits",
+    "bm25_index": f"SELECT term, count(*) AS postings, sum(tf)::BIGINT AS tokens FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY ALL) GROUP BY term",
+    "search_recent_ties": with_journal("SELECT image, score, last_ts, (row_number() OVER (ORDER BY score, last_ts DESC NULLS LAST, image))::INTEGER AS place FROM (SELECT doc_id * 7 % 800 AS image, min(round(score)) AS score FROM hits GROUP BY 1) LEFT JOIN stats USING (image)", bm25_sql([("of", True)])),
     "bm25_filtered_after_limit": f"WITH {bm25_sql([('of', False), ('the', False), ('and', True)])} SELECT * FROM hits WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "search_session_split": f"WITH {_TOP}, {_TARGETS} {_BEST.format('')} UNION ALL SELECT NULL, doc_id, score FROM hits JOIN targets USING (doc_id) WHERE image IS NULL",
     "search_image_scoped": f"WITH {_TOP}, {_TARGETS} {_BEST.format('AND image % 2 = 0')}",

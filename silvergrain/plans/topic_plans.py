@@ -12,6 +12,7 @@ from ..operators import select as L
 from ..operators import temporal as M
 from ..operators import topics as P
 from ..operators import vectors as V
+from ..storage import written
 from .filter_plans import FIXTURE_SQL, tables
 from .fixtures import journal, table, with_journal
 from .time_plans import _GAPS
@@ -227,7 +228,7 @@ def scope_folder(spark, sf_dir):
 
 def _judged(spark, sf_dir):
     docs, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    ranked = S.search_batch(docs, b).select(F.col("item_id").alias("query"), F.col("doc_id").alias("item"), "rank")
+    ranked = written(S.search_batch(docs, b).select(F.col("item_id").alias("query"), F.col("doc_id").alias("item"), "rank"), "ranked")
     relevant = ranked.where("item % 3 <> 1").select("query", "item").union(b.where("item_id % 4 = 0").select(F.col("item_id"), F.lit(-1).cast("long")))
     return b.select(F.col("item_id").alias("query")), ranked, relevant
 

@@ -43,3 +43,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as tasks can run at once, if it comes in fewer (one large row group, say)."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
