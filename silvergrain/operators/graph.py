@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,35 +48,93 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def bands(threshold: int) -> tuple[list[int], int]:
+    """(cuts of 64 bits into bands, the distance within which two such signatures lie in one band at least).
+
+    As few bands as leave a distance of two bits: the wider a band, the fewer meet in it by chance.
+    """
+    n = threshold // 3 + 1
+    return [64 * i // n for i in range(n + 1)], threshold // n
+
+
 def hamming_pairs(signatures: DataFrame, key: str, sig: str, threshold: int = TUNING.hamming) -> DataFrame:
     """(a, b, distance) with a < b of 64-bit signatures at most ``threshold`` bits apart; exact.
 
-    Cut into ``threshold + 1`` bands, two such signatures agree in one band at least; so pairs
-    meet by band value, and each is kept in the first band they share. A threshold of 63 or
-    more leaves no band to join on and pairs all signatures.
+    Two such signatures lie within two bits of each other in one of the ``bands``. There the lesser
+    is put at every value within one bit of its own, and the greater too, so they meet by equal
+    values; a pair is kept in the first such band, at the least of the values where it meets
+    there. A band has about 3 * 64 / ``threshold`` bits, so chance meetings of n signatures stay a
+    small multiple of n while n is below two to that power. A threshold of 64 pairs all.
     """
     rows = signatures.where(F.col(sig).isNotNull()).select(F.col(key).alias("k"), F.col(sig).cast("long").alias("s"))
-    n = threshold + 1
-    if n >= 64:
-        banded, first = rows.withColumn("band", F.lit(0)).withColumn("v", F.lit(0).cast("long")), F.lit(True)
+    if threshold >= 64:
+        met, first = rows.withColumn("m", F.lit(0).cast("long")).withColumn("band", F.lit(0)), F.lit(True)
+        other = met.select(F.col("k").alias("l"), F.col("s").alias("t"), "band", "m")
     else:
-        cuts = [64 * i // n for i in range(n + 1)]
-        value = lambda s, i: F.shiftrightunsigned(s, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1 if cuts[i + 1] - cuts[i] < 63 else -1))
-        banded = rows.select("k", "s", F.posexplode(F.array(*(value(F.col("s"), i) for i in range(n)))).alias("band", "v"))
-        shared = F.coalesce(*(F.when(value(F.col("s"), i) == value(F.col("t"), i), F.lit(i)) for i in range(n)))
-        first = shared == F.col("band")
-    other = banded.select(F.col("k").alias("l"), F.col("s").alias("t"), "band", "v")
-    pairs = banded.join(other, ["band", "v"]).where((F.col("k") < F.col("l")) & (hamming(F.col("s"), F.col("t")) <= threshold) & first)
+        cuts, within = bands(threshold)
+        widths = [b - a for a, b in zip(cuts, cuts[1:], strict=False)]
+        value = lambda s, i: F.shiftrightunsigned(s, cuts[i]).bitwiseAND(F.lit((1 << widths[i]) - 1 if widths[i] < 63 else -1))
+        near = lambda v, i: F.concat(F.array(v), F.array(*(v.bitwiseXOR(F.lit((1 << k) if k < 63 else -(1 << 63)).cast("long")) for k in range(widths[i]))))
+        dealt = lambda wide: rows.select("k", "s", F.explode(F.array(*(F.struct(F.lit(i).alias("band"), (near(value(F.col("s"), i), i) if wide else F.array(value(F.col("s"), i))).alias("at")) for i in range(len(widths))))).alias("p")).select("k", "s", "p.band", F.explode("p.at").alias("m"))
+        met = dealt(within > 0)
+        other = dealt(within > 1).select(F.col("k").alias("l"), F.col("s").alias("t"), "band", "m")
+        meets = F.lit(False)
+        for i in reversed(range(len(widths))):
+            v, w = value(F.col("s"), i), value(F.col("t"), i)
+            apart = v.bitwiseXOR(w)
+            low = apart.bitwiseAND(-apart)
+            at = F.when(apart == 0, v).when(F.bit_count(apart) == 1, F.least(v, w)).otherwise(F.least(v.bitwiseXOR(low), w.bitwiseXOR(low))) if within > 1 else w
+            meets = F.when(F.bit_count(apart) <= within, (F.col("band") == i) & (F.col("m") == at)).otherwise(meets)
+        first = meets
+    pairs = met.join(other, ["band", "m"]).where((F.col("k") < F.col("l")) & (hamming(F.col("s"), F.col("t")) <= threshold) & first)
     return pairs.select(F.col("k").alias("a"), F.col("l").alias("b"), hamming(F.col("s"), F.col("t")).alias("distance"))
 
 
 def near_duplicate_groups(signatures: DataFrame, key: str, sig: str, threshold: int = TUNING.hamming) -> DataFrame:
-    """(node, component, size): transitive groups of two and more."""
-    found = components(hamming_pairs(signatures, key, sig, threshold))
+    """(node, component, size): transitive groups of two and more.
+
+    Equal signatures are one before pairs are sought, so many copies cost no pairs.
+    """
+    rows = signatures.where(F.col(sig).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("node"), F.col(sig).cast("long").alias("sig"))
+    heads = written(rows.groupBy("sig").agg(F.min("node").alias("head")), "signatures")
+    copies = rows.join(heads, "sig").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    found = components(hamming_pairs(heads, "head", "sig", threshold).select("a", "b").union(copies))
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     return found.join(sizes, "component").select("node", "component", "size")
 
 
+#: Cells of the hashed grid: one column more than bits in a row.
+HASH_WIDTH, HASH_HEIGHT = 8, 8
+
+
+def _shares(size: int, cells: int) -> np.ndarray:
+    """How much of each pixel each cell covers along a side, in whole numbers."""
+    cell, pixel = np.arange(cells)[:, None] * size, np.arange(size)[None, :] * cells
+    return np.maximum(0, np.minimum(cell + size, pixel + cells) - np.maximum(cell, pixel))
+
+
+def difference_hash(pixels: Column, width: Column, height: Column) -> Column:
+    """64 bits of a grey picture (bytes by row): whether a cell of a 9 x 8 grid is brighter than the one to its right.
+
+    A cell is the mean of the pixels it covers, in whole numbers. Null where the bytes are no such picture.
+    """
+    @F.arrow_udf("long")
+    def run(data: pa.Array, w: pa.Array, h: pa.Array) -> pa.Array:
+        raw, sizes = data.to_pylist(), list(zip(w.to_pylist(), h.to_pylist(), strict=True))
+        out: list[int | None] = [None] * len(raw)
+        for x, y in {s for s in sizes if s[0] and s[1]}:
+            own = [i for i, s in enumerate(sizes) if s == (x, y) and raw[i] is not None and len(raw[i]) == x * y]
+            if own:
+                grey = np.frombuffer(b"".join(raw[i] for i in own), np.uint8).reshape(len(own), y, x).astype(np.int64)
+                cells = _shares(y, HASH_HEIGHT) @ grey @ _shares(x, HASH_WIDTH + 1).T
+                bits = (cells[:, :, :-1] > cells[:, :, 1:]).reshape(len(own), -1)
+                for i, v in zip(own, np.packbits(bits, axis=1, bitorder="little").view("<i8").reshape(-1).tolist(), strict=True):
+                    out[i] = v
+        return pa.array(out, pa.int64())
+
+    return run(pixels, width, height)
+
+
 def representatives(groups: DataFrame, ratings: DataFrame) -> DataFrame:
     """(component, representative, size): the highest rated member, the least of equals; unrated ones come last."""
     rated = groups.join(ratings.select(F.col("image").alias("node"), "rating"), "node", "left")
@@ -121,6 +182,39 @@ def density_grid(points: DataFrame, cell: float, weight: str = "w") -> DataFrame
     return points.groupBy(F.floor(F.col("x") / cell).alias("gx"), F.floor(F.col("y") / cell).alias("gy")).agg(F.sum(weight).alias("w"))
 
 
+#: Cells along a side of a tile that is blurred by one task.
+TILE = 128
+
+
+def blurred_field(grid: DataFrame, radius: int, passes: int = 3, tile: int = TILE) -> DataFrame:
+    """(gx, gy, w) of a grid of cells after box blurs of (2 * radius + 1)^2 cells, as many as ``passes``; cells that are zero stay out.
+
+    Cells are dealt by tiles, and those near a tile's edge to its neighbours too, as far as all
+    blurs together reach; so a tile is blurred by itself. A box is a difference of running sums.
+    """
+    reach = radius * passes
+    if reach > tile:
+        raise ValueError("the blurs reach over a whole tile")
+    near = lambda c: F.explode(F.array_distinct(F.array(*(F.floor((F.col(c) + d) / F.lit(tile)) for d in (-reach, 0, reach)))))
+    dealt = grid.where("gx IS NOT NULL AND gy IS NOT NULL").withColumn("tx", near("gx")).withColumn("ty", near("gy")).select("tx", "ty", "gx", "gy", F.col("w").cast("double").alias("w"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x0, y0 = (int(k) * tile - reach for k in key)
+        field = np.zeros((tile + 2 * reach, tile + 2 * reach))
+        np.add.at(field, (pdf.gx.to_numpy() - x0, pdf.gy.to_numpy() - y0), pdf.w.to_numpy())
+        for _ in range(passes):
+            for axis in (0, 1):
+                field = np.moveaxis(field, axis, 0)
+                sums = np.concatenate([np.zeros((radius + 1, field.shape[1])), np.cumsum(field, axis=0)])
+                sums = np.concatenate([sums, np.repeat(sums[-1:], radius, axis=0)])
+                field = np.moveaxis((sums[2 * radius + 1 :] - sums[: -2 * radius - 1]) / (2 * radius + 1), 0, axis)
+        inner = field[reach : reach + tile, reach : reach + tile]
+        x, y = np.nonzero(np.abs(inner) > 1e-12)
+        return pd.DataFrame({"gx": x + x0 + reach, "gy": y + y0 + reach, "w": inner[x, y]})
+
+    return dealt.groupBy("tx", "ty").applyInPandas(run, "gx long, gy long, w double")
+
+
 # ---------------------------------------------------------------- strokes: arrays of (x, y), fractions of width and height
 
 # Steps of a coordinate, how far it may overshoot, what is too small and brief to keep.

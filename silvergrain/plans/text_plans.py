@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 from ..operators import journal as J
+from ..operators import names as R
 from ..operators import search as S
 from ..storage import new_folder
 from .fixtures import journal, table, with_journal
@@ -130,7 +131,17 @@ def resolve_name_jw(spark, sf_dir):
     return S.top_per_group(near, ["asked"], [F.desc("score"), F.col("n_nationkey")], 1).drop("rank")
 
 
-QUERIES = [bm25_topk, bm25_index, bm25_indexed, bm25_filtered_after_limit, search_recent_ties, search_session_split, search_image_scoped, search_within, search_snippets, postings_stats, bm25_batch, ngram_counts, fuzzy_match, fuzzy_appended_union, chunk_spans, wer_by_turn, wer_corpus, input_digests, stale_quotes, resolve_name_jw]
+def resolve_names(spark, sf_dir):
+    """What each customer meant by a misspelled part name; parts of one name differ in status and time."""
+    part = table(spark, sf_dir, "part")
+    status = F.element_at(F.array(F.lit("done"), F.lit("active"), F.lit("shelved"), F.lit("gone")), (F.col("p_size") % 4 + 1).cast("int"))
+    names = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), status.alias("status"), F.timestamp_seconds(F.col("p_partkey") * 37 % 50).alias("updated_ts"))
+    typed = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("  "), F.upper("p_name"))).when(F.col("c_custkey") % 4 == 1, F.concat(F.substring("p_name", 1, 1), F.substring("p_name", 3, 99))).when(F.col("c_custkey") % 4 == 2, F.concat("p_name", F.lit("s"))).otherwise("no such thing")
+    asked = table(spark, sf_dir, "customer").join(part, F.col("c_custkey") == F.col("p_partkey")).select("c_custkey", typed.alias("asked"))
+    return R.resolve(asked, names)
+
+
+QUERIES = [bm25_topk, bm25_index, bm25_indexed, bm25_filtered_after_limit, search_recent_ties, search_session_split, search_image_scoped, search_within, search_snippets, postings_stats, bm25_batch, ngram_counts, fuzzy_match, fuzzy_appended_union, chunk_spans, wer_by_turn, wer_corpus, input_digests, stale_quotes, resolve_name_jw, resolve_names]
 
 TOKENS = "list_filter(string_split_regex(strip_accents(lower(text)), '[^\\pL\\pN]+'), lambda t: t <> '')"
 
@@ -174,5 +185,10 @@ SQL = {
     "fuzzy_appended_union": f"WITH {_FUZZY}, ex AS (SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%a%' AND p_partkey % 5 = 0) SELECT p_partkey, 'exact' AS lane FROM ex UNION ALL SELECT p_partkey, 'fuzzy' FROM fuzzy WHERE p_partkey NOT IN (SELECT p_partkey FROM ex)",
     "input_digests": "SELECT doc_id, sha256(concat_ws(chr(31), coalesce(lang, ''), coalesce(source, ''), coalesce(text, ''))) AS digest FROM documents",
     "resolve_name_jw": "SELECT asked, n_nationkey, name, score FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, n_nationkey) AS r FROM (SELECT asked, n_nationkey, name, round(jaro_winkler_similarity(asked, name), 6) AS score FROM (SELECT n_nationkey, trim(regexp_replace(lower(n_name), '\\s+', ' ', 'g')) AS name FROM nation), (VALUES ('germny'), ('nation 1'), ('untied kingdom'), ('brasil')) v(asked)) WHERE score >= 0.80) WHERE r = 1",
+    "resolve_names": """WITH n AS (SELECT p_partkey AS id, lower(p_name) AS name, CASE p_size % 4 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS rank, p_partkey * 37 % 50 AS t FROM part),
+      a AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '  ' || upper(p_name) WHEN 1 THEN substr(p_name, 1, 1) || substr(p_name, 3) WHEN 2 THEN p_name || 's' ELSE 'no such thing' END AS asked FROM customer JOIN part ON c_custkey = p_partkey),
+      d AS (SELECT DISTINCT trim(lower(asked)) AS q FROM a), s AS (SELECT q, name, round(jaro_winkler_similarity(q, name), 9) AS score FROM d, (SELECT DISTINCT name FROM n)),
+      r AS (SELECT q, id, name, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, rank, t DESC, id) AS r FROM s JOIN n USING (name) WHERE score >= 0.80)
+      SELECT c_custkey, asked, id, name, score FROM a LEFT JOIN r ON q = trim(lower(asked)) AND r = 1""",
     "stale_quotes": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 OR substring(text, 5, 8) = 'stale' THEN substring(text, 5, 8) END AS quote FROM documents",
 }

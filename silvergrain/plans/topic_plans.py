@@ -66,6 +66,19 @@ def cluster_label_match(spark, sf_dir):
     return G.match_labels(c, spark.createDataFrame([("harbor", 11), ("fog", 39), ("dusk", 42), (" ", 100), ("barn", 8)], "label string, size long"))
 
 
+def density_field(spark, sf_dir):
+    """The topic density after three blurs of radius two, on tiles of sixteen cells."""
+    e = table(spark, sf_dir, "embeddings").select(F.element_at("embedding", 1).cast("double").alias("x"), F.element_at("embedding", 2).cast("double").alias("y"), "label")
+    return G.blurred_field(G.density_grid(e, 0.02, "label"), 2, tile=16).withColumn("w", F.round("w", 6)).where("w <> 0")
+
+
+def picture_hashes(spark, sf_dir):
+    """Difference hashes of pictures of eight by eight pixels that vectors stand for."""
+    grey = F.transform("embedding", lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), (F.floor(x.cast("double") * 400) + 128).cast("int")))), 2, "0"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.unhex(F.array_join(grey, "")).alias("pixels"))
+    return e.select("vec_id", G.difference_hash(F.col("pixels"), F.lit(8), F.lit(8)).alias("hash"))
+
+
 def topic_density(spark, sf_dir):
     return G.density_grid(table(spark, sf_dir, "embeddings").select(F.element_at("embedding", 1).cast("double").alias("x"), F.element_at("embedding", 2).cast("double").alias("y"), F.col("label").alias("w")), 0.05)
 
@@ -247,7 +260,7 @@ def regression_gate(spark, sf_dir):
     return E.regressions(m, spark.createDataFrame([("recall", 0.99), ("mrr", 0.8), ("ndcg", 0.5)], "metric string, value double"))
 
 
-QUERIES = [hamming_pairs, near_dup_groups, dup_representatives, dup_redundant, symmetric_neighbours, unnamed_clusters, cluster_label_match, topic_density, stroke_shapes, eraser_picks, topic_affinity_rank, topic_baked, topic_suggestions, co_annotation, repeated_phrases, collection_suggestions, attention_intensity, engaged_topics, overlooked_topics, lod_supernodes, node_overlay, kmeans_clusters, cluster_labels, diversify_facility, diversify_mmr, diversify_kcenter, collection_counts, members_added, members_removed, merge_collections_lww, merge_members, merge_notes, note_conflicts, scope_folder, ir_metrics, config_sweep, regression_gate]
+QUERIES = [hamming_pairs, near_dup_groups, dup_representatives, dup_redundant, symmetric_neighbours, unnamed_clusters, cluster_label_match, density_field, picture_hashes, topic_density, stroke_shapes, eraser_picks, topic_affinity_rank, topic_baked, topic_suggestions, co_annotation, repeated_phrases, collection_suggestions, attention_intensity, engaged_topics, overlooked_topics, lod_supernodes, node_overlay, kmeans_clusters, cluster_labels, diversify_facility, diversify_mmr, diversify_kcenter, collection_counts, members_added, members_removed, merge_collections_lww, merge_members, merge_notes, note_conflicts, scope_folder, ir_metrics, config_sweep, regression_gate]
 
 _SIG = "sig AS (SELECT vec_id AS image, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings), hp AS (SELECT x.image AS a, y.image AS b, list_sum(list_transform(list_zip(x.b, y.b), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END))::INTEGER AS distance FROM sig x JOIN sig y ON x.image < y.image)"
 _GROUPS = _SIG + ", e AS (SELECT a, b FROM hp WHERE distance <= 17), reach(node, seen) AS (SELECT a, a FROM e UNION SELECT b, b FROM e UNION SELECT r.node, CASE WHEN e.a = r.seen THEN e.b ELSE e.a END FROM reach r JOIN e ON e.a = r.seen OR e.b = r.seen), comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY 1), grp AS (SELECT *, count(*) OVER (PARTITION BY component) AS size FROM comp), rated AS (SELECT g.*, row_number() OVER (PARTITION BY component ORDER BY CASE WHEN node % 3 > 0 THEN node % 6 ELSE -1 END DESC, node) AS r FROM grp g)"
@@ -277,6 +290,13 @@ SQL = {
     "symmetric_neighbours": _SYM,
     "unnamed_clusters": f"WITH RECURSIVE {_AFF}, sym AS ({_SYM}), un AS (SELECT image FROM aff WHERE list_max(affinities) <= 1e-4), e AS (SELECT * FROM sym WHERE sim >= 0.38 AND a IN (SELECT image FROM un) AND b IN (SELECT image FROM un)), reach(node, seen) AS (SELECT a, a FROM e UNION SELECT b, b FROM e UNION SELECT r.node, CASE WHEN e.a = r.seen THEN e.b ELSE e.a END FROM reach r JOIN e ON e.a = r.seen OR e.b = r.seen), comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY 1) SELECT component, count(*) AS size, round((SELECT avg(sim) FROM e JOIN comp c2 ON c2.node = e.a WHERE c2.component = comp.component), 5) AS coherence, array_to_string(list_sort(list(node)), ',') AS members FROM comp GROUP BY component HAVING count(*) >= 3",
     "cluster_label_match": "SELECT * FROM (VALUES (1::BIGINT, 'harbor'), (2, NULL), (3, 'barn'), (4, NULL)) v(component, label)",
+    "density_field": "WITH b0 AS (SELECT floor(embedding[1]::DOUBLE / 0.02::DOUBLE)::BIGINT AS gx, floor(embedding[2]::DOUBLE / 0.02::DOUBLE)::BIGINT AS gy, sum(label)::DOUBLE AS w FROM embeddings GROUP BY 1, 2), "
+      + ", ".join(f"b{i + 1} AS (SELECT gx{' + d' if i % 2 == 0 else ''} AS gx, gy{' + d' if i % 2 else ''} AS gy, sum(w) / 5 AS w FROM b{i}, range(-2, 3) r(d) GROUP BY 1, 2)" for i in range(6))
+      + " SELECT gx, gy, round(w, 6) AS w FROM b6 WHERE round(w, 6) <> 0",
+    "picture_hashes": """WITH g AS (SELECT vec_id, i // 8 AS y, i % 8 AS px, greatest(0, least(255, floor(embedding[i + 1]::DOUBLE * 400)::INTEGER + 128)) AS v FROM embeddings, range(64) r(i)),
+      c AS (SELECT vec_id, y, x, sum(v * greatest(0, least(8 * x + 8, 9 * px + 9) - greatest(8 * x, 9 * px))) AS v FROM g, range(9) q(x) GROUP BY ALL),
+      b AS (SELECT vec_id, sum(CASE WHEN v > nxt THEN 1::HUGEINT << (y * 8 + x)::INTEGER ELSE 0 END)::HUGEINT AS bits FROM (SELECT *, lead(v) OVER (PARTITION BY vec_id, y ORDER BY x) AS nxt FROM c) GROUP BY 1)
+      SELECT vec_id, (CASE WHEN bits >= 1::HUGEINT << 63 THEN bits - (1::HUGEINT << 64) ELSE bits END)::BIGINT AS hash FROM b""",
     "topic_density": "SELECT floor(embedding[1]::DOUBLE / 0.05::DOUBLE)::BIGINT AS gx, floor(embedding[2]::DOUBLE / 0.05::DOUBLE)::BIGINT AS gy, sum(label)::BIGINT AS w FROM embeddings GROUP BY 1, 2",
     "topic_affinity_rank": _RANK,
     "topic_baked": f"SELECT count(*) AS n FROM ({_RANK}) WHERE affinity >= 0.05",
