@@ -1,8 +1,9 @@
 """Greedy selection and k-means.
 
-Both are sequential in a scope: each choice depends on the last. Scopes run in parallel, a
-task each; a scope is what one person looks at (a folder, a collection), and a task's memory
-is its neighbour lists. k-means is sequential only in its rounds: rows stay distributed and
+A greedy choice depends on those before it, but only as far as likeness reaches: so a scope is cut
+into the connected components of the edges that count, and components run in parallel. Images
+without such an edge are always shown and need no choice. A task's memory is the neighbour lists of
+a component. k-means is sequential only in its rounds: rows stay distributed and
 the centroids, a few vectors, go round by the driver.
 """
 
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 
 from ..model import TUNING
 from ..storage import written
+from .graph import components
 
 
 def cutoff(tolerance: float, high: float = TUNING.cutoff_high, low: float = TUNING.cutoff_low) -> float:
@@ -54,8 +56,12 @@ def _heap(nodes: list, key: Callable) -> list:
     return out
 
 
-def _facility(nodes: list, near: dict, quality: dict, limit: float, _: float) -> list:
-    """Take what covers most of what is not covered yet, until everything is."""
+def _facility(nodes: list, near: dict, quality: dict, limit: float, _: float, until: tuple | None = None, told: list | None = None) -> list:
+    """Take what covers most of what is not covered yet, until everything is.
+
+    Picks come by rising keys. In a larger scope others may still be uncovered: with ``until``, picks up
+    to that key are taken too. ``told`` gets the key of the pick that covers the last node.
+    """
     cover, chosen, open_ = dict.fromkeys(nodes, 0.0), set(), set(nodes)
 
     def key(c: object) -> tuple | None:
@@ -65,14 +71,20 @@ def _facility(nodes: list, near: dict, quality: dict, limit: float, _: float) ->
         return -(own + sum(s - cover[n] for n, s in near[c].items() if s >= limit and s > cover[n])), -quality.get(c, 0.0), c
 
     heap = _heap(nodes, key)
-    while open_ and (pick := _next(heap, key)) is not None:
+    while (open_ or until) and (pick := _next(heap, key)) is not None:
+        own = key(pick)
+        if not open_ and own > until:
+            break
         chosen.add(pick)
         cover[pick] = 1.0
+        covered = bool(open_)
         open_.discard(pick)
         for n, s in near[pick].items():
             if s >= limit:
                 cover[n] = max(cover[n], s)
                 open_.discard(n)
+        if covered and not open_ and told is not None:
+            told.append(own)
     return list(chosen)
 
 
@@ -118,30 +130,66 @@ METHODS = {"facility": _facility, "mmr": _marginal, "k_center": _centers}
 def diversify(items: DataFrame, edges: DataFrame, method: str = "facility", tolerance: float = 0.5, scope: str = "scope") -> DataFrame:
     """(scope, image, shown): ``items`` (scope, image, quality) thinned by likeness ``edges`` (a, b, sim).
 
-    Tolerance 0 shows everything; an image without neighbours is always shown.
+    Tolerance 0 shows everything; an image without neighbours is always shown. Facility gains flow
+    along edges of at least the cutoff only, so components of those are chosen apart; as it goes on
+    until the whole scope is covered, a first pass finds the last pick that covers anything, and each
+    component then takes its picks up to that one. The other methods look at every edge.
     """
-    limit, weight, run = cutoff(tolerance), trade_off(tolerance), METHODS[method]
-    homes = items.select(scope, "image")
-    inside = edges.join(homes.select(F.col(scope).alias("sa"), F.col("image").alias("a")), "a").join(homes.select(F.col(scope).alias("sb"), F.col("image").alias("b")), "b").where("sa = sb")
-    kind = items.schema[scope].dataType.simpleString()
-
-    def pick(key: tuple, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(nodes.image.tolist())
+    limit, weight = cutoff(tolerance), trade_off(tolerance)
+    rows = items.select(F.col(scope).alias("scope"), F.col("image").cast("long").alias("image"), F.col("quality").cast("double").alias("quality"))
+    if tolerance <= 0:
+        return rows.select(F.col("scope").alias(scope), "image", F.lit(True).alias("shown"))
+    homes = rows.select("scope", "image").distinct()
+    one_way = edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sim").alias("sim"))
+    inside = one_way.where(F.col("sim") >= limit if method == "facility" else F.col("sim") > 0).join(homes.withColumnRenamed("image", "a"), "a").join(homes.select(F.col("scope").alias("sb"), F.col("image").alias("b")), "b").where("scope <=> sb").drop("sb")
+    links = written(inside.select("scope", "a", "b", "sim"), "likeness")
+    label = components(links.select(F.struct("scope", F.col("a").alias("image")).alias("a"), F.struct("scope", F.col("b").alias("image")).alias("b")))
+    label = written(label.select("node.scope", "node.image", F.col("component.image").alias("part")), "likeness-parts")
+    ends = lambda: label.select(F.col("scope").alias("ls"), F.col("image").alias("li"), F.col("part").alias("lp"))
+    placed = rows.join(ends(), F.col("scope").eqNullSafe(F.col("ls")) & (F.col("image") == F.col("li")), "left").select("scope", "image", "quality", F.col("lp").alias("part"))
+    alone = placed.where("part IS NULL")
+    crowd = placed.where("part IS NOT NULL")
+    of_part = links.join(ends(), F.col("scope").eqNullSafe(F.col("ls")) & (F.col("a") == F.col("li"))).select(F.col("scope").alias("scope"), F.col("lp").alias("part"), "a", "b", "sim")
+    kind = rows.schema["scope"].dataType.simpleString()
+    until = None
+    if method == "facility":
+        until = F.struct(F.lit(-1.0).alias("g"), (-F.coalesce(F.when(~F.isnan("quality"), F.col("quality")), F.lit(0.0))).alias("q"), F.col("image").alias("id"))
+        last = crowd.groupBy("scope", "part").cogroup(of_part.groupBy("scope", "part")).applyInPandas(_picks(method, limit, weight, True), f"scope {kind}, g double, q double, id long")
+        ends_at = last.select("scope", F.struct("g", "q", "id").alias("k")).union(alone.select("scope", until.alias("k"))).groupBy("scope").agg(F.max("k").alias("until"))
+        crowd = crowd.join(written(ends_at, "likeness-ends").withColumnRenamed("scope", "us"), F.col("scope").eqNullSafe(F.col("us"))).drop("us").select("scope", "image", "quality", "part", F.col("until.g").alias("g"), F.col("until.q").alias("q"), F.col("until.id").alias("id"))
+    chosen = crowd.groupBy("scope", "part").cogroup(of_part.groupBy("scope", "part")).applyInPandas(_picks(method, limit, weight, False), f"scope {kind}, image long, shown boolean")
+    return alone.select("scope", "image", F.lit(True).alias("shown")).union(chosen).select(F.col("scope").alias(scope), "image", "shown")
+
+
+def _picks(method: str, limit: float, weight: float, ends: bool) -> Callable:
+    """Of one component its images with whether they are shown, or with ``ends`` the key of the pick that covers its last image."""
+
+    def run(key: tuple, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(nodes.image.tolist()))
         near: dict = defaultdict(dict)
-        for a, b, s in zip(links.a, links.b, links.sim, strict=True):
-            near[a][b] = max(near[a].get(b, 0.0), s)
-            near[b][a] = max(near[b].get(a, 0.0), s)
-        quality = {n: q for n, q in zip(nodes.image, nodes.quality, strict=True) if q is not None and q == q}
-        chosen = set(names if len(names) <= 1 or tolerance <= 0 else run(names, near, quality, limit, weight))
-        return pd.DataFrame({scope: [key[0]] * len(names), "image": names, "shown": [n in chosen for n in names]})
+        for a, b, s in zip(links.a.tolist(), links.b.tolist(), links.sim.tolist(), strict=True):
+            near[a][b] = near[b][a] = max(near[a].get(b, 0.0), s)
+        quality = {n: q for n, q in zip(nodes.image.tolist(), nodes.quality.tolist(), strict=True) if q is not None and q == q}
+        if ends:
+            told: list = []
+            _facility(names, near, quality, limit, weight, None, told)
+            return pd.DataFrame([(key[0], *told[0])], columns=["scope", "g", "q", "id"])
+        more = (tuple(nodes[["g", "q", "id"]].iloc[0]),) if "g" in nodes.columns else ()
+        chosen = set(METHODS[method](names, near, quality, limit, weight, *more))
+        return pd.DataFrame({"scope": [key[0]] * len(nodes), "image": nodes.image, "shown": [n in chosen for n in nodes.image]})
 
-    return items.groupBy(scope).cogroup(inside.select(F.col("sa").alias(scope), "a", "b", "sim").groupBy(scope)).applyInPandas(pick, f"{scope} {kind}, image long, shown boolean")
+    return run
 
 
 def cluster_count(n: int, low: int = TUNING.kmeans_low, high: int = TUNING.kmeans_high) -> int:
     return min(max(math.floor(math.sqrt(n / 2) + 0.5), max(low, 1)), max(high, low, 1))
 
 
+def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows to all centroids, by one product."""
+    return np.maximum((x * x).sum(1)[:, None] - 2 * (x @ c.T) + (c * c).sum(1)[None], 0)
+
+
 def kmeans(vectors: DataFrame, k: int | None = None, key: str = "vec_id", vec: str = "embedding", rounds: int = TUNING.kmeans_rounds) -> DataFrame:
     """(key, cluster, cosine): deterministic k-means from the least key on, farthest points as seeds.
 
@@ -160,7 +208,7 @@ def kmeans(vectors: DataFrame, k: int | None = None, key: str = "vec_id", vec: s
         def run(batches):
             for pdf in batches:
                 x = np.stack(pdf.v.to_numpy())
-                d = np.round(((x[:, None, :] - c[None]) ** 2).sum(-1).min(1), 9)
+                d = np.round(_squares(x, c).min(1), 9)
                 i = np.lexsort((pdf.key.to_numpy(), -d))[0]
                 yield pd.DataFrame({"d": [d[i]], "key": [pdf.key.iloc[i]], "v": [x[i]]})
 
@@ -174,7 +222,7 @@ def kmeans(vectors: DataFrame, k: int | None = None, key: str = "vec_id", vec: s
         def run(batches):
             for pdf in batches:
                 x = np.stack(pdf.v.to_numpy())
-                at = np.round(((x[:, None, :] - c[None]) ** 2).sum(-1), 9).argmin(1)
+                at = np.round(_squares(x, c), 9).argmin(1)
                 for j in np.unique(at):
                     yield pd.DataFrame({"cluster": [int(j)], "n": [int((at == j).sum())], "s": [x[at == j].sum(0)], "keys": [int(pdf.key.to_numpy()[at == j].sum())]})
 
@@ -196,7 +244,7 @@ def kmeans(vectors: DataFrame, k: int | None = None, key: str = "vec_id", vec: s
     def assign(batches):
         for pdf in batches:
             x = np.stack(pdf.v.to_numpy())
-            at = np.round(((x[:, None, :] - final[None]) ** 2).sum(-1), 9).argmin(1)
+            at = np.round(_squares(x, final), 9).argmin(1)
             scale = np.linalg.norm(x, axis=1) * np.linalg.norm(final[at], axis=1)
             cos = np.divide((x * final[at]).sum(1), scale, out=np.zeros(len(x)), where=scale > 0)
             yield pd.DataFrame({key: pdf.key, "cluster": at.astype("int32"), "cosine": cos})
