@@ -166,8 +166,17 @@ def unnamed_clusters(edges: DataFrame, affinity: DataFrame, floor: float = 1e-4,
     return sized.join(weight, "component").select("component", "size", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "coherence")).alias("coherence"), "members")
 
 
+#: Labels that clusters are compared with at most; their list is broadcast.
+MOST_LABELS = 1000
+
+
 def match_labels(clusters: DataFrame, labels: DataFrame, tolerance: float = 0.25, separation: float = 0.1) -> DataFrame:
-    """(component, label): the label (label, size; a short list) nearest in relative size, null if it is far or another is as near."""
+    """(component, label): the label (label, size; a short list) nearest in relative size, null if it is far or another is as near.
+
+    More than ``MOST_LABELS`` labels raise: each component is compared with all of them.
+    """
+    if labels.limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     usable = labels.where(F.trim("label") != "").select(F.trim("label").alias("label"), F.col("size").alias("label_size"))
     distance = F.when((F.col("label_size") <= 0) | (F.col("size") <= 0), 1.0).otherwise(F.abs(F.col("label_size") - F.col("size")) / F.greatest("label_size", "size"))
     tried = clusters.select("component", "size").join(F.broadcast(usable), F.lit(True)).withColumn("d", distance)

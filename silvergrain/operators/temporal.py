@@ -108,30 +108,47 @@ def segments(probabilities: DataFrame, by: str, at: str, p: str, enter: float =
     return scans.fold(probabilities, by, [at], scans.Hysteresis(at, p, probabilities.schema[at].dataType.simpleString(), enter, leave, hang), [at, p])
 
 
-def debounced(marks: DataFrame, by: str, ts: str = "ts", quiet: float = 2.0, cap: float = 5.0) -> DataFrame:
+#: Seconds after which a write that failed so many times is tried again, then always the last.
+BACKOFF = (1, 5, 30, 300)
+
+
+def retry_at(failed: Column, attempts: Column) -> Column:
+    """When a write that has failed ``attempts`` times (1 or more), the last time at ``failed``, may be tried again; null if none failed."""
+    steps = F.array(*map(F.lit, BACKOFF))
+    wait = F.element_at(steps, F.least(attempts, F.lit(len(BACKOFF))).cast("int"))
+    return F.when(attempts >= 1, F.timestamp_micros(micros(failed) + wait * 1_000_000))
+
+
+def debounced(marks: DataFrame, by: str, ts: str = "ts", quiet: float = 2.0, cap: float = 5.0, immediate: str | None = None) -> DataFrame:
     """(by, first, last, due): writes due ``quiet`` seconds after a key's last mark, ``cap`` seconds after the first of a run at most.
 
     Marks more than ``quiet`` apart are separate runs; a run longer than the cap is written
-    every ``cap`` seconds, each write starting the next run with the first mark after it.
+    every ``cap`` seconds, each write starting the next run with the first mark after it. A mark whose
+    column ``immediate`` is true is due itself and ends its run; of marks at one time it is the last.
     """
+    flagged = marks.select(by, ts, (F.coalesce(immediate, F.lit(False)) if immediate else F.lit(False)).alias("__now"))
+
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, first, last, out = None, None, None, []
         q, c = pd.Timedelta(seconds=quiet), pd.Timedelta(seconds=cap)
         for pdf in batches:
-            for k, t in pdf.itertuples(index=False):
+            for k, t, now in zip(pdf[by].tolist(), pdf[ts].tolist(), pdf["__now"].tolist(), strict=True):
                 if first is not None and (k != key or t > min(last + q, first + c)):
                     out.append((key, first, last, min(last + q, first + c)))
                     first = None
                 if first is None:
                     key, first = k, t
                 last = t
+                if now:
+                    out.append((key, first, last, t))
+                    first = None
             yield pd.DataFrame(out, columns=[by, "first", "last", "due"])
             out = []
         if first is not None:
             yield pd.DataFrame([(key, first, last, min(last + q, first + c))], columns=[by, "first", "last", "due"])
 
     kind = marks.schema[by].dataType.simpleString()
-    return marks.select(by, ts).repartition(by).sortWithinPartitions(by, ts).mapInPandas(fold, f"{by} {kind}, first timestamp, last timestamp, due timestamp")
+    return flagged.repartition(by).sortWithinPartitions(by, ts, "__now").mapInPandas(fold, f"{by} {kind}, first timestamp, last timestamp, due timestamp")
 
 
 def dwell(episodes: DataFrame, item: str, elapsed_ms: str, rate: Column, ts: str, cap: int = TUNING.dwell_cap_ms, least_ms: int = 250) -> DataFrame:

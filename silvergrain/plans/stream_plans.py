@@ -13,6 +13,7 @@ from ..storage import shared_folder
 from ..streaming import streams as R
 from .fixtures import JOURNAL_SQL, journal, table, with_journal
 from .time_plans import _GAPS, SEGMENTS, WRITES
+from .time_plans import SQL as TIME_SQL
 
 
 def _stream(spark, sf_dir):
@@ -104,7 +105,21 @@ def foreign_edits(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", files.foreign_edits(xmp).alias("e")).select("p_partkey", "e.rating", "e.cropped")
 
 
-QUERIES = [stream_sessions, stream_dwell, stream_moves, stream_debounce, stream_segments, stream_stable, stream_focus, stream_finals, stream_scope, sidecar_round_trip, sidecar_manifest, rebuilt_stats, collections_round_trip, exif_times, foreign_edits]
+def foreign_crops(spark, sf_dir):
+    """Labels, orientations and crops of parts' foreign documents: whole, switched off, of a side that is no number, and hidden in a history."""
+    k, side = F.col("p_partkey"), lambda n: F.format_string(f' crs:Crop{n}="%s"', F.round(F.col("p_size") / F.lit({"Top": 400, "Left": 300, "Bottom": 60, "Right": 55}[n]), 4).cast("string"))
+    sides = F.concat(side("Top"), side("Left"), F.when(k % 6 == 4, ' crs:CropBottom="?"').otherwise(side("Bottom")), side("Right"))
+    on = F.when(k % 6 == 1, "False").when(k % 6 == 2, "1").otherwise("True")
+    xmp = F.concat(F.lit('<x:D tiff:Orientation="'), (k % 10).cast("string"), F.lit('" xmp:Label="'), F.when(k % 3 == 0, "Red").otherwise(""), F.lit('" crs:HasCrop="'), on, F.lit('"'), sides, F.when(k % 4 == 0, ' crs:CropAngle="-2.5"').otherwise(""), F.lit(">"), F.when(k % 6 == 5, '<rdf:li darktable:operation="crop"/>').otherwise(""), F.lit("</x:D>"))
+    e = table(spark, sf_dir, "part").select("p_partkey", files.foreign_edits(xmp).alias("e"))
+    return e.select("p_partkey", "e.label", "e.orientation", "e.cropped", "e.unreadable", "e.crop.top", "e.crop.left", "e.crop.bottom", "e.crop.right", "e.crop.angle")
+
+
+def stream_immediate(spark, sf_dir):
+    return R.run_available(R.debounced(_stream(spark, sf_dir).withColumn("now", F.col("event_type") == "error"), "user_id", quiet=7200, cap=20000, immediate="now"), "immediate")
+
+
+QUERIES = [foreign_crops, stream_immediate, stream_sessions, stream_dwell, stream_moves, stream_debounce, stream_segments, stream_stable, stream_focus, stream_finals, stream_scope, sidecar_round_trip, sidecar_manifest, rebuilt_stats, collections_round_trip, exif_times, foreign_edits]
 
 _REACH = "answered AS (SELECT id, image FROM journal WHERE image IS NOT NULL UNION ALL SELECT r.id, j.image FROM roots r JOIN journal j ON j.id = r.root WHERE j.image IS NOT NULL), reached AS (SELECT * FROM answered UNION ALL SELECT j.id, a.image FROM journal j JOIN answered a ON a.id = j.target_event WHERE j.kind = 'retraction')"
 SQL = {
@@ -134,5 +149,10 @@ SQL = {
     "rebuilt_stats": with_journal("SELECT image, event_count, has_text, has_strokes, stroke_count FROM stats"),
     "collections_round_trip": "SELECT c_custkey, c_name FROM customer",
     "exif_times": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate - CASE WHEN o_orderkey % 2 = 0 THEN INTERVAL 330 MINUTES WHEN o_orderkey % 3 = 0 THEN INTERVAL (-60) MINUTES ELSE INTERVAL 0 MINUTES END END AS captured FROM orders",
+    "foreign_crops": """WITH k AS (SELECT p_partkey, p_partkey % 6 IN (0, 2, 3) AS whole, p_size FROM part)
+      SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'Red' END AS label, CASE WHEN p_partkey % 10 BETWEEN 1 AND 8 THEN (p_partkey % 10)::INTEGER END AS orientation, p_partkey % 6 <> 1 AS cropped, p_partkey % 6 = 5 AS unreadable,
+        CASE WHEN whole THEN round(p_size / 400.0::DOUBLE, 4) END AS top, CASE WHEN whole THEN round(p_size / 300.0::DOUBLE, 4) END AS left, CASE WHEN whole THEN round(p_size / 60.0::DOUBLE, 4) END AS bottom, CASE WHEN whole THEN round(p_size / 55.0::DOUBLE, 4) END AS right,
+        CASE WHEN whole AND p_partkey % 4 = 0 THEN -2.5::DOUBLE END AS angle FROM k""",
+    "stream_immediate": f"SELECT user_id, first, last, due FROM ({TIME_SQL['write_immediate']}) WHERE epoch_us(due) <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 10::BIGINT * 1000000 FROM events)",
     "foreign_edits": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CASE WHEN p_partkey % 8 <= 6 THEN p_partkey % 8 - 1 END WHEN 1 THEN p_partkey % 6 END::INTEGER AS rating, CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS cropped FROM part",
 }

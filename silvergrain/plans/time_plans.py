@@ -51,6 +51,12 @@ def write_debounce(spark, sf_dir):
     return T.debounced(table(spark, sf_dir, "events"), "user_id", quiet=7200, cap=20000)
 
 
+def write_immediate(spark, sf_dir):
+    """Writes as before, where an error is due at once, and when a write that fails so often may be tried again."""
+    e = table(spark, sf_dir, "events").withColumn("now", F.col("event_type") == "error")
+    return T.debounced(e, "user_id", quiet=7200, cap=20000, immediate="now").withColumn("retry", T.retry_at(F.col("due"), F.col("user_id") % 6))
+
+
 def dwell_totals(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumns({"image": F.col("event_id") % 200, "ms": (F.floor("value") * 1000).cast("long")})
     return T.dwell(e, "image", "ms", F.when(F.col("event_type") == "view", 1.0).otherwise(0.15), "ts", cap=6000)
@@ -182,7 +188,7 @@ def retry_delays(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", C.retry_state(F.col("event_id") % 5, F.col("event_id") % 13).alias("wait"))
 
 
-QUERIES = [session_rotate, folder_bursts, asof_scope, interval_link, nearest_onset, ewma_rate, speech_segments, write_debounce, dwell_totals, best_path, availability, offline_burden, display_path, pass_counters_pivot, error_taxonomy, queue_claim, orphan_cohorts, prior_versions, clock_shift_mode, scan_reconcile, move_correlation, folder_tree, folder_keys, stage_rollup, latency_histogram, pair_stacks, folder_delta, channel_histogram, grid_sort_capture, file_classes, retry_delays]
+QUERIES = [session_rotate, folder_bursts, asof_scope, interval_link, nearest_onset, ewma_rate, speech_segments, write_debounce, write_immediate, dwell_totals, best_path, availability, offline_burden, display_path, pass_counters_pivot, error_taxonomy, queue_claim, orphan_cohorts, prior_versions, clock_shift_mode, scan_reconcile, move_correlation, folder_tree, folder_keys, stage_rollup, latency_histogram, pair_stacks, folder_delta, channel_histogram, grid_sort_capture, file_classes, retry_delays]
 
 _GAPS = lambda gap, op: f"SELECT user_id, min(ts) AS start, max(ts) AS \"end\", count(*) AS n, list_sort(list(event_id)) AS ids FROM (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) {op} {gap}::BIGINT * 1000000 THEN 1 ELSE 0 END AS brk FROM events)) GROUP BY user_id, s"
 _SPANS = "sp AS (SELECT event_id % 3 AS lane, event_id AS id, epoch_us(ts) AS s, epoch_us(ts) + (value * 1e6::DOUBLE)::BIGINT AS e, user_id % 2 AS gate, event_type FROM events)"
@@ -206,6 +212,10 @@ SQL = {
     "speech_segments": f"""{SEGMENTS}
       SELECT user_id, oa AS start, ob AS "end" FROM f WHERE oa IS NOT NULL UNION ALL SELECT user_id, a, b FROM f WHERE a IS NOT NULL AND (user_id, i) IN (SELECT user_id, max(i) FROM r GROUP BY 1)""",
     "write_debounce": WRITES,
+    "write_immediate": f"""WITH RECURSIVE r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'error') AS i, ts, event_type = 'error' AS now FROM events),
+      f AS (SELECT user_id, i, ts AS first, ts AS last, now, 1 AS run FROM r WHERE i = 1 UNION ALL SELECT r.user_id, r.i, CASE WHEN f.now OR r.ts > {_DUE} THEN r.ts ELSE first END, r.ts, r.now, run + CASE WHEN f.now OR r.ts > {_DUE} THEN 1 ELSE 0 END {_NEXT}),
+      w AS (SELECT user_id, run, min(first) AS first, max(last) AS last, bool_or(now) AS now FROM f GROUP BY 1, 2), d AS (SELECT user_id, first, last, CASE WHEN now THEN last ELSE {_DUE} END AS due FROM w)
+      SELECT *, CASE WHEN user_id % 6 >= 1 THEN due + to_seconds(CASE user_id % 6 WHEN 1 THEN 1 WHEN 2 THEN 5 WHEN 3 THEN 30 ELSE 300 END) END AS retry FROM d""",
     "session_rotate": f"SELECT user_id, start, \"end\", n FROM ({_GAPS(1800, '>=')})",
     "folder_bursts": f"SELECT user_id, start, n, array_to_string(ids, ',') AS members FROM ({_GAPS(3600, '>')}) WHERE n >= 2",
     "asof_scope": """WITH v AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'view'), p AS (SELECT user_id, ts AS pts, event_id AS pid, value FROM events WHERE event_type = 'purchase')

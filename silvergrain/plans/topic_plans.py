@@ -62,8 +62,11 @@ def unnamed_clusters(spark, sf_dir):
 
 
 def cluster_label_match(spark, sf_dir):
-    c = spark.createDataFrame([(1, 10), (2, 40), (3, 7), (4, 100)], "component long, size long")
-    return G.match_labels(c, spark.createDataFrame([("harbor", 11), ("fog", 39), ("dusk", 42), (" ", 100), ("barn", 8)], "label string, size long"))
+    """Which nation's number of suppliers, fifteen times over, comes nearest to the number of a nation's customers."""
+    clusters = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("component")).agg(F.count(F.lit(1)).alias("size"))
+    suppliers = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg((F.count(F.lit(1)) * 15).alias("size"))
+    labels = table(spark, sf_dir, "nation").join(suppliers, F.col("n_nationkey") == F.col("s_nationkey")).select(F.when(F.col("n_nationkey") % 5 == 0, " ").otherwise(F.col("n_name")).alias("label"), "size")
+    return G.match_labels(clusters, labels, separation=0.02)
 
 
 def density_field(spark, sf_dir):
@@ -256,8 +259,10 @@ def config_sweep(spark, sf_dir):
 
 
 def regression_gate(spark, sf_dir):
-    m = spark.createDataFrame([("recall", 0.95), ("mrr", 0.7)], "metric string, value double")
-    return E.regressions(m, spark.createDataFrame([("recall", 0.99), ("mrr", 0.8), ("ndcg", 0.5)], "metric string, value double"))
+    """Ranked lists that start one place late against the lists as they are; one metric is not measured."""
+    q, ranked, relevant = _judged(spark, sf_dir)
+    means = lambda r: E.mean_metrics(E.query_metrics(q, r, relevant, k=3)).selectExpr("stack(4, 'precision', precision, 'recall', recall, 'mrr', mrr, 'ndcg', ndcg) AS (metric, value)")
+    return E.regressions(means(ranked.withColumn("rank", F.col("rank") + 1)).where("metric <> 'recall'"), means(ranked))
 
 
 QUERIES = [hamming_pairs, near_dup_groups, dup_representatives, dup_redundant, symmetric_neighbours, unnamed_clusters, cluster_label_match, density_field, picture_hashes, topic_density, stroke_shapes, eraser_picks, topic_affinity_rank, topic_baked, topic_suggestions, co_annotation, repeated_phrases, collection_suggestions, attention_intensity, engaged_topics, overlooked_topics, lod_supernodes, node_overlay, kmeans_clusters, cluster_labels, diversify_facility, diversify_mmr, diversify_kcenter, collection_counts, members_added, members_removed, merge_collections_lww, merge_members, merge_notes, note_conflicts, scope_folder, ir_metrics, config_sweep, regression_gate]
@@ -289,7 +294,9 @@ SQL = {
     "dup_redundant": f"WITH RECURSIVE {_GROUPS} SELECT node FROM rated WHERE r > 1",
     "symmetric_neighbours": _SYM,
     "unnamed_clusters": f"WITH RECURSIVE {_AFF}, sym AS ({_SYM}), un AS (SELECT image FROM aff WHERE list_max(affinities) <= 1e-4), e AS (SELECT * FROM sym WHERE sim >= 0.38 AND a IN (SELECT image FROM un) AND b IN (SELECT image FROM un)), reach(node, seen) AS (SELECT a, a FROM e UNION SELECT b, b FROM e UNION SELECT r.node, CASE WHEN e.a = r.seen THEN e.b ELSE e.a END FROM reach r JOIN e ON e.a = r.seen OR e.b = r.seen), comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY 1) SELECT component, count(*) AS size, round((SELECT avg(sim) FROM e JOIN comp c2 ON c2.node = e.a WHERE c2.component = comp.component), 5) AS coherence, array_to_string(list_sort(list(node)), ',') AS members FROM comp GROUP BY component HAVING count(*) >= 3",
-    "cluster_label_match": "SELECT * FROM (VALUES (1::BIGINT, 'harbor'), (2, NULL), (3, 'barn'), (4, NULL)) v(component, label)",
+    "cluster_label_match": """WITH c AS (SELECT c_nationkey::BIGINT AS component, count(*) AS size FROM customer GROUP BY 1), l AS (SELECT n_name AS label, 15 * count(*) AS size FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_nationkey % 5 <> 0 GROUP BY 1),
+      d AS (SELECT component, label, abs(l.size - c.size)::DOUBLE / greatest(l.size, c.size) AS d FROM c, l), r AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY d, label) AS r, lead(d) OVER (PARTITION BY component ORDER BY d, label) AS next FROM d)
+      SELECT component, max(CASE WHEN r = 1 AND d <= 0.25 AND (next IS NULL OR next - d >= 0.02::DOUBLE) THEN label END) AS label FROM r GROUP BY 1""",
     "density_field": "WITH b0 AS (SELECT floor(embedding[1]::DOUBLE / 0.02::DOUBLE)::BIGINT AS gx, floor(embedding[2]::DOUBLE / 0.02::DOUBLE)::BIGINT AS gy, sum(label)::DOUBLE AS w FROM embeddings GROUP BY 1, 2), "
       + ", ".join(f"b{i + 1} AS (SELECT gx{' + d' if i % 2 == 0 else ''} AS gx, gy{' + d' if i % 2 else ''} AS gy, sum(w) / 5 AS w FROM b{i}, range(-2, 3) r(d) GROUP BY 1, 2)" for i in range(6))
       + " SELECT gx, gy, round(w, 6) AS w FROM b6 WHERE round(w, 6) <> 0",
@@ -322,12 +329,14 @@ SQL = {
     "merge_notes": f"WITH {_NOTES2} SELECT collection, note, ts, min(text) AS text FROM n2 GROUP BY ALL",
     "note_conflicts": f"WITH {_NOTES2} SELECT collection, note, ts, text FROM (SELECT *, row_number() OVER (PARTITION BY note ORDER BY text) AS r FROM n2) WHERE r > 1",
     "scope_folder": f"{FIXTURE_SQL} SELECT image FROM paths WHERE active AND starts_with(rel_path, 'Shoot12/roll3/')",
-    "regression_gate": "SELECT * FROM (VALUES ('recall', 0.95::DOUBLE, 0.99::DOUBLE, true), ('mrr', 0.7, 0.8, false), ('ndcg', NULL, 0.5, false)) v(metric, measured, baseline, ok)",
 }
 from .text_plans import SQL as _TEXT_SQL  # noqa: E402
 
 _JUDGED = f"ranked AS (SELECT item_id AS query, doc_id AS item, rank FROM ({_TEXT_SQL['bm25_batch']})), relevant AS (SELECT query, item FROM ranked WHERE item % 3 <> 1 UNION SELECT item_id, -1 FROM benchmark WHERE item_id % 4 = 0)"
 _METRICS = lambda ranked: f"""SELECT query, round(coalesce(h, 0) / 3.0::DOUBLE, 6) AS precision, round(CASE WHEN t > 0 THEN coalesce(h, 0) / t::DOUBLE ELSE 0 END, 6) AS recall, round(coalesce(1.0::DOUBLE / f, 0), 6) AS mrr, round(CASE WHEN t > 0 THEN coalesce(dcg, 0) / list_sum(list_transform(range(1, least(t, 3) + 1), lambda i: 1.0::DOUBLE / log2(i + 1.0::DOUBLE))) ELSE 0 END, 6) AS ndcg FROM (
   SELECT b.item_id AS query, (SELECT count(*) FROM relevant r WHERE r.query = b.item_id) AS t, x.h, x.f, x.dcg FROM benchmark b LEFT JOIN (SELECT query, count(*) FILTER (WHERE rank <= 3) AS h, min(rank) AS f, sum(CASE WHEN rank <= 3 THEN 1.0::DOUBLE / log2(rank + 1.0::DOUBLE) END) AS dcg FROM {ranked} JOIN relevant USING (query, item) GROUP BY query) x ON x.query = b.item_id)"""
+SQL["regression_gate"] = f"""WITH {_JUDGED}, late AS (SELECT query, item, rank + 1 AS rank FROM ranked), x AS (SELECT round(avg(precision), 6) AS p, round(avg(recall), 6) AS r, round(avg(mrr), 6) AS m, round(avg(ndcg), 6) AS n FROM ({_METRICS('ranked')})),
+  y AS (SELECT round(avg(precision), 6) AS p, round(avg(mrr), 6) AS m, round(avg(ndcg), 6) AS n FROM ({_METRICS('late')})), b AS (SELECT 'precision' AS metric, y.p AS measured, x.p AS baseline FROM x, y UNION ALL SELECT 'recall', NULL, r FROM x UNION ALL SELECT 'mrr', y.m, x.m FROM x, y UNION ALL SELECT 'ndcg', y.n, x.n FROM x, y)
+  SELECT *, coalesce(measured >= baseline - greatest(0.01::DOUBLE, baseline * 0.05), false) AS ok FROM b"""
 SQL["ir_metrics"] = f"WITH {_JUDGED} {_METRICS('ranked')}"
 SQL["config_sweep"] = f"WITH {_JUDGED}, late AS (SELECT query, item, rank + 1 AS rank FROM ranked), fst AS (SELECT * FROM ranked WHERE rank = 1) " + " UNION ALL ".join(f"SELECT '{n}' AS config, count(*) AS queries, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM ({_METRICS(t)})" for n, t in (("all", "ranked"), ("late", "late"), ("first", "fst")))

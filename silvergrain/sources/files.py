@@ -77,12 +77,33 @@ def watch(spark: SparkSession, root: str) -> DataFrame:
 
 
 def foreign_edits(xmp: Column) -> Column:
-    """struct(rating, cropped) of an XMP document, attributes or elements; null where it says neither. A rating of -1 rejects."""
+    """What another editor's XMP document says: struct(rating, cropped, label, orientation, crop, unreadable), null where it says nothing.
+
+    Values stand in attributes or elements. A rating of -1 rejects; an orientation is 1 to 8; a crop
+    (top, left, bottom, right as fractions, and an angle that may be null) counts if it is switched on and
+    all four sides are finite numbers. Edits in an editor's own history can be seen, not read, and its crop with them.
+    """
     def value(name: str) -> Column:
         attribute = F.regexp_extract(xmp, rf'[\w-]+:{name}\s*=\s*"([^"]*)"', 1)
         element = F.regexp_extract(xmp, rf"<[\w-]+:{name}\s*>\s*([^<]*?)\s*</", 1)
         return F.when(attribute != "", attribute).when(element != "", element)
 
-    rating = value("Rating").try_cast("int")
-    crop = F.lower(value("HasCrop")) == "true"
-    return F.when(rating.isNotNull() | crop.isNotNull(), F.struct(F.when(rating.between(-1, 5), rating).alias("rating"), F.coalesce(crop, F.lit(False)).alias("cropped")))
+    def fraction(name: str) -> Column:
+        x = F.trim(value(name)).try_cast("double")
+        return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+    rating, orientation = value("Rating").try_cast("int"), F.trim(value("Orientation")).try_cast("int")
+    flag = F.lower(F.trim(value("HasCrop")))
+    cropped = flag.isin("true", "1")
+    label = F.trim(value("Label"))
+    unreadable = F.coalesce(xmp.contains("darktable:operation"), F.lit(False))
+    sides = {n.lower(): fraction(f"Crop{n}") for n in ("Top", "Left", "Bottom", "Right")}
+    whole = cropped & ~xmp.contains("darktable:")
+    for side in sides.values():
+        whole = whole & side.isNotNull()
+    crop = F.when(whole, F.struct(*(v.alias(k) for k, v in sides.items()), fraction("CropAngle").alias("angle")))
+    says = rating.isNotNull() | flag.isNotNull() | F.coalesce(label != "", F.lit(False)) | orientation.between(1, 8) | unreadable
+    return F.when(says, F.struct(
+        F.when(rating.between(-1, 5), rating).alias("rating"), F.coalesce(cropped, F.lit(False)).alias("cropped"), F.when(label != "", label).alias("label"),
+        F.when(orientation.between(1, 8), orientation).alias("orientation"), crop.alias("crop"), unreadable.alias("unreadable"),
+    ))
