@@ -155,7 +155,7 @@ def test_checksums_and_damage():
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_queries_equal_sql(spark, data, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     df = registry.queries()[name](spark, data)
     want = con.sql(registry.oracle_sql()[name])
