@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -57,6 +59,56 @@ def bands(threshold: int) -> tuple[list[int], int]:
     return [64 * i // n for i in range(n + 1)], threshold // n
 
 
+#: Signatures of one block, those of it that are compared with another block at once, and the share of all pairs up to which bands may bring pairs together by chance.
+BLOCK, AT_ONCE = 16_384, 16
+MOST_CHANCE = 0.01
+
+
+def chance(threshold: int) -> float:
+    """The share of all pairs of random signatures that meet in the ``bands``."""
+    cuts, _ = bands(threshold)
+    return sum((1 + b - a) ** 2 / 2 ** (b - a) for a, b in zip(cuts, cuts[1:], strict=False))
+
+
+def _compared(signatures: DataFrame, threshold: int) -> DataFrame:
+    """(s, t, distance) of different signatures at most ``threshold`` bits apart, each pair once.
+
+    Distinct signatures are packed into blocks; a task compares a pair of blocks word by word. Work is
+    quadratic with a machine instruction or two a pair; memory is two blocks, and a block travels once a pair of blocks.
+    """
+    one = written(signatures.select("s").distinct(), "distinct-signatures")
+    blocks = max(1, -(-one.count() // BLOCK))
+    packed = one.groupBy(F.pmod(F.xxhash64("s"), F.lit(blocks)).cast("int").alias("own")).agg(F.collect_list("s").alias("v"))
+    both = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "v")
+    kind = pa.schema([("s", pa.int64()), ("t", pa.int64()), ("distance", pa.int32())])
+
+    def near(a: np.ndarray, b: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(a), AT_ONCE):
+            other = a[lo:] if b is None else b
+            apart = np.bitwise_count(a[lo : lo + AT_ONCE, None] ^ other[None, :])
+            at = np.flatnonzero(apart <= threshold)
+            x, y = np.divmod(at, len(other))
+            if b is None:  # inside a block each pair once
+                x, y, at = x[y > x], y[y > x], at[y > x]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(a[lo + x].view(np.int64)), pa.array(other[y].view(np.int64)), pa.array(apart.ravel()[at].astype(np.int32))], schema=kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = None, None
+        for batch in batches:
+            for place, (i, j) in enumerate(zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True)):
+                values = batch.column("v")[place].values.to_numpy().view(np.uint64)
+                if i == j:
+                    yield from near(values, None)
+                elif held == (i, j):
+                    yield from near(first, values)
+                else:
+                    held, first = (i, j), values
+
+    tasks = min(blocks * (blocks + 1) // 2, 8 * one.sparkSession.sparkContext.defaultParallelism)
+    return both.repartition(tasks, "i", "j").sortWithinPartitions("i", "j").mapInArrow(run, "s long, t long, distance int")
+
+
 def hamming_pairs(signatures: DataFrame, key: str, sig: str, threshold: int = TUNING.hamming) -> DataFrame:
     """(a, b, distance) with a < b of 64-bit signatures at most ``threshold`` bits apart; exact.
 
@@ -64,9 +116,15 @@ def hamming_pairs(signatures: DataFrame, key: str, sig: str, threshold: int = TU
     is put at every value within one bit of its own, and the greater too, so they meet by equal
     values; a pair is kept in the first such band, at the least of the values where it meets
     there. A band has about 3 * 64 / ``threshold`` bits, so chance meetings of n signatures stay a
-    small multiple of n while n is below two to that power. A threshold of 64 pairs all.
+    small multiple of n while n is below two to that power. Where bands get so narrow that more than
+    ``MOST_CHANCE`` of all pairs would meet, blocks of distinct signatures are compared instead. A threshold of 64 pairs all.
     """
     rows = signatures.where(F.col(sig).isNotNull()).select(F.col(key).alias("k"), F.col(sig).cast("long").alias("s"))
+    if threshold < 64 and chance(threshold) > MOST_CHANCE:
+        twin = rows.select(F.col("k").alias("l"), F.col("s").alias("t"))
+        apart = _compared(rows, threshold).join(rows, "s").join(twin, "t").where("k <> l")
+        equal = rows.join(twin, F.col("s") == F.col("t")).where("k < l")
+        return apart.select(F.least("k", "l").alias("a"), F.greatest("k", "l").alias("b"), "distance").union(equal.select("k", "l", F.lit(0)))
     if threshold >= 64:
         met, first = rows.withColumn("m", F.lit(0).cast("long")).withColumn("band", F.lit(0)), F.lit(True)
         other = met.select(F.col("k").alias("l"), F.col("s").alias("t"), "band", "m")
