@@ -82,13 +82,26 @@ def link_intervals(spans: DataFrame, candidates: DataFrame, by: str, gap: int =
 
 
 def nearest_onset(marks: DataFrame, onsets: DataFrame, by: str, most: int = 2) -> DataFrame:
-    """(id, onset): for each mark (by, id, ts) the nearest onset (by, id, ts) within ``most`` seconds; ties to the lesser id."""
-    bucket = lambda c: F.floor(micros(c) / (most * 1_000_000))
-    wide = marks.withColumn("__b", F.explode(F.array(*(bucket(F.col("ts")) + i for i in (-1, 0, 1)))))
-    near = onsets.select(by, F.col("id").alias("onset"), F.col("ts").alias("__ot"), bucket(F.col("ts")).alias("__b"))
-    skew = F.abs(seconds_between(F.col("ts"), F.col("__ot")))
-    found = wide.join(near, [by, "__b"]).where(skew <= most)
-    return found.groupBy("id").agg(F.min(F.struct(skew.alias("s"), "onset")).alias("r")).select("id", F.col("r.onset").alias("onset"))
+    """(id, onset): for each mark (by, id, ts) the nearest onset (by, id, ts) within ``most`` seconds; ties to the lesser id.
+
+    Both sides are sorted together within buckets of time not shorter than ``most``; the first and the
+    last onset of a bucket, one row a bucket, reach into its neighbours. No pairs are formed.
+    """
+    width = max(int(most * 1_000_000), 1)
+    bucket = F.floor(F.col("__t") / width)
+    onset = F.when(F.col("__side") == 0, F.struct("__t", F.col("id").alias("onset")))
+    # of onsets at one time only the least can be the nearest
+    sides = onsets.where(F.col(by).isNotNull()).select(by, micros("ts").alias("__t"), "id").groupBy(by, "__t").agg(F.min("id").alias("id")).withColumn("__side", F.lit(0)).unionByName(marks.where(F.col(by).isNotNull()).select(by, micros("ts").alias("__t"), "id", F.lit(1).alias("__side"))).withColumn("__b", bucket)
+    order = W.partitionBy(by, "__b").orderBy("__t", "__side")
+    before = F.last(onset, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    # an onset at the mark's own time lies before it in this order, and is seen there
+    after = F.first(onset, ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
+    inside = sides.select(by, "__b", "__t", "id", "__side", before.alias("__before"), after.alias("__after")).where("__side = 1 AND __t IS NOT NULL")
+    ends = sides.where("__side = 0").groupBy(by, "__b").agg(F.min(F.struct("__t", F.col("id").alias("onset"))).alias("__first"), F.max(F.struct("__t", F.col("id").alias("onset"))).alias("__last"))
+    near = inside.join(ends.select(by, (F.col("__b") + 1).alias("__b"), "__last"), [by, "__b"], "left").join(ends.select(by, (F.col("__b") - 1).alias("__b"), "__first"), [by, "__b"], "left")
+    skew = lambda c: F.when(F.abs(F.col(c)["__t"] - F.col("__t")) <= most * 1_000_000, F.struct(F.abs(F.col(c)["__t"] - F.col("__t")).alias("s"), F.col(c)["onset"].alias("onset")))
+    found = near.select("id", F.least(*map(skew, ("__before", "__after", "__last", "__first"))).alias("r")).where("r IS NOT NULL")
+    return found.groupBy("id").agg(F.min("r").alias("r")).select("id", F.col("r.onset").alias("onset"))
 
 
 def smoothed_rate(samples: DataFrame, by: str, t: str, amount: str, weight: float = 0.3) -> DataFrame:
