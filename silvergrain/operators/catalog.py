@@ -137,11 +137,17 @@ def prior_versions(paths: DataFrame) -> DataFrame:
 
 
 def correlate_moves(deleted: DataFrame, arrived: DataFrame, window: int = 10) -> DataFrame:
-    """(image, old_path, new_path): a path that vanished and one with the same bytes that came within ``window`` seconds."""
-    d = deleted.select("image", F.col("rel_path").alias("old_path"), F.col("ts").alias("gone_at"))
-    a = arrived.select("image", F.col("rel_path").alias("new_path"), F.col("ts").alias("came_at"))
-    close = F.abs(micros("came_at") - micros("gone_at")) <= window * 1_000_000
-    return d.join(a, "image").where(close & (F.col("old_path") != F.col("new_path"))).select("image", "old_path", "new_path")
+    """(image, old_path, new_path): a path that vanished and one with the same bytes that came within ``window`` seconds.
+
+    Both meet in buckets of time as long as the window, so only neighbours in time form pairs. Pairs
+    may be many more than the rows they are made of, so rows are dealt to more tasks than their size asks for.
+    """
+    tasks = 8 * deleted.sparkSession.sparkContext.defaultParallelism
+    bucket = lambda c: F.floor(micros(c) / (max(window, 1) * 1_000_000))
+    d = deleted.select("image", F.col("rel_path").alias("old_path"), micros("ts").alias("gone_at"), F.explode(F.array(*(bucket("ts") + i for i in (-1, 0, 1)))).alias("__b"))
+    a = arrived.select("image", F.col("rel_path").alias("new_path"), micros("ts").alias("came_at"), bucket("ts").alias("__b"))
+    close = F.abs(F.col("came_at") - F.col("gone_at")) <= window * 1_000_000
+    return d.repartition(tasks, "image", "__b").join(a.repartition(tasks, "image", "__b"), ["image", "__b"]).where(close & (F.col("old_path") != F.col("new_path"))).select("image", "old_path", "new_path")
 
 
 def claim_order(passes: DataFrame, paths: DataFrame, volumes: DataFrame, roots: DataFrame, allowed: list[str], now: Column, limit: int = 1) -> DataFrame:
