@@ -217,7 +217,7 @@ def unnamed_clusters(edges: DataFrame, affinity: DataFrame, floor: float = 1e-4,
     are unclaimed and it weighs enough; coherence is the mean weight.
     """
     unclaimed = affinity.where(F.coalesce(F.array_max("affinities"), F.lit(0.0)) <= floor).select("node")
-    used = edges.where(F.col("sim") >= least_weight).join(unclaimed.select(F.col("node").alias("a")), "a", "left_semi").join(unclaimed.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b", "sim")
+    used = written(edges.where(F.col("sim") >= least_weight).join(unclaimed.select(F.col("node").alias("a")), "a", "left_semi").join(unclaimed.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b", "sim"), "unclaimed-edges")
     label = components(used)
     sized = label.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list("node")).alias("members")).where(F.col("size") >= least_size)
     weight = used.join(label, F.col("a") == F.col("node")).groupBy("component").agg(F.avg("sim").alias("coherence"))

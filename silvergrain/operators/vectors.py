@@ -6,8 +6,10 @@ blocks of vectors as matrices in Arrow batches.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +17,10 @@ from ..model import TUNING
 from .search import top_per_group
 
 DIGITS = 6
-#: Vectors of one block; two blocks of 512 doubles a vector are 16 MB.
-BLOCK = 2048
+#: Entries of one block at most, 8 MB of floats, and vectors of one that need not be cut for more tasks.
+BLOCK, LEAST_BLOCK = 1 << 21, 2048
+#: Rows and columns that are multiplied at once, columns of the first piece, and how many columns a row may leave to be worked out again.
+ROWS, COLUMNS, FIRST, MOST_TIES = 1024, 8192, 256, 64
 
 
 def as_doubles(vector: Column) -> Column:
@@ -88,36 +92,104 @@ def similar_to(vectors: DataFrame, item: int, k: int = 60, key: str = "vec_id",
     return top_k(vectors, q, k + 1, key, vec).where(F.col(key) != item).orderBy(F.desc("score"), key).limit(k)
 
 
+def _units(x: np.ndarray) -> np.ndarray:
+    return np.divide(x, (s := np.linalg.norm(x, axis=1, keepdims=True)), out=np.zeros_like(x), where=s > 0)
+
+
+def _best(src: np.ndarray, dst: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of the ``k`` greatest ``sim`` of each ``src``, ties to the least ``dst``; sorted by ``src``, then rank."""
+    order = np.lexsort((dst, -sim, src))
+    src, dst, sim = src[order], dst[order], sim[order]
+    first = np.flatnonzero(np.r_[True, src[1:] != src[:-1]]) if len(src) else np.zeros(0, np.int64)
+    kept = np.arange(len(src)) - np.repeat(first, np.diff(np.r_[first, len(src)])) < k
+    return src[kept], dst[kept], sim[kept]
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, own: np.ndarray, other: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in ``a``, place in ``b``, sim) of the ``k`` nearest units in ``b`` of each unit in ``a``; ``b`` in the order of its keys ``other``.
+
+    Products in single precision leave out what is below a row's ``k``-th best so far by more than their error;
+    what is left is worked out in doubles. Where that is much (ties of copies or zeros) the whole piece is.
+    """
+    small_a, small_b = a.astype(np.float32), b.astype(np.float32)
+    slack = 10.0**-digits + 2e-7 * (a.shape[1] + 2)  # rounding, and the error of a sum of so many products of parts of units
+    out: list = []
+    for top in range(0, len(a), ROWS):
+        rows = np.arange(top, min(top + ROWS, len(a)))
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        least = np.full(len(rows), -np.inf)
+        left = 0
+        while left < len(b):  # each piece about as wide as those before it, so it has few that are better
+            columns = np.arange(left, min(left + min(max(left, FIRST), COLUMNS), len(b)))
+            left += len(columns)
+            x = y = None
+            if np.isfinite(least).all() and (least > 0).all():
+                at = np.flatnonzero(small_a[rows] @ small_b[columns].T >= (least - slack).astype(np.float32)[:, None])
+                if len(at) <= MOST_TIES * len(rows):
+                    x, y = np.divmod(at, len(columns))
+                    sim = np.round(np.maximum(np.einsum("ij,ij->i", a[rows[x]], b[columns[y]]), 0), digits)
+            if x is None:
+                every = np.round(np.maximum(a[rows] @ b[columns].T, 0), digits)
+                every[(own[rows][:, None] == other[columns][None, :]) | np.isnan(every)] = -1
+                if every.shape[1] > k:  # what is above the k-th best, and of what equals it the first
+                    bound = -np.partition(-every, k - 1, axis=1)[:, k - 1 : k]
+                    equal = every == bound
+                    room = k - (every > bound).sum(1, keepdims=True)
+                    x, y = np.nonzero((every > bound) | (equal & (np.cumsum(equal, axis=1) <= room)))
+                else:
+                    x, y = np.nonzero(np.ones_like(every, bool))
+                sim = every[x, y]
+            kept = (sim >= 0) & (own[rows[x]] != other[columns[y]])
+            held = _best(*(np.concatenate(p) for p in zip(held, (x[kept], columns[y[kept]], sim[kept]), strict=True)), k)
+            count = np.bincount(held[0], minlength=len(rows))
+            full = count == k
+            least[full] = held[2][np.cumsum(count)[full] - 1]
+        out.append((rows[held[0]], held[1], held[2]))
+    return tuple(np.concatenate(p) for p in zip(*out, strict=True))
+
+
 def knn_graph(vectors: DataFrame, k: int = TUNING.neighbours, key: str = "vec_id", vec: str = "embedding", digits: int = DIGITS) -> DataFrame:
     """(src, dst, sim): the ``k`` nearest of every vector in the scope; negative similarities count as 0, ties by key.
 
-    Vectors are dealt into blocks; a task multiplies one pair of blocks and keeps ``k`` of each
+    Vectors are packed into blocks; a task multiplies one pair of blocks both ways and keeps ``k`` of each
     row, so a pair of blocks sends no more than ``k`` rows a vector on. Work is quadratic in the
-    scope by definition; memory is two blocks a task.
+    scope by definition; memory is two blocks a task, and a block travels once a pair of blocks.
     """
-    n = vectors.count()
-    if n < 2 or k <= 0:
+    n, dims, least = vectors.agg(F.count(F.lit(1)), F.max(F.size(vec)), F.min(F.when(F.col(vec).isNotNull(), F.size(vec)))).head()
+    if n < 2 or k <= 0 or not dims or dims < 0:
         return vectors.select(F.col(key).alias("src"), F.col(key).alias("dst"), F.lit(0.0).alias("sim")).limit(0)
-    blocks = -(-n // BLOCK)
-    dealt = vectors.select(F.col(key).cast("long").alias("id"), as_doubles(F.col(vec)).alias("v")).where(F.col("v").isNotNull()).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    left = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "v", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"))
-    right = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "v", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
-
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        if a.empty or b.empty:
-            return pd.DataFrame({"src": [], "dst": [], "sim": []})
-        unit = lambda x: np.divide(x, (s := np.linalg.norm(x, axis=1, keepdims=True)), out=np.zeros_like(x), where=s > 0)
-        b = b.sort_values("id")
-        ids, cols = a.id.to_numpy(), b.id.to_numpy()
-        sim = np.round(np.maximum(unit(np.stack(a.v.to_numpy())) @ unit(np.stack(b.v.to_numpy())).T, 0), digits)
-        sim[ids[:, None] == cols[None, :]] = -1
-        best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(ids)), best.shape[1])
-        out = pd.DataFrame({"src": ids[rows], "dst": cols[best.ravel()], "sim": sim[rows, best.ravel()]})
-        return out[out.sim >= 0]
-
-    found = left.union(right).groupBy("i", "j").applyInPandas(multiply, "src long, dst long, sim double")
+    if dims != least:
+        raise ValueError(f"vectors of {least} to {dims} entries")
+    # few blocks, as what travels grows with them, but enough pairs of them for all tasks
+    tasks = 4 * vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = max(-(-n * dims // BLOCK), min(-(-n // LEAST_BLOCK), int(np.sqrt(2 * tasks))))
+    entry = vectors.schema[vec].dataType.elementType.simpleString()
+    held = np.float32 if entry == "float" else np.float64
+    rows = vectors.select(F.col(key).cast("long").alias("id"), (F.col(vec) if entry == "float" else as_doubles(F.col(vec))).alias("v")).where(F.col("v").isNotNull())
+    packed = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own")).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("p")).select("own", F.col("p.id").alias("ids"), F.flatten("p.v").alias("v"))
+    both = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "ids", "v")
+    kind = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("sim", pa.float64())])
+
+    def near(ids: np.ndarray, x: np.ndarray, other: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        p, q, sim = _nearest(x, y, ids, other, k, digits)
+        return pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(other[q]), pa.array(sim)], schema=kind)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, first = None, None
+        for batch in batches:
+            for place, (i, j) in enumerate(zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True)):
+                ids = batch.column("ids")[place].values.to_numpy(zero_copy_only=False)
+                x = _units(batch.column("v")[place].values.to_numpy(zero_copy_only=False).astype(held, copy=False).astype(np.float64).reshape(len(ids), -1))
+                if i == j:
+                    yield near(ids, x, ids, x)
+                elif at == (i, j):
+                    yield near(*first, ids, x)
+                    yield near(ids, x, *first)
+                    first = None
+                else:
+                    at, first = (i, j), (ids, x)
+
+    found = both.repartition(blocks * (blocks + 1) // 2, "i", "j").sortWithinPartitions("i", "j").mapInArrow(multiply, "src long, dst long, sim double")
     return top_per_group(found, ["src"], [F.desc("sim"), F.col("dst")], k).drop("rank")
 
 
