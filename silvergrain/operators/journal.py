@@ -173,12 +173,14 @@ def merge_events(ours: DataFrame, theirs: DataFrame) -> tuple[DataFrame, DataFra
     good = arriving.where("__ok").drop("__ok")
     ranked = good.groupBy("id").agg(F.max_by(F.struct(*good.columns), F.struct(F.col("scrubbed"), (-F.xxhash64(*good.columns)).alias("h"))).alias("r")).select("r.*")
     kinds = ours.select("id", "kind").union(ranked.select("id", "kind")).groupBy("id").agg(F.first("kind").alias("target_kind")).withColumnRenamed("id", "target_event")
-    checked = ranked.join(kinds, "target_event", "left")
+    # rows without a target are legal, and as many as they are they would all meet in one task
+    aimed = ranked.where(F.col("target_event").isNotNull())
+    checked = aimed.join(kinds, "target_event", "left")
     legal = F.lit(True)
     for kind, targets in LEGAL_TARGETS.items():
         legal = F.when(F.col("kind") == kind, F.col("target_kind").isNull() | F.col("target_kind").isin(*targets)).otherwise(legal)
     bad_target = checked.where(~legal).select("id", F.lit("target").alias("reason"))
-    kept = checked.where(legal).select(ours.columns)
+    kept = checked.where(legal).select(ours.columns).unionByName(ranked.where(F.col("target_event").isNull()).select(ours.columns))
     both = ours.withColumn("__own", F.lit(True)).unionByName(kept.withColumn("__own", F.lit(False)))
     one = both.groupBy("id").agg(F.max_by(F.struct(*ours.columns), F.struct("scrubbed", "__own")).alias("r")).select("r.*")
     return scrub(one, redaction_registry(one)), invalid.unionByName(bad_target)
