@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..operators import journal as J
 from ..sources import files, sidecars
-from ..storage import shared_folder
+from ..storage import shared_folder, spread
 from ..streaming import streams as R
 from .fixtures import JOURNAL_SQL, journal, table, with_journal
 from .time_plans import _GAPS, SEGMENTS, WRITES
@@ -102,7 +102,7 @@ def exif_times(spark, sf_dir):
 def foreign_edits(spark, sf_dir):
     k = F.col("p_partkey")
     xmp = F.when(k % 4 == 0, F.concat(F.lit('<x:Description xmp:Rating="'), (k % 8 - 1).cast("string"), F.lit('" crs:HasCrop="True"/>'))).when(k % 4 == 1, F.concat(F.lit("<xmp:Rating> "), (k % 6).cast("string"), F.lit(" </xmp:Rating>"))).otherwise("<x/>")
-    return table(spark, sf_dir, "part").select("p_partkey", files.foreign_edits(xmp).alias("e")).select("p_partkey", "e.rating", "e.cropped")
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", files.foreign_edits(xmp).alias("e")).select("p_partkey", "e.rating", "e.cropped")
 
 
 def foreign_crops(spark, sf_dir):
@@ -111,7 +111,7 @@ def foreign_crops(spark, sf_dir):
     sides = F.concat(side("Top"), side("Left"), F.when(k % 6 == 4, ' crs:CropBottom="?"').otherwise(side("Bottom")), side("Right"))
     on = F.when(k % 6 == 1, "False").when(k % 6 == 2, "1").otherwise("True")
     xmp = F.concat(F.lit('<x:D tiff:Orientation="'), (k % 10).cast("string"), F.lit('" xmp:Label="'), F.when(k % 3 == 0, "Red").otherwise(""), F.lit('" crs:HasCrop="'), on, F.lit('"'), sides, F.when(k % 4 == 0, ' crs:CropAngle="-2.5"').otherwise(""), F.lit(">"), F.when(k % 6 == 5, '<rdf:li darktable:operation="crop"/>').otherwise(""), F.lit("</x:D>"))
-    e = table(spark, sf_dir, "part").select("p_partkey", files.foreign_edits(xmp).alias("e"))
+    e = spread(table(spark, sf_dir, "part")).select("p_partkey", files.foreign_edits(xmp).alias("e"))
     return e.select("p_partkey", "e.label", "e.orientation", "e.cropped", "e.unreadable", "e.crop.top", "e.crop.left", "e.crop.bottom", "e.crop.right", "e.crop.angle")
 
 

@@ -83,11 +83,22 @@ def foreign_edits(xmp: Column) -> Column:
     (top, left, bottom, right as fractions, and an angle that may be null) counts if it is switched on and
     all four sides are finite numbers. Edits in an editor's own history can be seen, not read, and its crop with them.
     """
-    def value(name: str) -> Column:
-        attribute = F.regexp_extract(xmp, rf'[\w-]+:{name}\s*=\s*"([^"]*)"', 1)
+    def read(name: str) -> Column:
+        attribute = F.regexp_extract(xmp, rf'(?<=[\w-]):{name}\s*=\s*"([^"]*)"', 1)
         element = F.regexp_extract(xmp, rf"<[\w-]+:{name}\s*>\s*([^<]*?)\s*</", 1)
         return F.when(attribute != "", attribute).when(element != "", element)
 
+    sides_of = {n.lower(): f"Crop{n}" for n in ("Top", "Left", "Bottom", "Right")}
+    names = ["Rating", "Orientation", "HasCrop", "Label", *sides_of.values(), "CropAngle"]
+    # bound by a lambda, so each value is sought once however often it is used
+    said = F.array(F.struct(*(read(n).alias(n) for n in names), F.coalesce(xmp.contains("darktable:operation"), F.lit(False)).alias("unreadable"), xmp.contains("darktable:").alias("foreign")))
+    return F.element_at(F.transform(said, lambda v: _edits(v, sides_of)), 1)
+
+
+def _edits(said: Column, sides_of: dict[str, str]) -> Column:
+    """``foreign_edits`` of the values that stand in a document."""
+    value = said.getField
+
     def fraction(name: str) -> Column:
         x = F.trim(value(name)).try_cast("double")
         return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
@@ -96,9 +107,9 @@ def foreign_edits(xmp: Column) -> Column:
     flag = F.lower(F.trim(value("HasCrop")))
     cropped = flag.isin("true", "1")
     label = F.trim(value("Label"))
-    unreadable = F.coalesce(xmp.contains("darktable:operation"), F.lit(False))
-    sides = {n.lower(): fraction(f"Crop{n}") for n in ("Top", "Left", "Bottom", "Right")}
-    whole = cropped & ~xmp.contains("darktable:")
+    unreadable = value("unreadable")
+    sides = {k: fraction(n) for k, n in sides_of.items()}
+    whole = cropped & ~value("foreign")
     for side in sides.values():
         whole = whole & side.isNotNull()
     crop = F.when(whole, F.struct(*(v.alias(k) for k, v in sides.items()), fraction("CropAngle").alias("angle")))
