@@ -57,3 +57,21 @@ def test_keys_of_one_bucket_are_apart(spark, played, monkeypatch, kind):
     plain = spark.createDataFrame(rows, schema).withColumn("who", F.hex("who") if kind == "binary" else F.col("who").cast("string"))
     want = temporal.debounced(plain, "who", immediate="now").select(F.unhex("who") if kind == "binary" else F.col("who").cast(kind), "first", "last", "due")
     assert got == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_what_is_due_at_the_watermark_comes_out(played):
+    """The watermark ends ten seconds behind the last row, just where the first key's write is due."""
+    rows, _ = played([[(1, at(0)), (2, at(12)), (3, at(12.001))]], "who long, ts timestamp", lambda s: streams.debounced(s.where("who < 3"), "who"), "d")
+    assert rows == [(1, at(0), at(0), at(2))]
+
+
+def test_another_time_zone_gives_the_same_instants(spark, played):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    marks = [(1, "2026-01-01T00:00:00Z"), (1, "2026-01-01T00:00:01Z"), (1, "2026-01-01T01:00:00Z")]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows, _ = played([[m] for m in marks], "who long, t string", lambda s: streams.debounced(s.select("who", F.col("t").cast("timestamp").alias("ts")), "who").select(*(F.unix_seconds(c).alias(c) for c in ("first", "last", "due"))))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    begin = int(T0.replace(tzinfo=dt.timezone.utc).timestamp())
+    assert rows == [(begin, begin + 1, begin + 3)]
