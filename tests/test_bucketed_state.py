@@ -75,3 +75,30 @@ def test_another_time_zone_gives_the_same_instants(spark, played):
         spark.conf.set("spark.sql.session.timeZone", zone)
     begin = int(T0.replace(tzinfo=dt.timezone.utc).timestamp())
     assert rows == [(begin, begin + 1, begin + 3)]
+
+
+def test_focus_state_has_no_row_for_each_key(played):
+    rows, held = played([[(k, at(k % 7), [k], "look") for k in range(3000)], [(-1, at(500), None, None)]], FOCUS, lambda s: streams.focus_episodes(s, "who", "ts", "items", "source"))
+    start = int(T0.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    assert rows == sorted([(k, k, "look", start + k % 7 * 1000, 30_000) for k in range(3000)], key=repr)
+    assert 0 < max(held) <= timed.BUCKETS and held[-1] == 0
+
+
+def test_machines_of_one_bucket_are_apart(spark, played, monkeypatch):
+    rng, batches = random.Random(8), []
+    for b in range(4):
+        batches.append([(rng.choice([BIG, BIG + 1, None]), at(b * 60 + i), rng.choice([[1], [2, 1], None]), rng.choice(["look", "grid"])) for i in range(50)])
+    batches.append([(7, at(5000), None, None)])
+    run = lambda s: streams.focus_episodes(s, "who", "ts", "items", "source")
+    each = []
+    for i, k in enumerate([BIG, BIG + 1, None]):
+        rows, _ = played([[r for r in b if r[0] in (k, 7)] or [(7, at(0), None, None)] for b in batches], FOCUS, run, f"own{i}")
+        each += rows
+    monkeypatch.setattr(timed, "BUCKETS", 1)
+    rows, held = played(batches, FOCUS, run)
+    assert rows == sorted(each, key=repr) and len(rows) > 100 and held[-1] == 0
+
+
+def test_an_episode_that_ends_at_the_watermark_comes_out(played):
+    rows, _ = played([[(1, at(0), [1], "look"), (2, at(0.001), [1], "look"), (3, at(40), None, None)]], FOCUS, lambda s: streams.focus_episodes(s, "who", "ts", "items", "source"), "f")
+    assert [r[0] for r in rows] == [1]
