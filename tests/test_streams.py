@@ -155,3 +155,10 @@ def test_greedy_choices_equal_a_plain_scan(method):
                 break
             chosen.append(min(free, key=lambda c: (-round(value(c), 9), -quality[c], c)))
         assert set(select.METHODS[method](nodes, near, quality, limit, weight)) == set(chosen)
+
+
+@pytest.mark.parametrize("query", ["stream_debounce", "stream_immediate", "stream_focus", "stream_sessions", "stream_scope"])
+def test_a_table_in_files_that_overlap_in_time_is_read_whole(spark, data, tmp_path, query):
+    spark.read.parquet(f"{data}/events.parquet").repartition(5, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    one, many = (sorted(map(tuple, getattr(stream_plans, query)(spark, folder).collect()), key=repr) for folder in (data, str(tmp_path)))
+    assert one == many and one
